@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from weirflow.llm import quality_model, quality_rules, tokenize
+from weirflow.llm import packing, quality_model, quality_rules, sharding, simhash, tokenize, warc
 
 QUERIES = {
     "op1_byte_bpe": tokenize.op1_byte_bpe,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_warc_zstd": warc.op4_warc_zstd,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_ring_sharding": sharding.op6_ring_sharding,
     "op8_quality_classifier": quality_model.op8_quality_classifier,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+}
+
+ORACLES = {
+    "op4_warc_zstd": warc.OP4_SQL,
 }
 
 
@@ -16,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
