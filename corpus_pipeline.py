@@ -1,0 +1,68 @@
+"""Documents from raw to packed: quality rules, quality classifier, near-dedup, personal data, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``. Stages work on all that the one before kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weirflow.llm import packing, pii, quality_model, quality_rules, simhash
+from weirflow.llm.common import read, shared_path
+
+#: Learned rules, boosted tables and segmentation have no SQL form; the tests compare with brute force.
+ORACLE_SQL = None
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids`` (distinct or not)."""
+    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the learned list reject."""
+    rules = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
+    return quality_rules.filter_documents(docs, rules)
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the additive model scores at the threshold or above."""
+    model = quality_model.fit(docs, read(spark, sf_dir, "labels"))
+    return quality_model.filter_documents(docs, model)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: the one with the smallest doc_id."""
+    found = simhash.near_duplicates(docs)
+    return _keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("quality_classifier", quality_classifier_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("pii", pii_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``; between stages rows are written as Parquet in the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -198,6 +198,22 @@ def score(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> Dat
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, score double, predicted int", make)
 
 
+def filter_documents(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at the threshold or above, with all their columns, in one pass without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                p = shared.value.score(np.array([features(t) for t in batch.column(at).to_pylist()], float))
+                yield batch.filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, read(spark, sf_dir, "labels")))
