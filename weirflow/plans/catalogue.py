@@ -1,6 +1,572 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the engine and their SQL, over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weirflow.functions import codecs
+from weirflow.functions import expressions as x
+from weirflow.operators import aggregates, datafiles, joins, rows, state, times, windows
+from weirflow.plans import examples
+from weirflow.sources import generators, readers, sinks
+from weirflow.streaming import processors
+from weirflow.streaming.jobs import drain
+
+HOUR, MINUTE = 3_600_000, 60_000
+ORDER = ["ts", "event_id"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return register
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.table(spark, folder, "events")
+
+
+def _day():
+    return F.date_trunc("day", F.col("ts").cast("timestamp"))
+
+
+# -- row by row ----------------------------------------------------------------
+
+_WC = """
+SELECT word, count(*) AS cnt FROM (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS word FROM documents)
+WHERE word <> '' GROUP BY word HAVING count(*) > 5
+"""
+
+
+@query("wc_documents", _WC)
+def _(spark, folder):
+    return examples.word_count(readers.table(spark, folder, "documents"))
+
+
+@query("wc_windowed", """
+SELECT word, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS window_start,
+       time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 hour' AS window_end, count(*) AS cnt
+FROM (SELECT ts, unnest(string_split_regex(lower(event_type || ' ' || props), '\\s+')) AS word FROM events)
+WHERE word <> '' GROUP BY ALL HAVING count(*) > 2
+""")
+def _(spark, folder):
+    lines = _events(spark, folder).select("ts", F.concat_ws(" ", "event_type", "props").alias("text"))
+    return examples.word_count(lines, window_ms=HOUR, above=2)
+
+
+@query("map_project", "SELECT event_id, value * 2 AS doubled, upper(event_type) AS kind FROM events")
+def _(spark, folder):
+    df = rows.map_rows(_events(spark, folder), "value * 2", "doubled")
+    return rows.map_rows(df, F.upper("event_type"), "kind").select("event_id", "doubled", "kind")
+
+
+@query("filter_pred", "SELECT event_id, user_id, value FROM events WHERE value > 50 AND event_type = 'purchase'")
+def _(spark, folder):
+    return rows.filter_rows(_events(spark, folder), "value > 50 and event_type = 'purchase'").select("event_id", "user_id", "value")
+
+
+@query("flatmap_tokens", """
+SELECT conv_id, turn, word FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\\s+')) AS word FROM conversations) WHERE word <> ''
+""")
+def _(spark, folder):
+    return rows.flat_map(readers.table(spark, folder, "conversations"), x.words("text"), "word").select("conv_id", "turn", "word")
+
+
+@query("keyby_rekey", "SELECT event_type || '-' || (user_id % 10)::varchar AS key, event_id, value FROM events")
+def _(spark, folder):
+    return rows.key_by(_events(spark, folder), "concat(event_type, '-', user_id % 10)").select("key", "event_id", "value")
+
+
+@query("passthrough_events", "SELECT * FROM events")
+def _(spark, folder):
+    return rows.passthrough(_events(spark, folder))
+
+
+@query("drop_on_error_map", "SELECT event_id, (user_id // (event_id % 3))::bigint AS part FROM events WHERE event_id % 3 <> 0")
+def _(spark, folder):
+    df = _events(spark, folder).select("event_id", "user_id")
+    return rows.map_rows(df, lambda user, event: user // (event % 3), "part", ["user_id", "event_id"], "bigint").select("event_id", "part")
+
+
+@query("filter_python", "SELECT event_id FROM events WHERE user_id % 7 = 3")
+def _(spark, folder):
+    return rows.filter_rows(_events(spark, folder).select("event_id", "user_id"), lambda u: u % 7 == 3, ["user_id"]).select("event_id")
+
+
+@query("flatmap_python", "SELECT event_id, unnest(range(user_id % 4)) AS n FROM events")
+def _(spark, folder):
+    df = _events(spark, folder).select("event_id", "user_id")
+    return rows.flat_map(df, lambda u: range(u % 4), "n", ["user_id"], "bigint").select("event_id", "n")
+
+
+# -- windows ---------------------------------------------------------------------
+
+_HOUR_START = "time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01')"
+
+
+def _tumbling(name: str, column, sql: str):
+    @query(name, f"""
+SELECT user_id, {_HOUR_START} AS window_start, {_HOUR_START} + INTERVAL '1 hour' AS window_end, {sql} AS result FROM events GROUP BY ALL
+""")
+    def _(spark, folder):
+        return windows.aggregate(_events(spark, folder), ["user_id"], windows.Tumbling(HOUR), column().alias("result"))
+
+
+_tumbling("tumbling_count", lambda: F.count("*"), "count(*)")
+_tumbling("tumbling_sum", lambda: F.sum(x.exact("value")).cast("double"), "sum(value::decimal(18,2))::double")
+_tumbling("tumbling_min", lambda: F.min("value"), "min(value)")
+_tumbling("tumbling_max", lambda: F.max("value"), "max(value)")
+_tumbling("tumbling_avg", lambda: F.sum(x.exact("value")).cast("double") / F.count("*"), "sum(value::decimal(18,2))::double / count(*)")
+
+
+@query("keyed_reduce_1s", """
+SELECT event_type, time_bucket(INTERVAL '1 second', ts, TIMESTAMP '1970-01-01') AS window_start, max(value) AS value FROM events GROUP BY ALL
+""")
+def _(spark, folder):
+    out = windows.aggregate(_events(spark, folder), ["event_type"], windows.Tumbling(1000), F.max("value").alias("value"))
+    return out.select("event_type", "window_start", "value")
+
+
+@query("unkeyed_window", f"SELECT {_HOUR_START} AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, folder):
+    return windows.aggregate(_events(spark, folder), [], windows.Tumbling(HOUR), F.count("*").alias("n")).select("window_start", "n")
+
+
+@query("sliding_count_max", """
+SELECT event_type, s AS window_start, s + INTERVAL '30 minutes' AS window_end, count(*) AS n, max(value) AS top FROM (
+  SELECT *, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') - k * INTERVAL '10 minutes' AS s FROM events, range(0, 3) t(k)
+) GROUP BY ALL
+""")
+def _(spark, folder):
+    return windows.aggregate(_events(spark, folder), ["event_type"], windows.Sliding(30 * MINUTE, 10 * MINUTE), F.count("*").alias("n"), F.max("value").alias("top"))
+
+
+@query("sliding_misaligned", """
+SELECT event_type, make_timestamp(s * 1000) AS window_start, make_timestamp((s + 1500000) * 1000) AS window_end, count(*) AS n FROM (
+  SELECT event_type, epoch_ms(ts) AS t, unnest(generate_series(epoch_ms(ts) - epoch_ms(ts) % 600000 - 1500000 + 600000, epoch_ms(ts) - epoch_ms(ts) % 600000, 600000)) AS s FROM events
+) WHERE s <= t AND t < s + 1500000 GROUP BY ALL
+""")
+def _(spark, folder):
+    return windows.aggregate(_events(spark, folder), ["event_type"], windows.Sliding(25 * MINUTE, 10 * MINUTE, legacy=True), F.count("*").alias("n"))
+
+
+@query("window_collect_list", f"""
+SELECT user_id, {_HOUR_START} AS window_start, string_agg(event_id::varchar, ',' ORDER BY ts, event_id) AS ids FROM events GROUP BY ALL
+""")
+def _(spark, folder):
+    ids = F.concat_ws(",", aggregates.ordered_list(ORDER, F.col("event_id").cast("string")))
+    return windows.aggregate(_events(spark, folder), ["user_id"], windows.Tumbling(HOUR), ids.alias("ids")).select("user_id", "window_start", "ids")
+
+
+@query("session_count", """
+SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL '1 hour' AS window_end, count(*) AS n FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM events)
+) GROUP BY user_id, session
+""")
+def _(spark, folder):
+    return windows.aggregate(_events(spark, folder), ["user_id"], windows.Session(HOUR), F.count("*").alias("n"))
+
+
+@query("window_of_windows", f"""
+SELECT event_type, time_bucket(INTERVAL '1 hour', e, TIMESTAMP '1970-01-01') AS window_start, sum(n)::bigint AS n, count(*) AS parts FROM (
+  SELECT event_type, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') + INTERVAL '10 minutes' AS e, count(*) AS n FROM events GROUP BY ALL
+) GROUP BY ALL
+""")
+def _(spark, folder):
+    first = windows.aggregate(_events(spark, folder), ["event_type"], windows.Tumbling(10 * MINUTE), F.count("*").alias("n"))
+    again = first.withColumn("ts", windows.rewindow_time(first))
+    return windows.aggregate(again, ["event_type"], windows.Tumbling(HOUR), F.sum("n").alias("n"), F.count("*").alias("parts")).select("event_type", "window_start", "n", "parts")
+
+
+# -- running and ordered aggregates ------------------------------------------------
+
+_FRAME = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _running(function: str, value, sql: str):
+    @query(f"running_{function}", f"SELECT event_id, {sql} AS result FROM events")
+    def _(spark, folder):
+        out = aggregates.running(_events(spark, folder), ["event_type"], ORDER, {"result": (function, value())}, _day())
+        return out.select("event_id", F.col("result").cast("bigint" if function == "count" else "double").alias("result"))
+
+
+_running("sum", lambda: x.exact("value"), f"(sum(value::decimal(18,2)) {_FRAME})::double")
+_running("count", lambda: F.lit(1), f"count(*) {_FRAME}")
+_running("avg", lambda: x.exact("value"), f"(sum(value::decimal(18,2)) {_FRAME})::double / (count(*) {_FRAME})")
+_running("min", lambda: F.col("value"), f"min(value) {_FRAME}")
+_running("max", lambda: F.col("value"), f"max(value) {_FRAME}")
+
+
+@query("halving_fold", f"""
+SELECT user_id, {_HOUR_START} AS window_start, list_reduce(list(value ORDER BY ts, event_id), lambda a, b: (a + b) / 2) AS folded, count(*) AS n FROM events GROUP BY ALL
+""")
+def _(spark, folder):
+    out = windows.aggregate(_events(spark, folder), ["user_id"], windows.Tumbling(HOUR), aggregates.halving(ORDER, "value").alias("folded"), F.count("*").alias("n"))
+    return out.select("user_id", "window_start", "folded", "n")
+
+
+@query("ema_latency", """
+SELECT user_id, list_reduce(list_prepend(0.0::double, list(value ORDER BY ts, event_id)), lambda a, b: 0.1::double * b + 0.9::double * a) AS ema FROM events GROUP BY user_id
+""")
+def _(spark, folder):
+    return _events(spark, folder).groupBy("user_id").agg(aggregates.smoothed(ORDER, "value", 0.1).alias("ema"))
+
+
+@query("job_metrics", """
+SELECT event_type, sum(user_id)::bigint AS records, sum(value::decimal(18,2))::double / count(*) AS mean_latency_ms, max(value) AS max_backpressure FROM events GROUP BY event_type
+""")
+def _(spark, folder):
+    tasks = _events(spark, folder).select("event_type", "ts", "event_id", F.col("user_id").alias("records"), F.col("value").alias("latency_ms"), F.col("value").alias("backpressure"))
+    return tasks.groupBy("event_type").agg(
+        F.sum("records").alias("records"), (F.sum(x.exact("latency_ms")).cast("double") / F.count("*")).alias("mean_latency_ms"), F.max("backpressure").alias("max_backpressure")
+    )
+
+
+@query("backpressure_ratio", """
+SELECT event_id, (sum((value > 1.0)::int) OVER w)::double / count(*) OVER w AS backpressure_ratio, (sum(value::decimal(18,2)) OVER w)::double / count(*) OVER w AS mean_wait
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)
+""")
+def _(spark, folder):
+    return aggregates.backpressure(_events(spark, folder), ["user_id"], ORDER, "value").select("event_id", "backpressure_ratio", "mean_wait")
+
+
+@query("reducing_state_max", "SELECT user_id, max(value) AS state FROM events GROUP BY user_id")
+def _(spark, folder):
+    return state.reducing(_events(spark, folder), ["user_id"], ORDER, "value", lambda a, b: F.greatest(a, b))
+
+
+@query("aggregating_state_avg", "SELECT user_id, sum(value::decimal(18,2))::double / count(*) AS state FROM events GROUP BY user_id")
+def _(spark, folder):
+    df = _events(spark, folder).withColumn("value", x.exact("value"))
+    start = F.struct(F.lit(0).cast("decimal(28,2)").alias("s"), F.lit(0).cast("bigint").alias("n"))
+    add = lambda acc, v: F.struct((acc["s"] + v).cast("decimal(28,2)").alias("s"), (acc["n"] + 1).alias("n"))
+    return state.aggregating(df, ["user_id"], ORDER, "value", start, add, lambda acc: acc["s"].cast("double") / acc["n"])
+
+
+# -- joins and state ---------------------------------------------------------------
+
+@query("interval_join_clicks", """
+SELECT c.user_id AS user_id, c.event_id AS click, v.event_id AS view, epoch_us(c.ts) // 1000 - epoch_us(v.ts) // 1000 AS between_ms
+FROM events c JOIN events v ON c.user_id = v.user_id AND abs(epoch_us(c.ts) - epoch_us(v.ts)) <= 3600000000
+WHERE c.event_type = 'click' AND v.event_type = 'view'
+""")
+def _(spark, folder):
+    e = _events(spark, folder).select("user_id", "event_id", "event_type", "ts")
+    pairs = joins.interval_join(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "user_id", HOUR)
+    return pairs.select(F.col("l_user_id").alias("user_id"), F.col("l_event_id").alias("click"), F.col("r_event_id").alias("view"), (x.epoch_ms("l_ts") - x.epoch_ms("r_ts")).alias("between_ms"))
+
+
+@query("click_attribution", """
+SELECT c.user_id AS user_id, c.user_id % 20 AS ad_id, epoch_us(c.ts) // 1000 AS click_timestamp, epoch_us(v.ts) // 1000 AS impression_timestamp, epoch_us(c.ts) // 1000 - epoch_us(v.ts) // 1000 AS time_to_click_ms
+FROM events c JOIN events v ON c.user_id % 20 = v.user_id % 20 AND abs(epoch_us(c.ts) - epoch_us(v.ts)) <= 300000000
+WHERE c.event_type = 'click' AND v.event_type = 'view'
+""")
+def _(spark, folder):
+    e = _events(spark, folder).withColumn("ad_id", F.col("user_id") % 20)
+    return examples.click_attribution(e.where("event_type = 'click'"), e.where("event_type = 'view'"))
+
+
+@query("join_null_keys", """
+SELECT a.event_id AS a, b.event_id AS b FROM (SELECT *, nullif(user_id % 7, 0) AS k FROM events WHERE event_type = 'error') a
+JOIN (SELECT *, nullif(user_id % 7, 0) AS k FROM events WHERE event_type = 'signup') b
+ON a.k IS NOT DISTINCT FROM b.k AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000
+""")
+def _(spark, folder):
+    e = _events(spark, folder).withColumn("k", F.nullif(F.col("user_id") % 7, F.lit(0))).select("event_id", "event_type", "k", "ts")
+    pairs = joins.interval_join(e.where("event_type = 'error'"), e.where("event_type = 'signup'"), "k", 10 * MINUTE)
+    return pairs.select(F.col("l_event_id").alias("a"), F.col("r_event_id").alias("b"))
+
+
+@query("dedup_first", """
+SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1
+""")
+def _(spark, folder):
+    return examples.first_events(_events(spark, folder), ["user_id", "event_type"], ORDER).select("user_id", "event_type", "event_id", "value")
+
+
+def _every_third(key, row, count):
+    count = (count or 0) + 1
+    return ([(key, row["event_id"], count)] if count % 3 == 0 else []), count
+
+
+@query("keyed_process_threshold", """
+SELECT user_id, event_id, n FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 3 = 0
+""")
+def _(spark, folder):
+    df = _events(spark, folder).select("user_id", "ts", "event_id")
+    return state.keyed_process(df, ["user_id"], ORDER, _every_third, "user_id bigint, event_id bigint, n bigint")
+
+
+# -- watermarks as data --------------------------------------------------------------
+
+_ARRIVAL = "((event_id * 7919) % 10007)"
+
+
+def _shuffled(spark, folder):
+    e = _events(spark, folder).select("event_id", "ts", F.expr(_ARRIVAL).alias("arrival"))
+    return e, ["arrival", "event_id"], F.expr("arrival div 100")
+
+
+@query("monotone_ts", f"SELECT event_id, max(ts) OVER (ORDER BY {_ARRIVAL}, event_id) AS monotone_ts FROM events")
+def _(spark, folder):
+    e, arrival, block = _shuffled(spark, folder)
+    return times.monotone(e, arrival, block=block).select("event_id", "monotone_ts")
+
+
+@query("watermark_trace", f"SELECT event_id, max(ts) OVER (ORDER BY {_ARRIVAL}, event_id) - INTERVAL '5 seconds' AS watermark FROM events")
+def _(spark, folder):
+    e, arrival, block = _shuffled(spark, folder)
+    return times.trace(e, arrival, 5000, block=block).select("event_id", "watermark")
+
+
+@query("late_rows", f"""
+SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (ORDER BY {_ARRIVAL}, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
+WHERE ts < before - INTERVAL '5 days'
+""")
+def _(spark, folder):
+    e, arrival, block = _shuffled(spark, folder)
+    return times.late(e, arrival, 5 * 24 * HOUR, block=block).select("event_id")
+
+
+# -- data files ----------------------------------------------------------------------
+
+def _as_text(spark, folder):
+    e = _events(spark, folder).where("event_id % 5 < 3")
+    broken = F.when(F.col("event_id") % 11 == 0, F.lit("n/a")).otherwise(F.col("value").cast("decimal(18,2)").cast("string"))
+    return e.select("event_id", "ts", "event_type", broken.alias("amount"))
+
+
+_TEXT = "(SELECT event_id, ts, event_type, CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE value::decimal(18,2)::varchar END AS amount FROM events WHERE event_id % 5 < 3)"
+
+
+def _data_filter(name: str, column: str, operator: str, value: str, sql: str):
+    @query(name, f"SELECT 'filter' AS operation, 'PASS' AS result, event_id FROM {_TEXT} WHERE {sql}")
+    def _(spark, folder):
+        out = datafiles.filtered(_as_text(spark, folder), column, operator, value)
+        return out.select("operation", "result", F.col("record.event_id").alias("event_id"))
+
+
+_data_filter("df_filter_equals", "event_type", "equals", "CLICK", "lower(event_type) = 'click'")
+_data_filter("df_filter_contains", "event_type", "contains", "I", "contains(lower(event_type), 'i')")
+_data_filter("df_filter_gt", "amount", "greater_than", "20", "try_cast(amount AS double) > 20")
+_data_filter("df_filter_lt", "amount", "less_than", "20.5", "try_cast(amount AS double) < 20.5")
+
+
+@query("df_transform_upper", f"SELECT event_id, upper(event_type) AS event_type, upper(amount) AS amount FROM {_TEXT}")
+def _(spark, folder):
+    return datafiles.upper_case(_as_text(spark, folder)).select("event_id", "event_type", "amount")
+
+
+def _data_aggregate(function: str, sql: str):
+    frame = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    @query(f"df_aggregate_{function}", f"SELECT event_id, event_type AS \"group\", {sql.format(w=frame)} AS result FROM {_TEXT}")
+    def _(spark, folder):
+        out = aggregates.grouped_running(_as_text(spark, folder), "event_type", function, "amount", ORDER, _day())
+        return out.select("event_id", "group", "result")
+
+
+_data_aggregate("count", "(count(*) {w})::double")
+_data_aggregate("sum", "(sum(coalesce(try_cast(amount AS decimal(18,2)), 0)) {w})::double")
+_data_aggregate("avg", "(sum(coalesce(try_cast(amount AS decimal(18,2)), 0)) {w})::double / (count(*) {w})")
+
+
+@query("df_anomaly", f"""
+SELECT event_id, try_cast(amount AS double) AS value, try_cast(amount AS double) > 60 AS is_anomaly,
+       CASE WHEN try_cast(amount AS double) > 60 THEN 'ANOMALY' WHEN try_cast(amount AS double) IS NOT NULL THEN 'NORMAL' END AS status FROM {_TEXT}
+""")
+def _(spark, folder):
+    return datafiles.anomalies(_as_text(spark, folder), "amount", "60").select(F.col("record.event_id").alias("event_id"), "value", "is_anomaly", "status")
+
+
+@query("df_passthrough", f"SELECT 'passthrough' AS operation, event_id FROM {_TEXT}")
+def _(spark, folder):
+    return datafiles.process(_as_text(spark, folder), "none such").select("operation", F.col("record.event_id").alias("event_id"))
+
+
+# -- rules and scalar functions -------------------------------------------------------
+
+@query("rule_sensor_a", "SELECT event_id, (event_type = 'error' OR value > 30 OR value < 15) AS anomaly FROM events")
+def _(spark, folder):
+    return _events(spark, folder).select("event_id", x.sensor_anomaly(F.col("value"), F.col("event_type") == "error").alias("anomaly"))
+
+
+@query("rule_sensor_b", "SELECT event_id, (value < 10 OR value > 35 OR user_id % 100 < 20 OR user_id % 100 > 80 OR value = -999.9) AS anomaly FROM events")
+def _(spark, folder):
+    return _events(spark, folder).select("event_id", x.strict_sensor_anomaly(F.col("value"), F.col("user_id") % 100).alias("anomaly"))
+
+
+@query("rule_weather", "SELECT event_id, (value - 20 > 35 OR value - 20 < 0 OR user_id % 60 > 50 OR event_id % 100 >= 95) AS anomaly FROM events")
+def _(spark, folder):
+    return _events(spark, folder).select("event_id", x.weather_anomaly(F.col("value") - 20, F.col("user_id") % 60, F.col("event_id") % 100).alias("anomaly"))
+
+
+@query("weather_label", f"""
+SELECT event_id, CASE event_id % 100 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in x.WEATHER.items())} ELSE 'Unknown' END AS label FROM events
+""")
+def _(spark, folder):
+    return _events(spark, folder).select("event_id", x.weather_label(F.col("event_id") % 100).alias("label"))
+
+
+@query("json_props_sum", "SELECT event_type, sum(json_extract_string(props, '$.k')::bigint)::bigint AS total FROM events GROUP BY event_type")
+def _(spark, folder):
+    return _events(spark, folder).groupBy("event_type").agg(F.sum(x.json_field("props", "$.k", "bigint")).alias("total"))
+
+
+@query("tolerant_numbers", f"SELECT event_id, try_cast(amount AS double) AS value FROM {_TEXT} WHERE try_cast(amount AS double) IS NOT NULL")
+def _(spark, folder):
+    return rows.filter_rows(_as_text(spark, folder).withColumn("value", x.number("amount")), "value is not null").select("event_id", "value")
+
+
+@query("codec_round_trip", "SELECT event_id, user_id::varchar AS key, event_type, value FROM events")
+def _(spark, folder):
+    e = _events(spark, folder).select("event_id", F.col("user_id").cast("string").alias("key"), F.struct("event_type", "value").alias("body"))
+    codec = codecs.Codec("string", "json", "event_type string, value double")
+    wire = e.select("event_id", codec.encode_key(F.col("key")).alias("k"), codec.encode_value(F.col("body")).alias("v"))
+    back = wire.select("event_id", codec.decode_key(F.col("k")).alias("key"), codec.decode_value(F.col("v")).alias("body"))
+    return back.select("event_id", "key", "body.event_type", "body.value")
+
+
+@query("print_lines", "SELECT '> [' || event_type || '] ' || event_id::varchar AS line FROM events")
+def _(spark, folder):
+    e = _events(spark, folder).select(F.col("event_type").alias("key"), F.col("event_id").alias("value"))
+    return sinks.print_lines(e, "> ")
+
+
+@query("sink_messages", """SELECT event_type AS key, '{"event_id":' || event_id::varchar || ',"user_id":' || user_id::varchar || '}' AS value FROM events""")
+def _(spark, folder):
+    e = _events(spark, folder).select(F.col("event_type").alias("key"), "event_id", "user_id")
+    return sinks.messages(e)
+
+
+@query("latency_histogram", "SELECT CASE WHEN value <= 10 THEN 0 WHEN value <= 50 THEN 1 WHEN value <= 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM events GROUP BY 1")
+def _(spark, folder):
+    return _events(spark, folder).groupBy(x.histogram_bucket(F.col("value"), [10, 50, 100]).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+# -- top-k, merge, counts ---------------------------------------------------------------
+
+@query("latest_50", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def _(spark, folder):
+    return rows.latest(_events(spark, folder).select("event_id", "ts"), 50, F.desc("ts"), F.desc("event_id"))
+
+
+@query("top_by_value", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 30")
+def _(spark, folder):
+    return rows.latest(_events(spark, folder).select("event_id", "value"), 30, F.desc("value"), F.asc("event_id"))
+
+
+@query("latest_per_key", "SELECT user_id, max(event_id) AS last_id, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
+def _(spark, folder):
+    return _events(spark, folder).groupBy("user_id").agg(F.max("event_id").alias("last_id"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+
+
+@query("merge_two_streams", "SELECT event_id, 'buy' AS side FROM events WHERE event_type = 'purchase' UNION ALL SELECT event_id, 'look' FROM events WHERE event_type = 'view'")
+def _(spark, folder):
+    e = _events(spark, folder).select("event_id", "event_type")
+    side = lambda kind, name: e.where(F.col("event_type") == kind).select("event_id", F.lit(name).alias("side"))
+    return rows.merge(side("purchase", "buy"), side("view", "look"))
+
+
+@query("status_histogram", """
+SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error FROM events
+""")
+def _(spark, folder):
+    return rows.counts_by_state(_events(spark, folder), "event_type", ["click", "error"])
+
+
+@query("demo_statistics", """
+SELECT count(*) AS total, count(*) FILTER (value > 30) AS anomalies, count(*) FILTER (NOT value > 30) AS normal,
+       count(*) FILTER (value > 30) * 100.0::double / count(*) AS anomaly_percent, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS elapsed_ms FROM events
+""")
+def _(spark, folder):
+    odd = F.col("value") > 30
+    return _events(spark, folder).agg(
+        F.count("*").alias("total"), F.count_if(odd).alias("anomalies"), F.count_if(~odd).alias("normal"),
+        (F.count_if(odd) * F.lit(100.0) / F.count("*")).alias("anomaly_percent"), (x.epoch_ms(F.max("ts")) - x.epoch_ms(F.min("ts"))).alias("elapsed_ms"),
+    )
+
+
+@query("generated_sensors")
+def _(spark, folder):
+    return generators.sensors(spark, 1000)
+
+
+@query("generated_shop")
+def _(spark, folder):
+    return generators.shop(spark, 1000)
+
+
+@query("generated_market")
+def _(spark, folder):
+    return generators.market(spark, 1000)
+
+
+# -- the same on streams ------------------------------------------------------------------
+
+def _stream(spark, folder):
+    return readers.table_stream(spark, folder, "events")
+
+
+def _naive(df: DataFrame, *columns: str) -> DataFrame:
+    """Times without zone, as in the tables."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("stream_filter", ORACLES["filter_pred"])
+def _(spark, folder):
+    return drain(rows.filter_rows(_stream(spark, folder), "value > 50 and event_type = 'purchase'").select("event_id", "user_id", "value"), "stream_filter")
+
+
+@query("stream_tumbling_count", ORACLES["tumbling_count"])
+def _(spark, folder):
+    out = windows.aggregate(_stream(spark, folder), ["user_id"], windows.Tumbling(HOUR), F.count("*").alias("result"))
+    return _naive(drain(out, "stream_tumbling", "complete"), "window_start", "window_end")
+
+
+@query("stream_sliding_count_max", ORACLES["sliding_count_max"])
+def _(spark, folder):
+    out = windows.aggregate(_stream(spark, folder), ["event_type"], windows.Sliding(30 * MINUTE, 10 * MINUTE), F.count("*").alias("n"), F.max("value").alias("top"))
+    return _naive(drain(out, "stream_sliding", "complete"), "window_start", "window_end")
+
+
+@query("stream_session_count", ORACLES["session_count"])
+def _(spark, folder):
+    out = windows.aggregate(_stream(spark, folder), ["user_id"], windows.Session(HOUR), F.count("*").alias("n"))
+    return _naive(drain(out, "stream_session", "complete"), "window_start", "window_end")
+
+
+@query("stream_interval_join", ORACLES["interval_join_clicks"])
+def _(spark, folder):
+    e = lambda kind: _stream(spark, folder).where(F.col("event_type") == kind).select("user_id", "event_id", "ts").withWatermark("ts", "5 seconds")
+    pairs = joins.interval_join(e("click"), e("view"), "user_id", HOUR)
+    out = pairs.select(F.col("l_user_id").alias("user_id"), F.col("l_event_id").alias("click"), F.col("r_event_id").alias("view"), (x.epoch_ms("l_ts") - x.epoch_ms("r_ts")).alias("between_ms"))
+    return drain(out, "stream_join")
+
+
+@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, folder):
+    return drain(processors.deduplicate(_stream(spark, folder).select("user_id", "event_type"), ["user_id", "event_type"]), "stream_dedup")
+
+
+@query("stream_keyed_process", ORACLES["keyed_process_threshold"])
+def _(spark, folder):
+    df = _stream(spark, folder).select("user_id", "ts", "event_id")
+    return drain(processors.keyed_process(df, ["user_id"], ORDER, _every_third, "user_id bigint, event_id bigint, n bigint"), "stream_process", "update")
+
+
+@query("stream_running_max", ORACLES["running_max"])
+def _(spark, folder):
+    df = _stream(spark, folder).select("event_type", "ts", "event_id", "value")
+    out = processors.running(df, "event_type", ORDER, "value", "max", "event_type string, ts timestamp, event_id bigint, value double, result double")
+    return drain(out, "stream_running", "update").select("event_id", "result")
