@@ -68,7 +68,7 @@ class Sliding:
 
 @dataclass(frozen=True)
 class Session:
-    """Rows of a key less than a gap apart; ends a gap after the last row."""
+    """Rows of a key no more than a gap apart; ends a gap after the last row."""
 
     gap_ms: int
 

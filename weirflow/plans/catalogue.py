@@ -171,7 +171,7 @@ def _(spark, folder):
 @query("session_count", """
 SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL '1 hour' AS window_end, count(*) AS n FROM (
   SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
-    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM events)
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh FROM events)
 ) GROUP BY user_id, session
 """)
 def _(spark, folder):
