@@ -7,7 +7,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from weirflow.session import Settings, session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -1,6 +1,5 @@
 import pytest
-from conftest import SMALL
-from oracle import check
+from oracle import SMALL, check
 
 from weirflow.plans.catalogue import ORACLES, QUERIES
 
