@@ -28,6 +28,8 @@ SIZE = 2048
 CELLS = 64
 #: Patterns of three lengths tried for each longest length.
 TRIPLES = 2
+#: Shares of the fitted repeat counts that are tried, in this order.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.1)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -103,11 +105,38 @@ def nnls(rows: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarr
     return x
 
 
-def plan(histogram: np.ndarray, triples: int = TRIPLES) -> list[Run]:
-    """Runs that place every piece of the histogram (index: length) exactly once."""
-    left = histogram.astype(np.int64).copy()
-    left[0] = 0
-    size, first, runs = len(left) - 1, 0, []
+def plan(histogram: np.ndarray, triples: int = TRIPLES, shares: tuple[float, ...] = SHARES) -> list[Run]:
+    """Runs that place every piece of the histogram (index: length) exactly once.
+
+    Fitted repeat counts are rounded down after taking one of ``shares`` of them:
+    the more of the histogram patterns take, the less choice is left for the rest.
+    The first share that gives the fewest sequences counts; the search ends where
+    no fewer are possible.
+    """
+    size = len(histogram) - 1
+    whole = histogram.astype(np.int64).copy()
+    whole[0] = 0
+    rows = patterns(whole, triples)
+    fitted = nnls(rows, whole) if len(rows) else np.zeros(0)
+    fewest = max(-(-int((np.arange(size + 1) * whole).sum()) // size), int(whole[size // 2 + 1 :].sum()))
+    best: list[Run] = []
+    for share in shares:
+        runs = _place(whole, rows, fitted * share)
+        if not best or _sequences(runs) < _sequences(best):
+            best = runs
+        if _sequences(best) <= fewest:
+            break
+    return best
+
+
+def _sequences(runs: list[Run]) -> int:
+    return runs[-1].first + runs[-1].repeat if runs else 0
+
+
+def _place(whole: np.ndarray, rows: np.ndarray, x: np.ndarray) -> list[Run]:
+    """Patterns as often as ``x`` rounded down (and what is left) allows, then residuals by best-fit decreasing."""
+    left, first, runs = whole.copy(), 0, []
+    size = len(left) - 1
 
     def place(parts: list[tuple[int, int]], repeat: int) -> None:
         nonlocal first
@@ -116,15 +145,14 @@ def plan(histogram: np.ndarray, triples: int = TRIPLES) -> list[Run]:
         for length, times in parts:
             left[length] -= times * repeat
 
-    rows = patterns(left, triples)
-    if len(rows):
-        x = nnls(rows, left)
-        for k in np.argsort(-x, kind="stable"):
-            lengths, times = np.unique(rows[k][rows[k] > 0], return_counts=True)
-            repeat = min(int(x[k] + 1e-9), int((left[lengths] // times).min()))
-            if repeat > 0:
-                place(list(zip(lengths.tolist(), times.tolist())), repeat)
-    while True:  # residuals: the longest first, then always the longest that still fits
+    for k in np.argsort(-x, kind="stable"):
+        if x[k] < 1 - 1e-9:
+            break
+        lengths, times = np.unique(rows[k][rows[k] > 0], return_counts=True)
+        repeat = min(int(x[k] + 1e-9), int((left[lengths] // times).min()))
+        if repeat > 0:
+            place(list(zip(lengths.tolist(), times.tolist())), repeat)
+    while True:  # the longest first, then always the longest that still fits
         present = np.flatnonzero(left).tolist()
         if not present:
             return runs
