@@ -154,13 +154,13 @@ def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdC
         return None
 
 
-def archive(records: Iterator[bytes]) -> Iterator[bytes]:
+def archive(records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES) -> Iterator[bytes]:
     """Frames of one archive: the dictionary, if one can be trained from its first records, then the records."""
     held, size = [], 0
     for raw in records:
         held.append(raw)
         size += len(raw)
-        if size >= SAMPLE_BYTES:
+        if size >= sample_bytes:
             break
     trained = train(held)
     if trained is not None:
@@ -229,7 +229,7 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
             name = f"{base}/{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.zst"
             number += 1
             with fs.open_output_stream(name + ".part", compression=None) as out:
-                for frame in archive(some()):
+                for frame in archive(some(), min(SAMPLE_BYTES, archive_bytes)):
                     out.write(frame)
                     written += len(frame)
             if count:
