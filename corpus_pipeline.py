@@ -7,7 +7,6 @@ return the columns of ``documents``. Stages work on all that the one before kept
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weirflow.llm import packing, pii, quality_model, quality_rules, simhash
 from weirflow.llm.common import read, shared_path
@@ -16,11 +15,6 @@ from weirflow.llm.common import read, shared_path
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (distinct or not)."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-
-
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list reject."""
     rules = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
@@ -35,8 +29,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
-    return _keep(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return simhash.keep_one(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

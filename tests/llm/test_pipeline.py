@@ -86,5 +86,10 @@ def test_every_stage_takes_awkward_tables(spark, rows):
         out.collect()
     dedup = corpus_pipeline.near_dedup_stage(spark, docs, SMALL)
     if rows is None:
-        left = [r.doc_id for r in dedup.collect()]
-        assert 1 in left and left.count(2) == 0
+        left = sorted((r.doc_id or 0, r.text or "") for r in dedup.collect())
+        # 2 and its copy go with 1; the empty texts and the null one (without id too) go with 3
+        assert [d for d, _ in left] == [0, 1, 3, 6, 7, 8, 9] and left[0][1] == "no id here at all"
+        twice = documents(spark, [(None, None), (None, ""), (None, "a b c d e"), (None, "a b c d e")])
+        assert sorted(len(r.text or "") for r in corpus_pipeline.near_dedup_stage(spark, twice, SMALL).collect()) in ([0, 9],)
+        same_id = documents(spark, [(5, "a b c d e f"), (5, "q r s t u v w"), (5, "a b c d e f")])
+        assert corpus_pipeline.near_dedup_stage(spark, same_id, SMALL).count() == 2

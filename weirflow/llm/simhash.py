@@ -17,7 +17,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import arrow_schema, cut, map_batches, read, shuffle_partitions
@@ -55,16 +55,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every whole text, fp as a signed long. Null and empty texts have 0."""
+    """(doc_id, fp, text_hash) of every whole text, fp as a signed long. Null and empty texts have fp 0."""
 
     def make():
-        def work(ids, texts):
+        def work(ids, texts, hashes):
             fp = np.array([fingerprint(t, shingle) for t in texts.to_pylist()], np.uint64)
-            return ids, fp.view(np.int64)
+            return ids, fp.view(np.int64), hashes
 
         return work
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, fp long", make)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return map_batches(rows, "doc_id long, fp long, text_hash long", make)
 
 
 def trie_links(fps: np.ndarray, group: np.ndarray, budget: int = BUDGET, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
@@ -223,13 +224,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, chunk: int = CHUNK, two_from: int = 1 << 24) -> DataFrame:
-    """(doc_id, fp, component_id) per document; component_id is the smallest doc_id reachable over links.
+def _grouped(docs: DataFrame, budget: int, shingle: int, chunk: int, two_from: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_hash) per document, and (fp, first, root_fp) per fingerprint.
 
-    Rows with a null doc_id are linked too but never name a component unless they
-    are alone in it (then null). Repeated rows share their fingerprint. From
-    ``two_from`` distinct fingerprints on, buckets share two blocks rather than one;
-    the result is the same.
+    ``first`` is the smallest doc_id of the fingerprint's component and ``root_fp``
+    names the component, also where no document of it has an id (``first`` is then
+    the largest long).
     """
     known = cut(fingerprints(docs, shingle))
     distinct = cut(known.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NONE)).alias("first")))
@@ -237,10 +237,36 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     stars = links(distinct, budget, chunk, spare)
     node = lambda s: F.struct(F.col(f"{s}_first").alias("first"), F.col(f"{s}_fp").alias("fp"))
     joined = components(stars.select(node("a").alias("a"), node("b").alias("b")))
-    joined = joined.select(F.col("node.fp").alias("fp"), F.col("root.first").alias("least"))
-    names = distinct.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    names = cut(names.withColumn("component_id", F.nullif("component_id", F.lit(_NONE))))
-    return known.join(names, "fp").select("doc_id", "fp", "component_id")
+    joined = joined.select(F.col("node.fp").alias("fp"), F.col("root.first").alias("root_first"), F.col("root.fp").alias("root_fp"))
+    both = distinct.join(joined, "fp", "left")
+    return known, cut(both.select("fp", F.coalesce("root_first", "first").alias("first"), F.coalesce("root_fp", "fp").alias("root_fp")))
+
+
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, chunk: int = CHUNK, two_from: int = 1 << 24) -> DataFrame:
+    """(doc_id, fp, component_id) per document; component_id is the smallest doc_id reachable over links.
+
+    Rows with a null doc_id are linked too but name no component: where no document
+    of one has an id it is null. Repeated rows share their fingerprint. From
+    ``two_from`` distinct fingerprints on, buckets share two blocks rather than one;
+    the result is the same.
+    """
+    known, names = _grouped(docs, budget, shingle, chunk, two_from)
+    return known.join(names, "fp").select("doc_id", "fp", F.nullif("first", F.lit(_NONE)).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, chunk: int = CHUNK, two_from: int = 1 << 24) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (ties: one text of it).
+
+    Repeated rows leave one. A component without any doc_id leaves one row too.
+    """
+    known, names = _grouped(docs, budget, shingle, chunk, two_from)
+    own = (F.coalesce("doc_id", F.lit(_NONE)) == F.col("first")) & (F.col("fp") == F.col("root_fp"))
+    chosen = known.join(names, "fp").where(own).groupBy("root_fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    chosen = chosen.select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
+    found = rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    once = found.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_text").orderBy("_doc", "_text")))
+    return once.where("_n = 1").select("_row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
