@@ -101,7 +101,7 @@ def test_halving_fold_is_not_a_mean(spark):
     for v in (10.0, 20.0, 40.0):
         ema = 0.1 * v + 0.9 * ema
     assert {r.k: r.e for r in out.collect()}["a"] == ema
-    linear = aggregates.linear_fold(["k"], ["seq"], "value", 0.9, 0.1)(df)
+    linear = aggregates.linear_fold(df, ["k"], ["seq"], "value", 0.9, 0.1, F.expr("seq div 2"))
     assert abs({r.k: r.folded for r in linear.collect()}["a"] - ema) < 1e-12
 
 
@@ -146,6 +146,26 @@ def test_state_on_batches(spark):
     assert got(first, "k", "seq") == [(1, 1), (2, 3)]
 
 
+def test_states_in_blocks_equal_one_group(spark):
+    r = random.Random(6)
+    df = frame(spark, [(r.choice("ab"), n, r.randint(1, 9)) for n in range(60)], "k string, seq int, v int")
+    first = lambda a, b: a
+    whole, blocks = (got(state.reducing(df, ["k"], ["seq"], "v", first, b), "k", "state") for b in (None, F.expr("seq div 7")))
+    assert whole == blocks
+    start = F.lit("").cast("string")
+    add = lambda acc, v: F.concat(acc, v.cast("string"))
+    for block in (None, F.expr("seq div 7")):
+        out = state.aggregating(df, ["k"], ["seq"], "v", start, add, lambda acc: F.upper(acc), lambda a, b: F.concat(a, b), block)
+        model = {k: "".join(str(x.v) for x in df.orderBy("seq").collect() if x.k == k) for k in "ab"}
+        assert {x.k: x.state for x in out.collect()} == model
+
+
+def test_lookup_checks_the_size(spark):
+    df, small = frame(spark, [(1,), (2,)], "k int"), frame(spark, [(1, "x")], "k int, name string")
+    for most in (5, 0):
+        assert sorted(((r.k, r.name) for r in joins.lookup(df, small, ["k"], max_rows=most).collect())) == [(1, "x"), (2, None)]
+
+
 def test_watermarks_as_data(spark):
     df = frame(spark, [(n, at(s)) for n, s in enumerate([10, 3, 20, 14, 16, 15])], "seq int, ts timestamp_ntz")
     for block in (None, F.expr("seq div 2")):

@@ -7,7 +7,7 @@ from weirflow.operators import windows
 from weirflow.operators.times import WatermarkStrategy
 from weirflow.plans import graph
 from weirflow.plans.environment import Environment
-from weirflow.sources import sinks
+from weirflow.sources import readers, sinks
 from weirflow.streaming import processors
 from weirflow.streaming.jobs import Jobs, drain, progress_metrics
 
@@ -90,6 +90,20 @@ def test_running_and_process_over_batches_of_a_stream(spark, folder):
         processors.running(stream(spark, path), "k", ["ts"], "v", "median", "k string")
 
 
+def test_late_rows_can_fire_again(spark, folder):
+    path = f"{folder}/in"
+    for n, rows in enumerate([[("a", 1, 1), ("a", 9, 2)], [("a", 30, 4)], [("a", 2, 8)], [("a", 60, 16)]]):
+        write(spark, path, n, rows)
+    out = drain(processors.refiring_windows(stream(spark, path), "k", 10_000, 5000, int.__add__, "v", "key string, start_ms bigint, end_ms bigint, value bigint"), "refire", "update")
+    start = int(START.replace(tzinfo=__import__("datetime").timezone.utc).timestamp() * 1000)
+    assert sorted(((r.start_ms - start) // 1000, r.value) for r in out.collect()) == [(0, 3), (0, 8), (30, 4)]
+
+
+def test_collection_stream(spark):
+    df = readers.collection_stream(spark, ["x", "y", "z"], "value string", per_trigger=2)
+    assert [r.value for r in drain(df.select("seq", "value"), "collected").orderBy("seq").collect()] == ["x", "y", "z"]
+
+
 class Cell:
     def __init__(self):
         self.held = None

@@ -111,19 +111,20 @@ def smoothed(order: list[str], value: Column | str, share: float = 0.1) -> Colum
     return ordered_fold(order, value, F.lit(0.0), lambda acc, x: F.lit(share) * x + F.lit(rest) * acc)
 
 
-def linear_fold(keys: list[str], order: list[str], value: str, keep: float, take: float, horizon: int = 4096) -> Callable[[DataFrame], DataFrame]:
-    """acc = keep acc + take x, from 0, without collecting a group: terms older than ``horizon`` rows are below any double's reach if ``keep`` is at most about 0.8.
+def linear_fold(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float, take: float, block: Column, out: str = "folded") -> DataFrame:
+    """(keys, ``out``): acc = keep acc + take x over each key's rows in order, from 0.
 
-    Returns a function from rows to (keys, ``folded``); only the last ``horizon`` rows
-    of each key are shuffled (the limit is applied before the shuffle too).
+    The fold is a weighted sum, so no group is collected: rows are weighted within
+    blocks (a coarser value of the order, such as the day), and blocks by how many
+    rows of the key come after them. Equal to the fold up to rounding.
     """
-    last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-
-    def apply(df: DataFrame) -> DataFrame:
-        recent = df.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= horizon)
-        return recent.groupBy(*keys).agg(F.sum(F.col(value) * F.lit(take) * F.pow(F.lit(keep), F.col("_n") - 1)).alias("folded"))
-
-    return apply
+    at = [*keys, "_block"]
+    back = Window.partitionBy(*at).orderBy(*[F.desc(c) for c in order])
+    weighed = df.withColumn("_block", block).withColumn("_n", F.row_number().over(back))
+    parts = weighed.groupBy(*at).agg(F.sum(F.col(value) * F.lit(take) * F.pow(F.lit(keep), F.col("_n") - 1)).alias("_part"), F.count("*").alias("_rows"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.sum("_rows").over(later), F.lit(0))
+    return parts.withColumn("_part", F.col("_part") * F.pow(F.lit(keep), after)).groupBy(*keys).agg(F.sum("_part").alias(out))
 
 
 def backpressure(df: DataFrame, keys: list[str], order: list[str], wait: str, samples: int = 100, limit_ms: float = 1.0) -> DataFrame:

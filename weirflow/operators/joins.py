@@ -29,7 +29,7 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, bound_ms: int, le
         return l.join(r, on, how)
     bucket = lambda ms: F.floor(ms / F.lit(bound_ms)).cast("bigint")
     at = epoch_ms(lt)
-    l = l.withColumn("_lb", F.explode(F.sequence(bucket(at - bound_ms) , bucket(at + bound_ms))))
+    l = l.withColumn("_lb", F.explode(F.sequence(bucket(at - bound_ms), bucket(at + bound_ms))))
     r = r.withColumn("_rb", bucket(epoch_ms(rt)))
     return l.join(r, on & (F.col("_lb") == F.col("_rb"))).drop("_lb", "_rb")
 
@@ -41,3 +41,9 @@ def attribution(clicks: DataFrame, impressions: DataFrame, key: str = "ad_id", b
     return pairs.select(
         F.col("l_user_id").alias("user_id"), F.col(f"l_{key}").alias(key), c.alias("click_timestamp"), i.alias("impression_timestamp"), (c - i).alias("time_to_click_ms")
     )
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", max_rows: int = 100_000) -> DataFrame:
+    """Join a table by key; it is sent to all tasks only if it has at most ``max_rows`` rows, and shuffled otherwise."""
+    small = table.limit(max_rows + 1).count() <= max_rows
+    return df.join(F.broadcast(table) if small else table, keys, how)

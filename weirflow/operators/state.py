@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.operators.aggregates import ordered_fold, ordered_reduce
+
 
 def keyed_process(df: DataFrame, keys: list[str], order: list[str], function: Callable, schema: str) -> DataFrame:
     """``function(key, row, state) -> (rows, new state)`` over each key's rows in order.
@@ -45,15 +47,25 @@ def deduplicate(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.where(F.col("_n") == 1).drop("_n")
 
 
-def reducing(df: DataFrame, keys: list[str], order: list[str], value: str, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """Final reducing state of each key: the first value, then ``step(current, next)``."""
-    from weirflow.operators.aggregates import ordered_reduce
+def reducing(df: DataFrame, keys: list[str], order: list[str], value: str, step: Callable[[Column, Column], Column], block: Column | None = None) -> DataFrame:
+    """Final reducing state of each key: the first value, then ``step(current, next)``.
 
-    return df.groupBy(*keys).agg(ordered_reduce(order, value, step).alias("state"))
+    With ``block`` (a coarser value of the order) an associative step is applied
+    within blocks first and then over the blocks' states, so that no task holds all
+    values of a key.
+    """
+    if block is None:
+        return df.groupBy(*keys).agg(ordered_reduce(order, value, step).alias("state"))
+    parts = df.withColumn("_block", block).groupBy(*keys, "_block").agg(ordered_reduce(order, value, step).alias("_state"))
+    return parts.groupBy(*keys).agg(ordered_reduce(["_block"], "_state", step).alias("state"))
 
 
-def aggregating(df: DataFrame, keys: list[str], order: list[str], value: str, start: Column, add: Callable, get: Callable) -> DataFrame:
-    """Final aggregating state of each key: ``get`` of what ``add`` made of ``start``."""
-    from weirflow.operators.aggregates import ordered_fold
+def aggregating(df: DataFrame, keys: list[str], order: list[str], value: str, start: Column, add: Callable, get: Callable, merge: Callable | None = None, block: Column | None = None) -> DataFrame:
+    """Final aggregating state of each key: ``get`` of what ``add`` made of ``start``.
 
-    return df.groupBy(*keys).agg(ordered_fold(order, value, start, add, get).alias("state"))
+    With ``merge`` and ``block`` accumulators are made within blocks and merged in order.
+    """
+    if block is None or merge is None:
+        return df.groupBy(*keys).agg(ordered_fold(order, value, start, add, get).alias("state"))
+    parts = df.withColumn("_block", block).groupBy(*keys, "_block").agg(ordered_fold(order, value, start, add).alias("_state"))
+    return parts.groupBy(*keys).agg(ordered_fold(["_block"], "_state", start, merge, get).alias("state"))

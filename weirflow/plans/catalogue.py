@@ -217,10 +217,19 @@ def _(spark, folder):
 
 
 @query("ema_latency", """
-SELECT user_id, list_reduce(list_prepend(0.0::double, list(value ORDER BY ts, event_id)), lambda a, b: 0.1::double * b + 0.9::double * a) AS ema FROM events GROUP BY user_id
+SELECT user_id, round(list_reduce(list_prepend(0.0::double, list(value ORDER BY ts, event_id)), lambda a, b: 0.1::double * b + 0.9::double * a), 6) AS ema FROM events GROUP BY user_id
 """)
 def _(spark, folder):
-    return _events(spark, folder).groupBy("user_id").agg(aggregates.smoothed(ORDER, "value", 0.1).alias("ema"))
+    out = aggregates.linear_fold(_events(spark, folder), ["user_id"], ORDER, "value", 0.9, 0.1, _day(), "ema")
+    return out.select("user_id", F.round("ema", 6).alias("ema"))
+
+
+@query("ordered_ema", f"""
+SELECT user_id, {_HOUR_START} AS window_start, list_reduce(list_prepend(0.0::double, list(value ORDER BY ts, event_id)), lambda a, b: 0.3::double * b + 0.7::double * a) AS ema FROM events GROUP BY ALL
+""")
+def _(spark, folder):
+    out = windows.aggregate(_events(spark, folder), ["user_id"], windows.Tumbling(HOUR), aggregates.smoothed(ORDER, "value", 0.3).alias("ema"))
+    return out.select("user_id", "window_start", "ema")
 
 
 @query("job_metrics", """
@@ -243,7 +252,7 @@ def _(spark, folder):
 
 @query("reducing_state_max", "SELECT user_id, max(value) AS state FROM events GROUP BY user_id")
 def _(spark, folder):
-    return state.reducing(_events(spark, folder), ["user_id"], ORDER, "value", lambda a, b: F.greatest(a, b))
+    return state.reducing(_events(spark, folder), ["user_id"], ORDER, "value", lambda a, b: F.greatest(a, b), _day())
 
 
 @query("aggregating_state_avg", "SELECT user_id, sum(value::decimal(18,2))::double / count(*) AS state FROM events GROUP BY user_id")
@@ -251,7 +260,8 @@ def _(spark, folder):
     df = _events(spark, folder).withColumn("value", x.exact("value"))
     start = F.struct(F.lit(0).cast("decimal(28,2)").alias("s"), F.lit(0).cast("bigint").alias("n"))
     add = lambda acc, v: F.struct((acc["s"] + v).cast("decimal(28,2)").alias("s"), (acc["n"] + 1).alias("n"))
-    return state.aggregating(df, ["user_id"], ORDER, "value", start, add, lambda acc: acc["s"].cast("double") / acc["n"])
+    merge = lambda a, b: F.struct((a["s"] + b["s"]).cast("decimal(28,2)").alias("s"), (a["n"] + b["n"]).alias("n"))
+    return state.aggregating(df, ["user_id"], ORDER, "value", start, add, lambda acc: acc["s"].cast("double") / acc["n"], merge, _day())
 
 
 # -- joins and state ---------------------------------------------------------------
@@ -288,6 +298,14 @@ def _(spark, folder):
     return pairs.select(F.col("l_event_id").alias("a"), F.col("r_event_id").alias("b"))
 
 
+@query("lookup_nation", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def _(spark, folder):
+    t = lambda name: readers.table(spark, folder, name)
+    c = t("customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    out = joins.lookup(c, t("nation"), ["n_nationkey"]).withColumnRenamed("n_regionkey", "r_regionkey")
+    return joins.lookup(out, t("region"), ["r_regionkey"]).select("c_custkey", "n_name", "r_name")
+
+
 @query("dedup_first", """
 SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1
 """)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirflow.session import shared_path
 from weirflow.sources.schemas import RECORD
 
 
@@ -32,6 +33,17 @@ def collection(spark: SparkSession, rows: list, schema: str | T.StructType, ts:
     return df if ts or "ts" in df.columns else df.withColumn("ts", F.current_timestamp())
 
 
+def collection_stream(spark: SparkSession, rows: list, schema: str | T.StructType, per_trigger: int | None = None) -> DataFrame:
+    """The same rows as a stream, in order of files of ``per_trigger`` rows in the shared folder."""
+    df = collection(spark, rows, schema)
+    path = shared_path(spark, "collection")
+    step = per_trigger or max(1, len(rows))
+    for k in range(0, max(1, len(rows)), step):
+        df.where((F.col("seq") >= k) & (F.col("seq") < k + step)).coalesce(1).write.parquet(f"{path}/batch={k:012d}")
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{path}/batch=*")
+
+
 def csv_file(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """A CSV file with a header, all columns as text. ``limit`` takes the first rows only (a preview)."""
     df = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").csv(path)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -132,6 +133,45 @@ def running(df: DataFrame, key: str, order: list[str], value: str, function: str
     return keyed_process(df, [key], order, step, schema, ttl_ms)
 
 
+class RefiringWindows(StatefulProcessor):
+    """Tumbling windows whose late rows are not dropped but fire their window again.
+
+    The clock is the largest time of the key less the delay. A window fires once it
+    has ended by that clock, with the fold of the rows that came since it last fired.
+    """
+
+    def __init__(self, size_ms: int, delay_ms: int, step: Callable, value: str, ts: str):
+        self.size_ms, self.delay_ms, self.step, self.value, self.ts = size_ms, delay_ms, step, value, ts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cell = handle.getValueState("windows", "value binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        clock, open_ = pickle.loads(self.cell.get()[0]) if self.cell.exists() else (None, {})
+        out = []
+        frame = pd.concat(list(rows))
+        for at, value in zip(frame[self.ts].map(lambda t: int(t.timestamp() * 1000)), frame[self.value].tolist()):
+            start = at // self.size_ms * self.size_ms
+            open_[start] = self.step(open_[start], value) if start in open_ else value
+            clock = at - self.delay_ms if clock is None else max(clock, at - self.delay_ms)
+            for w in sorted(w for w in open_ if w + self.size_ms <= clock):
+                out.append((*key, w, w + self.size_ms, open_.pop(w)))
+        self.cell.update((pickle.dumps((clock, open_)),))
+        yield pd.DataFrame(out)[[*range(len(key) + 3)]].set_axis(self.names(key), axis=1) if out else pd.DataFrame(columns=self.names(key))
+
+    @staticmethod
+    def names(key) -> list[str]:
+        return [*(f"key{k}" if k else "key" for k in range(len(key))), "start_ms", "end_ms", "value"]
+
+    def close(self) -> None:
+        pass
+
+
+def refiring_windows(df: DataFrame, key: str, size_ms: int, delay_ms: int, step: Callable, value: str, schema: str, ts: str = "ts") -> DataFrame:
+    """Windows per key with late rows kept; ``schema`` names key, start_ms, end_ms and value. Rows of a micro-batch are taken as they come."""
+    return df.withColumnRenamed(key, "key").groupBy("key").transformWithStateInPandas(RefiringWindows(size_ms, delay_ms, step, value, ts), schema, "Update", "None")
+
+
 def deduplicate(df: DataFrame, keys: list[str], delay_ms: int | None = None, ts: str = "ts") -> DataFrame:
     """First row of each key. With a delay, keys are forgotten once the watermark is past them by that much."""
     if delay_ms is None:
