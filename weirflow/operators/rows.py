@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirflow.session import ship
+
 Expression = Column | str | Callable
 
 
@@ -22,6 +24,7 @@ def _column(expression: Column | str) -> Column:
 
 def _attempt(df: DataFrame, function: Callable, inputs: list[str], returns: T.DataType | str, failed=None) -> Column:
     """struct(ok, value) of a Python function of the input columns."""
+    ship(df.sparkSession)
     kind = T._parse_datatype_string(returns) if isinstance(returns, str) else returns
     out = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("value", kind)])
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.operators.aggregates import ordered_fold, ordered_reduce
+from weirflow.session import ship
 
 
 def keyed_process(df: DataFrame, keys: list[str], order: list[str], function: Callable, schema: str) -> DataFrame:
@@ -21,6 +22,7 @@ def keyed_process(df: DataFrame, keys: list[str], order: list[str], function: Ca
     """
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     columns = df.columns
+    ship(df.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = object(), None

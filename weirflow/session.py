@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from dataclasses import dataclass, field, fields, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +79,20 @@ def session(settings: Settings | None = None) -> SparkSession:
     return builder.config(map=settings.conf()).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_weirflow_shipped", False):
+        return
+    root = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="weirflow-")) / "weirflow.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path("weirflow") / file.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._weirflow_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
     sc = spark.sparkContext

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from weirflow.session import ship
+
 
 class ReducingState:
     """First value, then ``step(current, next)``; a stored None counts as empty."""
@@ -114,6 +116,7 @@ def keyed_process(df: DataFrame, keys: list[str], order: list[str], function: Ca
     """The streaming twin of the batch operator of that name; rows of a micro-batch are taken in order."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     time = "ProcessingTime" if ttl_ms else "None"
+    ship(df.sparkSession)
     return df.groupBy(*keys).transformWithStateInPandas(KeyedProcess(function, order, names, ttl_ms), schema, "Update", time)
 
 
@@ -169,6 +172,7 @@ class RefiringWindows(StatefulProcessor):
 
 def refiring_windows(df: DataFrame, key: str, size_ms: int, delay_ms: int, step: Callable, value: str, schema: str, ts: str = "ts") -> DataFrame:
     """Windows per key with late rows kept; ``schema`` names key, start_ms, end_ms and value. Rows of a micro-batch are taken as they come."""
+    ship(df.sparkSession)
     return df.withColumnRenamed(key, "key").groupBy("key").transformWithStateInPandas(RefiringWindows(size_ms, delay_ms, step, value, ts), schema, "Update", "None")
 
 
