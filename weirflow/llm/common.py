@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from weirflow.session import ship
+
 ARROW = {
     "long": pa.int64(),
     "int": pa.int32(),
@@ -84,4 +86,10 @@ def map_batches(df: DataFrame, ddl: str, make: Callable[[], Callable]) -> DataFr
             arrays = [(c if isinstance(c, pa.Array) else pa.array(c, type=f.type)).cast(f.type) for c, f in zip(out, schema)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return df.mapInArrow(run, ddl)
+    return map_arrow(df, run, ddl)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package sent to the executors first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import map_batches, read
+from weirflow.llm.common import map_arrow, map_batches, read
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed by the query's contract.
@@ -420,7 +420,7 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
             columns[at] = pa.array(clean, type=batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    out = docs.mapInArrow(run, kinds)
+    out = map_arrow(docs, run, kinds)
     return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

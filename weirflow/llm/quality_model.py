@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import labelled
-from weirflow.llm.common import map_batches, read
+from weirflow.llm.common import map_arrow, map_batches, read
 from weirflow.llm.text_stats import base_counts
 
 #: Bound of the labelled sample the tables are fitted on.
@@ -211,7 +211,7 @@ def filter_documents(docs: DataFrame, model: Additive, threshold: float = THRESH
                 p = shared.value.score(np.array([features(t) for t in batch.column(at).to_pylist()], float))
                 yield batch.filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

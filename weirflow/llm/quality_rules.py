@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import labelled
-from weirflow.llm.common import map_batches, read
+from weirflow.llm.common import map_arrow, map_batches, read
 from weirflow.llm.text_stats import base_counts
 
 #: Bound of the labelled sample the list is learned from.
@@ -209,7 +209,7 @@ def filter_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
             counts = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *counts], names=[*batch.schema.names, *(f"_stat_{n}" for n in names)])
 
-    counted = docs.mapInArrow(run, schema)
+    counted = map_arrow(docs, run, schema)
     stats = counted.select(F.struct(*docs.columns).alias("_row"), *(F.col(f"_stat_{n}").alias(n) for n in names))
     return stats.where(~base_failed() & (verdict(rules) == 0)).select("_row.*")
 

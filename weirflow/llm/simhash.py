@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import arrow_schema, cut, map_batches, read, shuffle_partitions
+from weirflow.llm.common import arrow_schema, cut, map_arrow, map_batches, read, shuffle_partitions
 
 #: Fixed by the query's contract.
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -181,7 +181,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, spare:
         if held.shape[1]:
             yield _stars(held, budget, schema)
 
-    return sorted_.mapInArrow(run, STAR)
+    return map_arrow(sorted_, run, STAR)
 
 
 def _stars(rows: np.ndarray, budget: int, schema: pa.Schema) -> pa.RecordBatch:

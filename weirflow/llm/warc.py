@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import arrow_schema, cut, map_batches, read, shared_path
+from weirflow.llm.common import arrow_schema, cut, map_arrow, map_batches, read, shared_path
 
 #: Fixed by the archive format: magic number of the frame that holds the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -238,7 +238,7 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
             else:
                 fs.delete_file(name + ".part")
 
-    return cut(records.mapInArrow(run, MANIFEST))
+    return cut(map_arrow(records, run, MANIFEST))
 
 
 def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
@@ -262,7 +262,7 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> Da
                     if rows:
                         yield _batch(rows, schema)
 
-    return manifest.select("file").repartition(max(1, manifest.rdd.getNumPartitions()), "file").mapInArrow(run, ddl)
+    return map_arrow(manifest.select("file").repartition(max(1, manifest.rdd.getNumPartitions()), "file"), run, ddl)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
