@@ -61,7 +61,7 @@ def test_scan_keeps_nearest_whatever_the_batch():
     turn = ann.rotation(64)
     turned = x @ turn
     blocks = [turned[:, a : a + 16] for a in range(0, 64, 16)]
-    at, near = ann.scan(q, x, q @ turn, blocks, 10, epsilon=50, batch=100)
+    at, near = ann.scan(q, x, q @ turn, blocks, 10, np.random.default_rng(1).permutation(3000), epsilon=50, batch=100)
     exact = np.sqrt(((x - q) ** 2).sum(1))
     assert set(np.argsort(exact)[:10]) <= set(at) and np.allclose(near, exact[at])
     near_all = ann.scan(q, x, q @ turn, blocks, 10, batch=100)[0]
@@ -98,5 +98,22 @@ def test_blocks_of_lists_and_queries_change_nothing(spark, monkeypatch):
     assert {q: [v for v, _ in n] for q, n in brute(ids, x).items()} == {q: [v for v, _ in n] for q, n in blocks.items()} == {q: [v for v, _ in n] for q, n in whole.items()}
 
 
+def test_probes_are_calibrated_for_vectors_without_clusters(spark):
+    r = np.random.default_rng(11)
+    x = r.standard_normal((3000, 32)).astype(np.float32)
+    ids = np.arange(3000) * 10
+    got, want = run(spark, frame(spark, ids, x), lists=60), brute(ids, x)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in near}) for q, near in want.items())
+    assert hits >= 0.93 * sum(map(len, want.values()))
+    few = run(spark, frame(spark, ids, x), lists=60, probes=3)
+    assert sum(len({v for v, _ in few[q]} & {v for v, _ in near}) for q, near in want.items()) < hits
+
+
+def test_lists_share_shards():
+    held = {0: 5, 1: 4, 2: 30, 3: 2, 4: 3}
+    out = ann.blocks_of_lists(held, 10)
+    assert out[0] == out[1] == (0, 1) and out[2] == (1, 3) and out[3] == out[4] == (2, 1)
+
+
 def test_smallest_table(spark):
     assert ann.op3_adaptive_scan(spark, SMALL).count() > 0

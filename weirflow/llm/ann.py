@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by adaptive dimension scans of inverted lists.
 
 Vectors are dealt into lists by their nearest centroid (fitted on a bounded
-sample; every vector is indexed). A query probes its nearest lists. Within a list
-vectors are rotated at random and looked at in blocks of dimensions: after each
+sample; every vector is indexed). A query probes its nearest lists, as many as a
+sample's true neighbours ask for. Within lists vectors are rotated at random and looked at in blocks of dimensions: after each
 block a partial distance estimates the whole one, and a candidate that a
 hypothesis test finds too far is abandoned early. Survivors are measured exactly
 on their original components.
@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import arrow_schema, cut, map_batches, read
+from weirflow.llm.common import arrow_schema, cut, map_arrow, map_batches, read
 
 #: Bounds of the sample that centroids are fitted on: rows, and components in all.
 SAMPLE_ROWS, SAMPLE_COMPONENTS = 20_000, 8_000_000
 MAX_LISTS = 4096
-PROBES = 24
-#: Largest block of a list and of queries that meet in one task's memory.
+#: Probes are as many as hold this share of the true neighbours of this many sampled vectors.
+TARGET, CALIBRATION = 0.97, 96
+#: Largest block of rows (of some lists) and of queries that meet in one task's memory.
 LIST_BLOCK, QUERY_BLOCK = 8192, 1024
 DIMENSIONS = 16
 #: The test abandons a candidate at about this many standard errors beyond the best found.
@@ -76,16 +77,18 @@ def rotation(dimension: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(query: np.ndarray, vectors: np.ndarray, turned_query: np.ndarray, turned: list[np.ndarray], k: int, epsilon: float = EPSILON, batch: int = 1024):
+def scan(query: np.ndarray, vectors: np.ndarray, turned_query: np.ndarray, turned: list[np.ndarray], k: int, order: np.ndarray | None = None, epsilon: float = EPSILON, batch: int = 1024):
     """Indices and exact distances of (about) the ``k`` nearest of ``vectors``, ties at the end included.
 
-    ``turned`` holds the rotated vectors in column blocks. The first batch is
-    measured in full; later ones only as far as the test asks for.
+    ``turned`` holds the rotated vectors in column blocks, ``order`` the indices to
+    look at, likeliest first. The first batch is measured in full; later ones only
+    as far as the test asks for.
     """
     dims = len(query)
+    order = np.arange(len(vectors)) if order is None else order
     kept, near, limit = np.zeros(0, np.int64), np.zeros(0), math.inf
-    for at in range(0, len(vectors), batch):
-        alive = np.arange(at, min(at + batch, len(vectors)))
+    for at in range(0, len(order), batch):
+        alive = order[at : at + batch]
         if limit < math.inf:
             partial, seen = np.zeros(len(alive)), 0
             for block in turned:
@@ -108,12 +111,56 @@ def scan(query: np.ndarray, vectors: np.ndarray, turned_query: np.ndarray, turne
     return kept, near
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = PROBES, lists: int | None = None) -> DataFrame:
+def probes_needed(indexed: DataFrame, centres: np.ndarray, some: np.ndarray, k: int, target: float = TARGET) -> int:
+    """How many nearest lists hold ``target`` of the true ``k`` nearest of ``some`` vectors (at most ``CALIBRATION``), by brute force over all rows."""
+    shared = indexed.sparkSession.sparkContext.broadcast(some)
+    ddl = "asked int, list int, score double"
+    schema = arrow_schema(ddl)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0), np.zeros(0, np.int32)]
+        best = [held] * len(shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                x, lists = _matrix(batch.column(0)).astype(np.float64), batch.column(1).to_numpy()
+                for i, q in enumerate(shared.value):
+                    d = np.concatenate([best[i][0], np.sqrt(((x - q) ** 2).sum(1))])
+                    w = np.concatenate([best[i][1], lists])
+                    top = np.argpartition(d, min(k, len(d) - 1))[: k + 1]
+                    best[i] = [d[top], w[top]]
+        for i, (d, w) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), i, np.int32)), pa.array(w), pa.array(d)], schema=schema)
+
+    order = Window.partitionBy("asked").orderBy("score", "list")
+    found = map_arrow(indexed.select("vector", "list"), nearest, ddl).withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) & (F.col("n") <= k + 1))
+    place = np.argsort(np.argsort(_to_centres(some, centres), axis=1, kind="stable"), axis=1)
+    ranks = sorted(int(place[r["asked"], r["list"]]) for r in found.collect())
+    return ranks[max(0, math.ceil(target * len(ranks)) - 1)] + 1 if ranks else 1
+
+
+def blocks_of_lists(held: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
+    """list: (shard, row blocks). Lists are put together in shards of at most ``size`` rows; a larger one is a shard of its own, in blocks."""
+    out, shard, room = {}, -1, 0
+    for x, n in sorted(held.items()):
+        if n > size:
+            shard, room = shard + 1, 0
+            out[x] = shard, -(-n // size)
+        else:
+            if n > room:
+                shard, room = shard + 1, size
+            room -= n
+            out[x] = shard, 1
+    return out
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | None = None, lists: int | None = None, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of all other rows, by Euclidean distance.
 
     ``vectors`` and ``queries`` come from ``usable``. Ties go to the smaller id.
-    A query probes its ``probes`` nearest lists, and more until they hold more than
-    ``k`` rows, so that fewer than ``k`` come back only where there are fewer.
+    Every query probes ``probes`` nearest lists (calibrated for ``target`` if not
+    given), and more until they hold more than ``k`` rows, so that fewer than ``k``
+    come back only where there are fewer. Lists share shards, so that a query is
+    sent once to each shard that it needs.
     """
     spark = vectors.sparkSession
     distinct = cut(grouped(vectors, k + 1))
@@ -123,59 +170,73 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = PR
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = len(first[0])
     rows = max(1, min(SAMPLE_ROWS, SAMPLE_COMPONENTS // dims))
-    sample = distinct.select("vector").orderBy(F.xxhash64("vector")).limit(rows).toPandas()["vector"]
+    sample = np.array(distinct.select("vector").orderBy(F.xxhash64("vector")).limit(rows).toPandas()["vector"].tolist(), np.float32)
     lists = lists or max(1, min(MAX_LISTS, math.isqrt(total)))
-    centres = centroids(np.array(sample.tolist(), np.float32), lists)
+    centres = centroids(sample, lists)
     shared = spark.sparkContext.broadcast(centres)
 
     def assign():
         def work(vector, ids):
-            x = _matrix(vector)
-            return vector, ids, _to_centres(x, shared.value).argmin(1).astype(np.int32)
+            return vector, ids, _to_centres(_matrix(vector), shared.value).argmin(1).astype(np.int32)
 
         return work
 
     indexed = cut(map_batches(distinct.select("vector", "ids"), "vector array<float>, ids array<long>, list int", assign))
+    if probes is None:
+        probes = probes_needed(indexed, centres, sample[:CALIBRATION], k, target)
     held = {r["list"]: (r["n"], r["ids"]) for r in indexed.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()}
-    ids_in = spark.sparkContext.broadcast(np.array([held.get(x, (0, 0))[1] for x in range(len(centres))], np.int64))
+    shards = blocks_of_lists({x: n for x, (n, _) in held.items()}, LIST_BLOCK)
+    ids_in = np.array([held.get(x, (0, 0))[1] for x in range(len(centres))], np.int64)
+    shard_of = np.array([shards.get(x, (-1, 0))[0] for x in range(len(centres))], np.int64)
+    wide = spark.sparkContext.broadcast((ids_in, shard_of))
 
     def probe():
         def work(ids, vector):
-            x = _matrix(vector)
-            order = np.argsort(_to_centres(x, shared.value), axis=1, kind="stable")
-            enough = np.cumsum(ids_in.value[order], axis=1) > k
+            ids_in, shard_of = wide.value
+            order = np.argsort(_to_centres(_matrix(vector), shared.value), axis=1, kind="stable")
+            enough = np.cumsum(ids_in[order], axis=1) > k
             need = np.where(enough.any(1), enough.argmax(1) + 1, order.shape[1])
             count = np.minimum(np.maximum(need, probes), order.shape[1])
-            return ids, vector, [order[i, :c].astype(np.int32) for i, c in enumerate(count)]
+            chosen = [np.unique(s[s >= 0]).astype(np.int32) for s in (shard_of[order[i, :c]] for i, c in enumerate(count))]
+            return ids, vector, chosen, count.astype(np.int32)
 
         return work
 
     asked = queries.groupBy("id").agg(F.min("vector").alias("vector"))
-    probed = cut(map_batches(asked, "id long, vector array<float>, lists array<int>", probe)).select("id", "vector", F.explode("lists").alias("list"))
-    wanted = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}
-    # How many blocks of rows and of queries each list has: at most MAX_LISTS rows.
-    grid = [(x, -(-n // LIST_BLOCK), -(-wanted.get(x, 1) // QUERY_BLOCK)) for x, (n, _) in held.items()]
-    grid = F.broadcast(spark.createDataFrame(grid, "list int, row_blocks int, query_blocks int"))
+    probed = cut(map_batches(asked, "id long, vector array<float>, shards array<int>, probes int", probe))
+    probed = probed.select("id", "vector", "probes", F.explode("shards").alias("shard"))
+    wanted = {r["shard"]: r["count"] for r in probed.groupBy("shard").count().collect()}
+    # How many blocks of rows and of queries each list's shard has: at most MAX_LISTS rows.
+    grid = spark.createDataFrame([(x, s, n, -(-wanted.get(s, 1) // QUERY_BLOCK)) for x, (s, n) in shards.items()], "list int, shard int, row_blocks int, query_blocks int")
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = indexed.join(grid, "list").select("list", F.pmod(F.xxhash64("vector"), F.col("row_blocks")).cast("int").alias("r"), span("query_blocks").alias("q"), "vector", "ids")
-    right = probed.join(grid, "list").select("list", F.pmod(F.xxhash64("id"), F.col("query_blocks")).cast("int").alias("q"), span("row_blocks").alias("r"), "id", "vector")
+    left = indexed.join(F.broadcast(grid), "list").select("shard", F.pmod(F.xxhash64("vector"), F.col("row_blocks")).cast("int").alias("r"), span("query_blocks").alias("q"), "list", "vector", "ids")
+    per_shard = grid.groupBy("shard").agg(F.max("row_blocks").alias("row_blocks"), F.max("query_blocks").alias("query_blocks"))
+    right = probed.join(F.broadcast(per_shard), "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("query_blocks")).cast("int").alias("q"), span("row_blocks").alias("r"), "id", "vector", "probes")
     turn = spark.sparkContext.broadcast(rotation(dims).astype(np.float32))
     schema = arrow_schema("query_id long, vec_id long, score double")
 
     def meet(rows: pa.Table, asks: pa.Table) -> pa.Table:
         out = []
         if rows.num_rows and asks.num_rows:
-            x, asked = _matrix(rows["vector"]), _matrix(asks["vector"])
+            rows = rows.sort_by("list")
+            x, asked, own = _matrix(rows["vector"]), _matrix(asks["vector"]), rows["list"].to_numpy()
             turned, turned_asks = x @ turn.value, asked @ turn.value
             blocks = [np.ascontiguousarray(turned[:, a : a + DIMENSIONS]) for a in range(0, dims, DIMENSIONS)]
             ids = rows["ids"].to_pylist()
-            for i, query in enumerate(asks["id"].to_pylist()):
-                at, near = scan(asked[i].astype(np.float64), x, turned_asks[i], blocks, k + 1)
+            here = np.unique(own)
+            starts, ends = np.searchsorted(own, here), np.searchsorted(own, here, side="right")
+            place = np.argsort(np.argsort(_to_centres(asked, shared.value), axis=1, kind="stable"), axis=1)[:, here]
+            for i, (query, limit) in enumerate(zip(asks["id"].to_pylist(), asks["probes"].to_pylist())):
+                chosen = [c for c in np.argsort(place[i]) if place[i, c] < limit]
+                if not chosen:
+                    continue
+                order = np.concatenate([np.arange(starts[c], ends[c]) for c in chosen])
+                at, near = scan(asked[i].astype(np.float64), x, turned_asks[i], blocks, k + 1, order)
                 found = sorted((d, v) for j, d in zip(at.tolist(), near.tolist()) for v in ids[j] if v != query)[:k]
                 out += [(query, v, d) for d, v in found]
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    keys = ["list", "r", "q"]
+    keys = ["shard", "r", "q"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
