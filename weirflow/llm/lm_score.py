@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import labelled
-from weirflow.llm.common import arrow_schema, cut, map_batches, read
+from weirflow.llm.common import arrow_schema, cut, map_arrow, map_batches, read
 
 #: Entries of the vocabulary, with 0 for other words. Bigrams are at most its square, 2**22.
 VOCABULARY = 2048
@@ -62,7 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
@@ -104,35 +104,64 @@ def bigram_counts(marked: DataFrame, words: list[bytes], size: int = VOCABULARY)
             some = at[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (some, total[0, some], total[1, some])], schema=schema)
 
-    counts = marked.select("text", "target").mapInArrow(run, "pair long, background long, target long")
+    counts = map_arrow(marked.select("text", "target"), run, "pair long, background long, target long")
     return counts.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def loss(counts: np.ndarray, size: int, prior: float = PRIOR) -> np.ndarray:
-    """-log p(word | word before) for all pairs: bigram counts with the unigram model as prior, itself smoothed by one."""
-    n = counts.reshape(size, size).astype(np.float64)
-    single = (n.sum(0) + 1) / (n.sum() + size)
-    return -np.log((n + prior * single) / (n.sum(1, keepdims=True) + prior)).ravel()
+def loss(n: np.ndarray, single: np.ndarray, total: np.ndarray, size: int, prior: float = PRIOR) -> np.ndarray:
+    """-log p(word | word before) from a pair's count, the word's share and the count of pairs with the word before:
+    bigram counts with the unigram model, itself smoothed by one, as prior."""
+    return np.log(total + prior) - np.log(n + prior * single)
 
 
-def difference(counts: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Target loss less background loss of every pair (at most ``size`` squared counts come to the driver)."""
-    got = counts.toPandas()
-    table = np.zeros((2, size * size))
-    table[0, got["pair"].to_numpy(np.int64)] = got["background"]
-    table[1, got["pair"].to_numpy(np.int64)] = got["target"]
-    both = [loss(row, size) for row in table]
-    return np.stack([both[1], both[0]]).astype(np.float32)
+def losses(counts: DataFrame, size: int = VOCABULARY, prior: float = PRIOR) -> np.ndarray:
+    """Losses of all pairs, float32: target in row 0, background in row 1.
 
+    Marginal counts (``size`` rows each) are summed first. Executors turn counts to
+    losses and hand them on packed, 12 bytes a pair that occurs, so that the driver
+    holds no more than the two tables of ``size`` squared numbers and their parts.
+    """
+
+    def margin(index) -> np.ndarray:
+        out = np.zeros((2, size))
+        for r in counts.groupBy(index.cast("int").alias("at")).agg(F.sum("target").alias("t"), F.sum("background").alias("b")).collect():
+            out[:, r["at"]] = r["t"], r["b"]
+        return out
+
+    before, word = margin(F.floor(F.col("pair") / size)), margin(F.col("pair") % size)
+    single = (word + 1) / (word.sum(1, keepdims=True) + size)
+    shared = counts.sparkSession.sparkContext.broadcast((before, single))
+    schema = arrow_schema("pair binary, target binary, background binary")
 
-def score(docs: DataFrame, words: list[bytes], losses: np.ndarray, size: int = VOCABULARY) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, single = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                pair, background, target = (c.to_numpy() for c in batch.columns)
+                a, w = pair // size, pair % size
+                both = [loss(n, single[k][w], before[k][a], size, prior).astype(np.float32) for k, n in enumerate((target, background))]
+                packed = [pair.astype(np.int32).tobytes(), *(x.tobytes() for x in both)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], schema=schema)
+
+    out = np.empty((2, size * size), np.float32)
+    for k in range(2):  # pairs that do not occur
+        out[k] = (np.log(before[k] + prior).astype(np.float32)[:, None] - np.log(prior * single[k]).astype(np.float32)[None, :]).ravel()
+    # Few partitions, as they come to the driver one by one.
+    few = counts.select("pair", "background", "target").coalesce(32)
+    for row in map_arrow(few, run, "pair binary, target binary, background binary").toLocalIterator():
+        at = np.frombuffer(row["pair"], np.int32)
+        out[0, at], out[1, at] = np.frombuffer(row["target"], np.float32), np.frombuffer(row["background"], np.float32)
+    return out
+
+
+def score(docs: DataFrame, words: list[bytes], tables: np.ndarray, size: int = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every whole text.
 
     Losses are means per word; without words all are 0. Null texts have no words;
     null ids and repeated rows are scored like others; other columns are left out.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(({w: i for i, w in enumerate(words, 1)}, losses))
+    shared = sc.broadcast(({w: i for i, w in enumerate(words, 1)}, tables))
 
     def make():
         ids, (target, background) = shared.value
@@ -156,4 +185,4 @@ def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = read(spark, sf_dir, "documents")
     words = vocabulary(docs)
     counts = cut(bigram_counts(mark_target(docs, read(spark, sf_dir, "labels")), words))
-    return score(docs, words, difference(counts))
+    return score(docs, words, losses(counts))
