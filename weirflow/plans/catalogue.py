@@ -11,6 +11,7 @@ from weirflow.functions import codecs
 from weirflow.functions import expressions as x
 from weirflow.operators import aggregates, datafiles, joins, rows, state, times, windows
 from weirflow.plans import examples
+from weirflow.session import prepare
 from weirflow.sources import generators, readers, sinks
 from weirflow.streaming import processors
 from weirflow.streaming.jobs import drain
@@ -24,7 +25,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(function):
-        QUERIES[name] = function
+        QUERIES[name] = lambda spark, folder: function(prepare(spark), folder)
         if sql:
             ORACLES[name] = sql
         return function

@@ -79,6 +79,14 @@ def session(settings: Settings | None = None) -> SparkSession:
     return builder.config(map=settings.conf()).getOrCreate()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere what queries rely on: UTC, and the state store that keyed processors need."""
+    for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.streaming.stateStore.providerClass": ROCKSDB}.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context, so that their Python workers can import it."""
     sc = spark.sparkContext

@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from weirflow.session import ship
 
 
+def _by_value(function: Callable) -> None:
+    """Pickle processors and the function by value: Spark's runner for state set-up imports nothing that was sent with ``addPyFile``."""
+    for name in (__name__, getattr(function, "__module__", None)):
+        module = sys.modules.get(name or "")
+        if module is not None and name not in ("__main__", "builtins") and "site-packages" not in (getattr(module, "__file__", None) or "site-packages"):
+            cloudpickle.register_pickle_by_value(module)
+
+
 class ReducingState:
     """First value, then ``step(current, next)``; a stored None counts as empty."""
 
@@ -117,6 +126,7 @@ def keyed_process(df: DataFrame, keys: list[str], order: list[str], function: Ca
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     time = "ProcessingTime" if ttl_ms else "None"
     ship(df.sparkSession)
+    _by_value(function)
     return df.groupBy(*keys).transformWithStateInPandas(KeyedProcess(function, order, names, ttl_ms), schema, "Update", time)
 
 
@@ -173,6 +183,7 @@ class RefiringWindows(StatefulProcessor):
 def refiring_windows(df: DataFrame, key: str, size_ms: int, delay_ms: int, step: Callable, value: str, schema: str, ts: str = "ts") -> DataFrame:
     """Windows per key with late rows kept; ``schema`` names key, start_ms, end_ms and value. Rows of a micro-batch are taken as they come."""
     ship(df.sparkSession)
+    _by_value(step)
     return df.withColumnRenamed(key, "key").groupBy("key").transformWithStateInPandas(RefiringWindows(size_ms, delay_ms, step, value, ts), schema, "Update", "None")
 
 
