@@ -38,9 +38,7 @@ def brute(docs, good, size):
 
 
 def run(docs, labels, size):
-    vocabulary = lm.vocabulary(docs, size)
-    counts = lm.bigram_counts(lm.mark_target(docs, labels), vocabulary, size)
-    return lm.score(docs, vocabulary, lm.losses(counts, size), size).collect()
+    return lm.cross_entropy_difference(docs, labels, size).collect()
 
 
 def same(got, want):

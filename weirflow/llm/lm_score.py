@@ -32,15 +32,16 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def mark_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, target): target where the document is labelled 1 for quality, held-out labels aside.
+def mark_target(encoded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(ids, target): target where the document is labelled 1 for quality, held-out labels aside.
 
-    Ids with several labels count as target if any is 1. The labelled ids are joined,
-    not broadcast, as they grow with the corpus; they are distinct, so no row repeats.
+    Ids with several labels count as target if any is 1. Labels grow with the corpus,
+    so both sides are shuffled at every size; documents travel as word ids, 2 bytes a
+    word. The labelled ids are distinct, so no row repeats.
     """
     good = labels.where((F.col("quality") == 1) & ~labelled.held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("good_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(good, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))
+    rows = encoded.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
+    return rows.select("ids", F.col("good_id").isNotNull().alias("target"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -71,40 +72,53 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
     return [bytes(r["word"]) for r in rows]
 
 
-def encode(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
-    words = _words(text)
-    return np.fromiter((ids.get(w, 0) for w in words), np.int64, len(words))
+def encode(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """(doc_id, ids): every whole text as vocabulary entries, 0 for other words, in unsigned 16-bit integers. Null texts have none."""
+    if len(words) >= 1 << 16:
+        raise ValueError("the vocabulary must have fewer than 65,536 entries")
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words, 1)})
 
+    def make():
+        known = shared.value
+
+        def work(doc_ids, texts):
+            return doc_ids, [np.array([known.get(w, 0) for w in _words(t)], np.uint16).tobytes() for t in texts.to_pylist()]
+
+        return work
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, ids binary", make)
 
-def bigrams(x: np.ndarray, size: int) -> np.ndarray:
+
+def bigrams(ids: bytes, size: int) -> np.ndarray:
     """Index of each (word before, word); before the first word stands entry 0."""
+    x = np.frombuffer(ids, np.uint16).astype(np.int64)
     return np.concatenate([[0], x[:-1]]) * size + x if len(x) else x
 
 
-def bigram_counts(marked: DataFrame, words: list[bytes], size: int = VOCABULARY) -> DataFrame:
-    """(pair, background, target) over all documents."""
-    shared = marked.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words, 1)})
-    schema = arrow_schema("pair long, background long, target long")
+def bigram_counts(marked: DataFrame, size: int = VOCABULARY) -> DataFrame:
+    """(pair, background, target) over all documents; tasks count first and hand on sums."""
+    ddl = "pair long, background long, target long"
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total = shared.value, np.zeros((2, size * size), np.int32)
+        total = np.zeros((2, size * size), np.int64)
         for batch in batches:
             parts: list[list[np.ndarray]] = [[], []]
-            for text, target in zip(*(c.to_pylist() for c in batch.columns)):
-                pairs = bigrams(encode(text, ids), size)
+            for ids, target in zip(*(c.to_pylist() for c in batch.columns)):
+                pairs = bigrams(ids, size)
                 parts[0].append(pairs)
                 if target:
                     parts[1].append(pairs)
             for row, part in zip(total, parts):
                 if part:
                     at, n = np.unique(np.concatenate(part), return_counts=True)
-                    row[at] += n.astype(np.int32)
+                    row[at] += n
         at = np.flatnonzero(total[0])
         for lo in range(0, len(at), 1 << 16):
             some = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (some, total[0, some], total[1, some])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (some, total[0, some], total[1, some])], schema=schema)
 
-    counts = map_arrow(marked.select("text", "target"), run, "pair long, background long, target long")
+    counts = map_arrow(marked.select("ids", "target"), run, ddl)
     return counts.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
@@ -154,22 +168,21 @@ def losses(counts: DataFrame, size: int = VOCABULARY, prior: float = PRIOR) -> n
     return out
 
 
-def score(docs: DataFrame, words: list[bytes], tables: np.ndarray, size: int = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of every whole text.
+def score(encoded: DataFrame, tables: np.ndarray, size: int = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) of every encoded text.
 
-    Losses are means per word; without words all are 0. Null texts have no words;
-    null ids and repeated rows are scored like others; other columns are left out.
+    Losses are means per word; without words all are 0. Null ids and repeated rows
+    are scored like others.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(({w: i for i, w in enumerate(words, 1)}, tables))
+    shared = encoded.sparkSession.sparkContext.broadcast(tables)
 
     def make():
-        ids, (target, background) = shared.value
+        target, background = shared.value
 
         def work(doc_ids, texts):
             rows = []
-            for text in texts.to_pylist():
-                pairs = bigrams(encode(text, ids), size)
+            for ids in texts.to_pylist():
+                pairs = bigrams(ids, size)
                 n = len(pairs)
                 t, b = (float(m[pairs].sum(dtype=np.float64)) / n if n else 0.0 for m in (target, background))
                 rows.append((n, t, b, t - b))
@@ -177,12 +190,20 @@ def score(docs: DataFrame, words: list[bytes], tables: np.ndarray, size: int = V
 
         return work
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(rows, "doc_id long, n_tokens long, target_loss double, background_loss double, score double", make)
+    return map_batches(encoded.select("doc_id", "ids"), "doc_id long, n_tokens long, target_loss double, background_loss double, score double", make)
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
+    """Score of every document by models counted over all of them.
+
+    Null texts have no words and score 0; null ids and repeated rows are scored like
+    others; columns other than doc_id and text are left out. Encoded texts are
+    written once and serve counting and scoring.
+    """
+    encoded = cut(encode(docs, vocabulary(docs, size)))
+    counts = cut(bigram_counts(mark_target(encoded, labels), size))
+    return score(encoded, losses(counts, size), size)
 
 
 def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    words = vocabulary(docs)
-    counts = cut(bigram_counts(mark_target(docs, read(spark, sf_dir, "labels")), words))
-    return score(docs, words, losses(counts))
+    return cross_entropy_difference(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
