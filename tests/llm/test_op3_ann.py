@@ -93,6 +93,7 @@ def test_blocks_of_lists_and_queries_change_nothing(spark, monkeypatch):
     ids = np.arange(400) * 20
     whole = run(spark, frame(spark, ids, x), probes=99)
     monkeypatch.setattr(ann, "LIST_BLOCK", 7)
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 5)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
     blocks = run(spark, frame(spark, ids, x), probes=99)
     assert {q: [v for v, _ in n] for q, n in brute(ids, x).items()} == {q: [v for v, _ in n] for q, n in blocks.items()} == {q: [v for v, _ in n] for q, n in whole.items()}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import arrow_schema, cut, map_arrow, map_batches, read
+from weirflow.llm.common import arrow_schema, cut, map_arrow, map_batches, read, shuffle_partitions
 
 #: Bounds of the sample that centroids are fitted on: rows, and components in all.
 SAMPLE_ROWS, SAMPLE_COMPONENTS = 20_000, 8_000_000
@@ -27,6 +27,8 @@ MAX_LISTS = 4096
 TARGET, CALIBRATION = 0.97, 96
 #: Largest block of rows (of some lists) and of queries that meet in one task's memory.
 LIST_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Smallest block that rows of smaller tables are dealt in, so that all tasks get some.
+LEAST_BLOCK = 256
 DIMENSIONS = 16
 #: The test abandons a candidate at about this many standard errors beyond the best found.
 EPSILON = 2.1
@@ -185,7 +187,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int | No
     if probes is None:
         probes = probes_needed(indexed, centres, sample[:CALIBRATION], k, target)
     held = {r["list"]: (r["n"], r["ids"]) for r in indexed.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()}
-    shards = blocks_of_lists({x: n for x, (n, _) in held.items()}, LIST_BLOCK)
+    block = min(LIST_BLOCK, max(LEAST_BLOCK, total // (2 * shuffle_partitions(spark))))
+    shards = blocks_of_lists({x: n for x, (n, _) in held.items()}, block)
     ids_in = np.array([held.get(x, (0, 0))[1] for x in range(len(centres))], np.int64)
     shard_of = np.array([shards.get(x, (-1, 0))[0] for x in range(len(centres))], np.int64)
     wide = spark.sparkContext.broadcast((ids_in, shard_of))
