@@ -306,7 +306,10 @@ def sentences(count: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[
 
 
 def train(examples: list[tuple[str, list[Span]]], passes: int = PASSES, rate: float = 0.3, ridge: float = 1e-4) -> Model:
-    """Maximum likelihood by adaptive gradient steps, one window at a time."""
+    """Maximum likelihood by adaptive gradient steps, one window at a time.
+
+    Windows whose gradient is small already are visited in every fourth pass only.
+    """
     index: dict[str, int] = {}
     cases = []
     for text, spans in examples:
@@ -317,14 +320,17 @@ def train(examples: list[tuple[str, list[Span]]], passes: int = PASSES, rate: fl
             if found:
                 rows = [[index.setdefault(f, len(index)) for f in features(text, tokens[i][0], tokens[j - 1][1])] for i, j in found]
                 truth = [(c, gold[key]) for c, (i, j) in enumerate(found) if (key := (tokens[i][0], tokens[j - 1][1])) in gold]
-                cases.append((len(tokens), found, rows, truth))
+                cases.append([len(tokens), found, rows, truth, 1.0])
     weights, moves = np.zeros((len(index), len(KINDS))), np.zeros((len(KINDS) + 1,) * 2)
     moves[1:, 1:] = -2.0
     square, square_moves = np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)
     order = random.Random(SEED)
-    for _ in range(passes):
+    for number in range(passes):
         order.shuffle(cases)
-        for n, found, rows, truth in cases:
+        for case in cases:
+            n, found, rows, truth, off = case
+            if off < 0.02 and number % 4:
+                continue
             scores = np.array([weights[r].sum(0) for r in rows])
             _, marginal, moved = expectations(n, found, scores, moves)
             gap = -marginal
@@ -341,6 +347,7 @@ def train(examples: list[tuple[str, list[Span]]], passes: int = PASSES, rate: fl
             for _ in range(n - at):
                 true_moves[state, 0] += 1
                 state = 0
+            case[4] = float(np.abs(gap).max())
             for r, g in zip(rows, gap):
                 if np.abs(g).max() > 1e-4:
                     step = g - ridge * weights[r]
