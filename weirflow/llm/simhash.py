@@ -17,7 +17,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import arrow_schema, cut, map_arrow, map_batches, read, shuffle_partitions
@@ -262,11 +262,12 @@ def keep_one(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, chun
     known, names = _grouped(docs, budget, shingle, chunk, two_from)
     own = (F.coalesce("doc_id", F.lit(_NONE)) == F.col("first")) & (F.col("fp") == F.col("root_fp"))
     chosen = known.join(names, "fp").where(own).groupBy("root_fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
-    chosen = chosen.select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
-    found = rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
-    once = found.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_text").orderBy("_doc", "_text")))
-    return once.where("_n = 1").select("_row.*")
+    # Plain keys without nulls, the same for the join and for dropping repeats, so that rows are shuffled and sorted once.
+    key = lambda doc, text: [F.coalesce(doc, F.lit(0)).alias("_doc"), doc.isNull().alias("_null"), text.alias("_text")]
+    chosen = cut(chosen.select(*key(F.col("row.doc_id"), F.col("row.text_hash"))))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    keys = ["_doc", "_null", "_text"]
+    return rows.join(chosen.hint("merge"), keys).dropDuplicates(keys).select("_row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
