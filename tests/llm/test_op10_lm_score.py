@@ -72,3 +72,24 @@ def test_awkward_documents(spark):
     assert run(documents(spark, []), labels, 12) == []
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     same(run(documents(spark), none, 12), brute(TEXTS, set(), 12))
+
+
+def test_words_beyond_any_fixed_vocabulary_count(spark):
+    """Two equal documents of 3,000 words are told apart from one whose words occur nowhere else."""
+    rows = [(1, " ".join(f"common{k}" for k in range(3000))), (2, " ".join(f"common{k}" for k in range(3000))), (3, " ".join(f"alone{k}" for k in range(3000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = lm.cross_entropy_difference(docs, none).collect()
+    loss = {r.doc_id: r.background_loss for r in got}
+    assert loss[1] == loss[2] < loss[3] - 0.1
+    same(got, brute(rows, set(), lm.VOCABULARY))
+
+
+def test_chunks_and_parts_do_not_matter(spark, monkeypatch):
+    labels = spark.createDataFrame([(d, 1, 0) for d in range(9)], "doc_id long, quality int, toxic int")
+    import zlib
+
+    good = {d for d in range(9) if zlib.crc32(str(d).encode()) % 4 != 2}
+    monkeypatch.setattr(lm, "CHUNK", 20)
+    monkeypatch.setattr(lm, "PART", 500)
+    same(run(documents(spark), labels, lm.VOCABULARY), brute(TEXTS, good, lm.VOCABULARY))

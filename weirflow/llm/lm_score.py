@@ -2,46 +2,57 @@
 
 The target model is counted over documents labelled as good, the background model
 over all documents. Both are bigram models of the same form and smoothing over one
-vocabulary, the corpus's most frequent words with one entry for all others. A
-document's score is the mean over its words of target loss less background loss
-(in nats): the lower, the more it is like the target.
+vocabulary, every word of the corpus. A document's score is the mean over its words
+of target loss less background loss (in nats): the lower, the more it is like the
+target.
+
+Words and pairs go by 64-bit fingerprints. Documents are gathered in chunks, which
+ask for the counts of their distinct pairs and words; parts of the fingerprints'
+range add the counts up and answer each chunk, so that no table of the corpus is
+held in one place.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import labelled
-from weirflow.llm.common import arrow_schema, cut, map_arrow, map_batches, read
+from weirflow.llm.common import arrow_schema, cut, map_arrow, read, shuffle_partitions
 
-#: Entries of the vocabulary, with 0 for other words. Bigrams are at most its square, 2**22.
-VOCABULARY = 2048
+#: Entries that smoothing reckons with, 0 among them, which stands before the first word. Below this size only the most
+#: frequent words are kept, with 0 for all others; at this size every word of the corpus is.
+VOCABULARY = 1 << 32
 #: Weight of the unigram model in bigram probabilities, in counts.
 PRIOR = 16.0
 #: Distinct words that a task counts before it hands the counts on.
 HELD = 200_000
+#: Words of a chunk, above which it is handed on, and words of the corpus for each part of the counts.
+CHUNK = PART = 1 << 21
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def mark_target(encoded: DataFrame, labels: DataFrame) -> DataFrame:
-    """(ids, target): target where the document is labelled 1 for quality, held-out labels aside.
+def mark_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, target): target where the document is labelled 1 for quality, held-out labels aside.
 
     Ids with several labels count as target if any is 1. Labels grow with the corpus,
-    so both sides are shuffled at every size; documents travel as word ids, 2 bytes a
-    word. The labelled ids are distinct, so no row repeats.
+    so both sides are shuffled at every size. The labelled ids are distinct, so no row
+    repeats.
     """
     good = labels.where((F.col("quality") == 1) & ~labelled.held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("good_id")).distinct()
-    rows = encoded.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
-    return rows.select("ids", F.col("good_id").isNotNull().alias("target"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
+    return rows.select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -66,143 +77,212 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
+def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
     """The ``size`` - 1 most frequent words of the corpus, ties by bytes."""
     rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(size - 1).collect()
     return [bytes(r["word"]) for r in rows]
 
 
-def encode(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """(doc_id, ids): every whole text as vocabulary entries, 0 for other words, in unsigned 16-bit integers. Null texts have none."""
-    if len(words) >= 1 << 16:
-        raise ValueError("the vocabulary must have fewer than 65,536 entries")
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words, 1)})
+def pack(x: np.ndarray) -> bytes:
+    """Bytes of an array, compressed place by place: high bytes are mostly alike."""
+    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), asbytes=True)
 
-    def make():
-        known = shared.value
 
-        def work(doc_ids, texts):
-            return doc_ids, [np.array([known.get(w, 0) for w in _words(t)], np.uint16).tobytes() for t in texts.to_pylist()]
+def unpack(packed: bytes, kind: type, *shape: int) -> np.ndarray:
+    width, n = np.dtype(kind).itemsize, int(np.prod(shape))
+    raw = pa.Codec("zstd").decompress(packed, n * width, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).reshape(shape)
 
-        return work
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, ids binary", make)
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads them (the finisher of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def bigrams(ids: bytes, size: int) -> np.ndarray:
-    """Index of each (word before, word); before the first word stands entry 0."""
-    x = np.frombuffer(ids, np.uint16).astype(np.int64)
-    return np.concatenate([[0], x[:-1]]) * size + x if len(x) else x
+def chunks(marked: DataFrame, known: list[bytes] | None = None) -> DataFrame:
+    """Whole documents in chunks: their ids, numbers of words, targets, the words as numbers within the chunk and the words' fingerprints.
 
-
-def bigram_counts(marked: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """(pair, background, target) over all documents; tasks count first and hand on sums."""
-    ddl = "pair long, background long, target long"
+    Words that are not ``known`` (if given) have number 0. ``task`` and ``chunk`` name a chunk.
+    """
+    ddl = "task int, chunk long, doc_ids array<long>, sizes binary, target binary, n_tokens long, tokens binary, n_words long, words binary, n_target long"
     schema = arrow_schema(ddl)
+    shared = None if known is None else marked.sparkSession.sparkContext.broadcast(set(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size * size), np.int64)
+        task, chunk = TaskContext.get().partitionId(), 0
+        only = None if shared is None else shared.value
+
+        def fresh():
+            numbers = defaultdict(None, {None: 0})
+            numbers.default_factory = numbers.__len__
+            return numbers, array("I"), [], [], []
+
+        def out():
+            words = b"".join(blake2b(w, digest_size=8).digest() for w in numbers if w is not None)
+            n, marks, x = np.array(sizes, np.int64), np.array(targets, bool), np.frombuffer(tokens, np.uint32)
+            row = (task, chunk, doc_ids, n.tobytes(), marks.tobytes(), len(x), pack(x), len(numbers) - 1, words, int(n[marks].sum()))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+
+        numbers, tokens, doc_ids, sizes, targets = fresh()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], []]
-            for ids, target in zip(*(c.to_pylist() for c in batch.columns)):
-                pairs = bigrams(ids, size)
-                parts[0].append(pairs)
-                if target:
-                    parts[1].append(pairs)
-            for row, part in zip(total, parts):
-                if part:
-                    at, n = np.unique(np.concatenate(part), return_counts=True)
-                    row[at] += n
-        at = np.flatnonzero(total[0])
-        for lo in range(0, len(at), 1 << 16):
-            some = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (some, total[0, some], total[1, some])], schema=schema)
-
-    counts = map_arrow(marked.select("ids", "target"), run, ddl)
-    return counts.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def loss(n: np.ndarray, single: np.ndarray, total: np.ndarray, size: int, prior: float = PRIOR) -> np.ndarray:
+            for doc_id, text, target in zip(*(c.to_pylist() for c in batch.columns)):
+                words = _words(text)
+                if only is not None:
+                    words = [w if w in only else None for w in words]
+                tokens.extend(map(numbers.__getitem__, words))
+                doc_ids.append(doc_id)
+                sizes.append(len(words))
+                targets.append(target)
+                if len(tokens) > CHUNK or len(sizes) > CHUNK:
+                    yield out()
+                    chunk += 1
+                    numbers, tokens, doc_ids, sizes, targets = fresh()
+        if sizes:
+            yield out()
+
+    return map_arrow(marked.select("doc_id", "text", "target"), run, ddl)
+
+
+class Chunk:
+    """What a chunk asks for: its distinct pairs (word before, word) and words, each by fingerprint; before the first word stands 0."""
+
+    def __init__(self, row: dict):
+        self.sizes = np.frombuffer(row["sizes"], np.int64)
+        x = unpack(row["tokens"], np.uint32, row["n_tokens"]).astype(np.int64)
+        self.words = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(row["words"], np.uint64)])
+        self.starts = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
+        before = np.zeros_like(x)
+        before[1:] = x[:-1]
+        before[self.starts] = 0
+        at, self.place, n = np.unique(before * len(self.words) + x, return_inverse=True, return_counts=True)
+        self.before, self.word = at // len(self.words), at % len(self.words)
+        self.pairs = mix(mix(self.words[self.before]) * np.uint64(0x9E3779B97F4A7C15) + self.words[self.word])
+        marks = np.repeat(np.frombuffer(row["target"], bool), self.sizes)
+        self.counts = np.stack([np.bincount(self.place[marks], minlength=len(at)), n])
+        self.order = [np.argsort(k, kind="stable") for k in (self.pairs, self.words)]
+
+    def asked(self, parts: int) -> Iterator[tuple]:
+        """(part, pairs, their counts, words, their counts before words and as words), each part a range of fingerprints, target before background."""
+        margins = [np.bincount(at, n, len(self.words)).astype(np.int64) for at in (self.before, self.word) for n in self.counts]
+        keys = [k[o] for k, o in zip((self.pairs, self.words), self.order)]
+        counts = [c[:, o] for c, o in zip((self.counts, np.stack(margins)), self.order)]
+        bounds = [np.searchsorted(((k >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64)) for k in keys]
+        for part in range(parts):
+            (a, b), (c, d) = (x[part : part + 2] for x in bounds)
+            if b > a or d > c:
+                yield part, keys[0][a:b], counts[0][:, a:b], keys[1][c:d], counts[1][:, c:d]
+
+    def losses(self, pairs: np.ndarray, words: np.ndarray, total: tuple[int, int], size: int, prior: float) -> list[np.ndarray]:
+        """Mean target and background loss of each document, from the corpus's counts in the order that was asked."""
+        n, margins = np.empty_like(pairs), np.empty_like(words)
+        n[:, self.order[0]], margins[:, self.order[1]] = pairs, words
+        out = []
+        for k in range(2):
+            single = (margins[2 + k] + 1) / (total[k] + size)
+            each = loss(n[k], single[self.word], margins[k][self.before], prior)
+            means = np.zeros(len(self.sizes))
+            if len(self.starts):
+                means[self.sizes > 0] = np.add.reduceat(each[self.place], self.starts) / self.sizes[self.sizes > 0]
+            out.append(means)
+        return out
+
+
+def loss(n: np.ndarray, single: np.ndarray, total: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     """-log p(word | word before) from a pair's count, the word's share and the count of pairs with the word before:
     bigram counts with the unigram model, itself smoothed by one, as prior."""
     return np.log(total + prior) - np.log(n + prior * single)
 
 
-def losses(counts: DataFrame, size: int = VOCABULARY, prior: float = PRIOR) -> np.ndarray:
-    """Losses of all pairs, float32: target in row 0, background in row 1.
+def requests(held: DataFrame, parts: int) -> DataFrame:
+    """Distinct pairs and words of each chunk with their counts there, cut in parts."""
+    ddl = "part int, task int, chunk long, n_pairs long, pairs binary, pair_counts binary, n_words long, words binary, word_counts binary"
+    schema = arrow_schema(ddl)
 
-    Marginal counts (``size`` rows each) are summed first. Executors turn counts to
-    losses and hand them on packed, 12 bytes a pair that occurs, so that the driver
-    holds no more than the two tables of ``size`` squared numbers and their parts.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = [(part, row["task"], row["chunk"], len(p), pack(p), pack(m), len(w), pack(w), pack(n)) for part, p, m, w, n in Chunk(row).asked(parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
-    def margin(index) -> np.ndarray:
-        out = np.zeros((2, size))
-        for r in counts.groupBy(index.cast("int").alias("at")).agg(F.sum("target").alias("t"), F.sum("background").alias("b")).collect():
-            out[:, r["at"]] = r["t"], r["b"]
-        return out
+    return map_arrow(held, run, ddl)
+
+
+def answers(asked: DataFrame, parts: int) -> DataFrame:
+    """Counts of the corpus for every request, in its order; each part is one task's, whose size the number of parts bounds."""
+    ddl = "part int, task int, chunk long, n_pairs long, pair_counts binary, n_asked long, word_counts binary"
+    schema = arrow_schema(ddl)
 
-    before, word = margin(F.floor(F.col("pair") / size)), margin(F.col("pair") % size)
-    single = (word + 1) / (word.sum(1, keepdims=True) + size)
-    shared = counts.sparkSession.sparkContext.broadcast((before, single))
-    schema = arrow_schema("pair binary, target binary, background binary")
+    def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[np.ndarray]:
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.stack([np.bincount(at, n).astype(np.int64) for n in np.concatenate(counts, 1)])
+        ends = np.cumsum([len(k) for k in keys])
+        return (sums[:, at[end - len(k) : end]] for k, end in zip(keys, ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, single = shared.value
+        names, pairs, words = [], ([], []), ([], [])
         for batch in batches:
-            if batch.num_rows:
-                pair, background, target = (c.to_numpy() for c in batch.columns)
-                a, w = pair // size, pair % size
-                both = [loss(n, single[k][w], before[k][a], size, prior).astype(np.float32) for k, n in enumerate((target, background))]
-                packed = [pair.astype(np.int32).tobytes(), *(x.tobytes() for x in both)]
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], schema=schema)
-
-    out = np.empty((2, size * size), np.float32)
-    for k in range(2):  # pairs that do not occur
-        out[k] = (np.log(before[k] + prior).astype(np.float32)[:, None] - np.log(prior * single[k]).astype(np.float32)[None, :]).ravel()
-    # Few partitions, as they come to the driver one by one.
-    few = counts.select("pair", "background", "target").coalesce(32)
-    for row in map_arrow(few, run, "pair binary, target binary, background binary").toLocalIterator():
-        at = np.frombuffer(row["pair"], np.int32)
-        out[0, at], out[1, at] = np.frombuffer(row["target"], np.float32), np.frombuffer(row["background"], np.float32)
-    return out
-
-
-def score(encoded: DataFrame, tables: np.ndarray, size: int = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of every encoded text.
-
-    Losses are means per word; without words all are 0. Null ids and repeated rows
-    are scored like others.
-    """
-    shared = encoded.sparkSession.sparkContext.broadcast(tables)
+            for r in batch.to_pylist():
+                names.append((r["part"], r["task"], r["chunk"]))
+                for (keys, counts), n, k, c, rows in ((pairs, r["n_pairs"], r["pairs"], r["pair_counts"], 2), (words, r["n_words"], r["words"], r["word_counts"], 4)):
+                    keys.append(unpack(k, np.uint64, n))
+                    counts.append(unpack(c, np.int64, rows, n))
+        if names:
+            for name, p, w in zip(names, totals(*pairs), totals(*words)):
+                row = (*name, p.shape[1], pack(p), w.shape[1], pack(w))
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-    def make():
-        target, background = shared.value
+    return map_arrow(asked.repartitionById(parts, "part"), run, ddl)
 
-        def work(doc_ids, texts):
-            rows = []
-            for ids in texts.to_pylist():
-                pairs = bigrams(ids, size)
-                n = len(pairs)
-                t, b = (float(m[pairs].sum(dtype=np.float64)) / n if n else 0.0 for m in (target, background))
-                rows.append((n, t, b, t - b))
-            return [doc_ids, *map(list, zip(*rows))]
 
-        return work
+def score(held: DataFrame, answered: DataFrame, total: tuple[int, int], size: int = VOCABULARY, prior: float = PRIOR) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) of every document.
+
+    Losses are means per word; without words all are 0. Each chunk meets its answers
+    in the task that has the number of the task it came from.
+    """
+    ddl = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out():
+            pairs, words = (np.concatenate(x, 1) if x else np.zeros((rows, 0), np.int64) for x, rows in zip(got, (2, 4)))
+            chunk = Chunk(row)
+            t, b = chunk.losses(pairs, words, total, size, prior)
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((row["doc_ids"], chunk.sizes, t, b, t - b), schema)], schema=schema)
+
+        row, got = None, ([], [])
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] < 0:
+                    if row is not None:
+                        yield out()
+                    row, got = r, ([], [])
+                else:
+                    got[0].append(unpack(r["pair_counts"], np.int64, 2, r["n_pairs"]))
+                    got[1].append(unpack(r["word_counts"], np.int64, 4, r["n_asked"]))
+        if row is not None:
+            yield out()
 
-    return map_batches(encoded.select("doc_id", "ids"), "doc_id long, n_tokens long, target_loss double, background_loss double, score double", make)
+    both = held.withColumn("part", F.lit(-1)).unionByName(answered, allowMissingColumns=True)
+    met = both.repartitionById(max(held.rdd.getNumPartitions(), 1), "task").sortWithinPartitions("task", "chunk", "part")
+    return map_arrow(met, run, ddl)
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
     """Score of every document by models counted over all of them.
 
     Null texts have no words and score 0; null ids and repeated rows are scored like
-    others; columns other than doc_id and text are left out. Encoded texts are
-    written once and serve counting and scoring.
+    others; columns other than doc_id and text are left out. Chunks are written once
+    and serve counting and scoring.
     """
-    encoded = cut(encode(docs, vocabulary(docs, size)))
-    counts = cut(bigram_counts(mark_target(encoded, labels), size))
-    return score(encoded, losses(counts, size), size)
+    known = vocabulary(docs, size) if size < VOCABULARY else None
+    held = cut(chunks(mark_target(docs, labels), known))
+    n = held.agg(F.sum("n_target").alias("target"), F.sum("n_tokens").alias("all")).first()
+    total = (n["target"] or 0, n["all"] or 0)
+    parts = max(shuffle_partitions(docs.sparkSession), -(-total[1] // PART))
+    return score(held, answers(requests(held, parts), parts), total, size)
 
 
 def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
