@@ -105,6 +105,41 @@ def test_halving_fold_is_not_a_mean(spark):
     assert abs({r.k: r.folded for r in linear.collect()}["a"] - ema) < 1e-12
 
 
+def test_job_metrics_smooth_whole_groups(spark):
+    values = [(k, i, i % 7, float(i * 37 % 101), i * 13 % 17 / 16) for k in ("a", "b", None) for i in range(90 if k == "a" else 5)]
+    df = frame(spark, values, "k string, seq long, records long, latency_ms double, backpressure double").repartition(5)
+    out = aggregates.job_metrics(df, ["k"], ["seq"], F.expr("seq div 8"))
+    rows = {r.k: r for r in out.collect()}
+    assert set(rows) == {"a", "b", None}
+    for k, r in rows.items():
+        mine = [v for v in values if v[0] == k]
+        ema = 0.0
+        for v in mine:
+            ema = 0.3 * v[3] + 0.7 * ema
+        assert r.smoothed_latency_ms == pytest.approx(ema) and r.mean_latency_ms == pytest.approx(sum(v[3] for v in mine) / len(mine))
+        assert r.records == sum(v[2] for v in mine) and r.max_backpressure == max(v[4] for v in mine)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_job_metrics_query_calls_the_operator(spark, monkeypatch):
+    from oracle import SMALL
+
+    from weirflow.plans.catalogue import QUERIES
+
+    made = []
+    whole = aggregates.job_metrics
+    monkeypatch.setattr(aggregates, "job_metrics", lambda *a: made.append(whole(*a)) or made[-1])
+    QUERIES["job_metrics"](spark, SMALL)
+    events = spark.read.parquet(f"{SMALL}/events.parquet").orderBy("ts", "event_id").collect()
+    (out,) = made
+    for r in out.collect():
+        ema = 0.0
+        for e in events:
+            if e.event_type == r.event_type:
+                ema = 0.3 * e.value + 0.7 * ema
+        assert r.smoothed_latency_ms == pytest.approx(ema)
+
+
 @pytest.mark.parametrize("function", aggregates.FUNCTIONS)
 def test_running_in_blocks_equals_one_frame(spark, function):
     r = random.Random(4)

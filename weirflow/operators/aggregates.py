@@ -135,14 +135,21 @@ def backpressure(df: DataFrame, keys: list[str], order: list[str], wait: str, sa
     return df.select("*", (slow / n).alias("backpressure_ratio"), (F.sum(exact(wait)).over(over).cast("double") / n).alias("mean_wait"))
 
 
-def job_metrics(tasks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Totals of a job over its tasks' reports (records, latency_ms, backpressure)."""
-    return tasks.groupBy(*keys).agg(
+def job_metrics(tasks: DataFrame, keys: list[str], order: list[str], block: Column) -> DataFrame:
+    """Totals of a job over its tasks' reports (records, latency_ms, backpressure).
+
+    The smoothed latency runs over all of a key's reports in order, in blocks as in
+    ``linear_fold``, so that no group is collected.
+    """
+    totals = tasks.groupBy(*keys).agg(
         F.sum("records").alias("records"),
-        F.avg("latency_ms").alias("mean_latency_ms"),
-        smoothed(order, "latency_ms", 0.3).alias("smoothed_latency_ms"),
+        (F.sum("latency_ms").cast("double") / F.count("latency_ms")).alias("mean_latency_ms"),
         F.max("backpressure").alias("max_backpressure"),
     )
+    folded = linear_fold(tasks, keys, order, "latency_ms", 0.7, 0.3, block, "smoothed_latency_ms")
+    folded = folded.select(*(F.col(c).alias(f"_k_{c}") for c in keys), "smoothed_latency_ms")
+    both = totals.join(folded, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    return both.select(*keys, "records", "mean_latency_ms", "smoothed_latency_ms", "max_backpressure")
 
 
 def grouped_running(df: DataFrame, group: str | None, function: str, value: str | None, order: list[str], block: Column | None = None) -> DataFrame:

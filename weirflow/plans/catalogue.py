@@ -237,10 +237,10 @@ def _(spark, folder):
 SELECT event_type, sum(user_id)::bigint AS records, sum(value::decimal(18,2))::double / count(*) AS mean_latency_ms, max(value) AS max_backpressure FROM events GROUP BY event_type
 """)
 def _(spark, folder):
-    tasks = _events(spark, folder).select("event_type", "ts", "event_id", F.col("user_id").alias("records"), F.col("value").alias("latency_ms"), F.col("value").alias("backpressure"))
-    return tasks.groupBy("event_type").agg(
-        F.sum("records").alias("records"), (F.sum(x.exact("latency_ms")).cast("double") / F.count("*")).alias("mean_latency_ms"), F.max("backpressure").alias("max_backpressure")
-    )
+    e = _events(spark, folder)
+    tasks = e.select("event_type", "ts", "event_id", F.col("user_id").alias("records"), x.exact("value").alias("latency_ms"), F.col("value").alias("backpressure"))
+    out = aggregates.job_metrics(tasks, ["event_type"], ORDER, _day())
+    return out.select("event_type", "records", "mean_latency_ms", "max_backpressure")
 
 
 @query("backpressure_ratio", """
