@@ -44,6 +44,20 @@ def test_print_lines(spark):
     assert shown == ["[k] v", "w", "None"]
 
 
+def test_console_shows_every_row(spark, folder):
+    df = spark.range(2500).select(F.col("id").cast("string").alias("value")).repartition(3)
+    shown, some = [], []
+    sinks.to_console(df, out=shown.append)
+    sinks.to_console(df, out=some.append, rows=10)
+    assert sorted(shown, key=int) == [str(i) for i in range(2500)] and len(some) == 10
+    df.coalesce(1).write.parquet(f"{folder}/in")
+    batches = []
+    query = sinks.to_console(spark.readStream.schema("value string").parquet(f"{folder}/in"), out=batches.append)
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(batches) == sorted(shown)
+
+
 def test_generators_hold_their_promises(spark):
     s = generators.sensors(spark, 2000, anomaly_rate=0.1)
     assert s.select("sensor_id").distinct().count() == 20

@@ -39,11 +39,11 @@ def print_lines(df: DataFrame, prefix: str = "", key: str = "key", value: str =
     return df.select(F.concat(F.lit(prefix), F.coalesce(F.concat(F.lit("["), name, F.lit("] ")), F.lit("")), text).alias("line"))
 
 
-def to_console(df: DataFrame, prefix: str = "", out: Callable[[str], None] = print, rows: int = 1000, **names):
-    """Print at most ``rows`` lines (of each batch, on a stream)."""
+def to_console(df: DataFrame, prefix: str = "", out: Callable[[str], None] = print, rows: int | None = None, **names):
+    """Print every line, partition by partition; ``rows`` limits it to a preview (of each batch, on a stream)."""
 
     def show(lines: DataFrame, *_):
-        for row in lines.limit(rows).collect():
+        for row in (lines if rows is None else lines.limit(rows)).toLocalIterator():
             out(row["line"])
 
     lines = print_lines(df, prefix, **names)
