@@ -102,10 +102,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset a local master gets a temporary folder, as in tests; on a
+    cluster that is an error, as executors would not see the driver's folder.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='weirflow-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
