@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from oracle import SMALL
 
 from weirflow.llm import ann
@@ -54,18 +55,71 @@ def test_all_lists_probed_is_exact_but_for_the_test(spark):
     assert hits >= 0.97 * sum(map(len, want.values()))
 
 
-def test_scan_keeps_nearest_whatever_the_batch():
+def plain_scan(queries, x, k, alpha=ann.ALPHA, limit=None, step=500):
+    scan = ann.Scan(queries, x, ann.rotation(x.shape[1]).astype(np.float32), k, limit, alpha)
+    for at in range(0, len(x), step):
+        scan.look(np.arange(len(queries)), at, min(at + step, len(x)))
+    out = [{} for _ in queries]
+    for i, j, d in zip(*scan.result()):
+        out[i][int(j)] = d
+    return scan, out
+
+
+@pytest.mark.parametrize("measured", [ann.MEASURED, 7])
+def test_scan_keeps_nearest(monkeypatch, measured):
+    monkeypatch.setattr(ann, "MEASURED", measured)
+    monkeypatch.setattr(ann, "PAIRS", 1 << 12)
     r = np.random.default_rng(5)
-    x = r.standard_normal((3000, 64)).astype(np.float32)
-    q = r.standard_normal(64)
-    turn = ann.rotation(64)
-    turned = x @ turn
-    blocks = [turned[:, a : a + 16] for a in range(0, 64, 16)]
-    at, near = ann.scan(q, x, q @ turn, blocks, 10, np.random.default_rng(1).permutation(3000), epsilon=50, batch=100)
-    exact = np.sqrt(((x - q) ** 2).sum(1))
-    assert set(np.argsort(exact)[:10]) <= set(at) and np.allclose(near, exact[at])
-    near_all = ann.scan(q, x, q @ turn, blocks, 10, batch=100)[0]
-    assert len(set(np.argsort(exact)[:10]) & set(near_all)) >= 9
+    x, queries = r.standard_normal((3000, 64)).astype(np.float32), r.standard_normal((9, 64))
+    exact = np.sqrt(((x[None].astype(float) - queries[:, None]) ** 2).sum(2))
+    scan, sure = plain_scan(queries, x, 10, alpha=0.0)
+    assert (scan.scanned == 3000).all()
+    scan, tested = plain_scan(queries, x, 10)
+    hits = 0
+    for q in range(9):
+        want = np.argsort(exact[q])[:10]
+        assert set(want) <= set(sure[q]) and all(abs(exact[q][j] - d) < 1e-9 for j, d in tested[q].items())
+        hits += len(set(want) & set(tested[q]))
+    assert hits >= 85 and (scan.abandoned > 1800).all()
+    limit = np.partition(exact, 9, axis=1)[:, 9]
+    carried, found = plain_scan(queries, x, 10, limit=limit)
+    assert carried.abandoned.sum() > scan.abandoned.sum()
+    assert all(d <= limit[q] for q in range(9) for d in found[q].values())
+
+
+def test_the_query_abandons_candidates(spark):
+    for folder in (SMALL, "/root/testdata/sf0.01"):
+        rows = ann.op3_adaptive_scan(spark, folder).select("query_id", "n_scanned", "n_abandoned").distinct().collect()
+        assert len({r.query_id for r in rows}) == len(rows)
+        assert all(0 < r.n_abandoned < r.n_scanned for r in rows)
+        assert sum(r.n_abandoned for r in rows) > 0.2 * sum(r.n_scanned for r in rows)
+
+
+def test_the_test_keeps_its_level():
+    r = np.random.default_rng(4)
+    for seen, dims in ((16, 64), (48, 64), (16, 17)):
+        z = r.standard_normal((200_000, dims)) ** 2
+        share = (z[:, :seen].sum(1) / z.sum(1) > ann.critical(seen, dims, 0.01)).mean()
+        assert 0.008 < share < 0.012
+
+
+def test_without_rotated_blocks_nothing_is_found():
+    """The result comes from the scan: where partial distances are lost, so are neighbours."""
+    r = np.random.default_rng(1)
+    x = r.standard_normal((500, 32)).astype(np.float32)
+    limit = np.full(5, 7.0)
+    scan, good = plain_scan(x[:5].astype(float), x, 10, limit=limit)
+    lost = ann.Scan(x[:5].astype(float), x, np.full((32, 32), np.nan, np.float32), 10, limit)
+    lost.look(np.arange(5), 0, 500)
+    assert all(good) and not len(lost.result()[0]) and (lost.abandoned == 500).all()
+
+
+def test_doubles_are_not_rounded(spark):
+    x = [[1.0, 2.0], [1.0 + 1e-12, 2.0], [1.0, 2.0 + 1e-9]]
+    df = spark.createDataFrame([(100 * i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    vectors = ann.usable(df)
+    got = found(ann.search(vectors, vectors))
+    assert got[0] == [(100, abs(x[1][0] - 1.0)), (200, x[2][1] - 2.0)]
 
 
 def test_ties_copies_and_unusable_vectors(spark):

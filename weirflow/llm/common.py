@@ -1,19 +1,20 @@
 """Plumbing shared by the training-data operators.
 
 Nothing here decides results: it reads tables, runs Arrow batch functions and
-cuts lineage in the folder that driver and executors share.
+ranks rows within keys.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from weirflow.session import ship
+from weirflow.session import cut, shared_path, ship
+
+__all__ = ["arrow_schema", "cut", "map_arrow", "map_batches", "ranked", "read", "shared_path", "shuffle_partitions"]
 
 ARROW = {
     "long": pa.int64(),
@@ -24,6 +25,7 @@ ARROW = {
     "boolean": pa.bool_(),
     "binary": pa.binary(),
     "array<float>": pa.list_(pa.float32()),
+    "array<double>": pa.list_(pa.float64()),
     "array<long>": pa.list_(pa.int64()),
     "array<int>": pa.list_(pa.int32()),
 }
@@ -38,31 +40,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, one machine) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='weirflow-')}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, written to the shared folder, lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path of its own below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     """``"a long, b string"`` as an Arrow schema."""
     fields = [part.strip().split(" ", 1) for part in ddl.split(",")]
@@ -93,3 +70,29 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``mapInArrow`` with this package sent to the executors first."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+#: About the most rows of one key that a task ranks.
+CELL_ROWS = 100_000
+
+
+def ranked(rows: DataFrame, key: str, sizes: dict[int, int], most: int = CELL_ROWS) -> DataFrame:
+    """Add ``rank``, from 0, of each row among those of its ``key``, by native functions alone.
+
+    ``rows`` is cut and has ``_row``, a number of its own for each row; ``sizes`` has
+    the rows of each key, of which there are boundedly many. Keys with more than
+    ``most`` rows are dealt over cells by that number, as many as their count asks
+    for, so that neither a hot key nor repeated rows meet in one task: rows are
+    ranked within cells, and each cell goes on where those before it end.
+    """
+    cells = [(k, -(-n // most)) for k, n in sizes.items() if n > most]
+    if cells:  # at most one row for each key, which are boundedly many
+        hot = rows.sparkSession.createDataFrame(cells, f"{key} {dict(rows.dtypes)[key]}, _cells int")
+        rows = rows.join(F.broadcast(hot), key, "left").withColumn("_cell", F.pmod(F.xxhash64("_row"), F.coalesce("_cells", F.lit(1)))).drop("_cells")
+    else:
+        rows = rows.withColumn("_cell", F.lit(0).cast("long"))
+    at = [key, "_cell"]
+    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(*at).count().select(*at, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy(*at).orderBy("_row"))
+    return rows.withColumn("rank", own).join(ahead.hint("merge"), at).withColumn("rank", F.col("rank") - 1 + F.col("_ahead")).drop("_cell", "_ahead")
