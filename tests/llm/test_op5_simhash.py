@@ -56,8 +56,26 @@ def test_awkward_documents(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("leaf", [1, 64])
-def test_trie_join_equals_all_pairs(leaf):
+def test_the_query_prunes_node_pairs_by_the_budget(spark):
+    for folder in (SMALL, "/root/testdata/sf0.01"):
+        seen = {name: spark.sparkContext.accumulator(0) for name in ("walked", "pruned", "leaves")}
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        got = simhash.near_duplicates(docs, seen=seen)
+        assert result(got) == brute([(r.doc_id, r.text) for r in docs.collect()])
+        walked, pruned, leaves = (seen[name].value for name in ("walked", "pruned", "leaves"))
+        assert walked > 1000 and pruned > 1000 and 0 < leaves < walked
+
+
+def far(a, b, front, budget=4):
+    differ = int(a) ^ int(b)
+    return differ.bit_count() > budget or differ >> (64 - front)
+
+
+@pytest.mark.parametrize("walked", [simhash.WALKED, 10])
+@pytest.mark.parametrize("front", [0, 7])
+@pytest.mark.parametrize("leaf", [1, 4])
+def test_trie_join_equals_all_pairs(monkeypatch, leaf, front, walked):
+    monkeypatch.setattr(simhash, "WALKED", walked)
     r = np.random.default_rng(3)
     for n in (0, 1, 2, 300):
         centre = r.integers(0, 1 << 63, 5, dtype=np.uint64)
@@ -68,13 +86,31 @@ def test_trie_join_equals_all_pairs(leaf):
         group = np.sort(r.integers(0, 3, len(fps)))
         order = np.lexsort((fps, group))
         fps, group = fps[order], group[order]
-        i, j = simhash.trie_links(fps, group, leaf=leaf)
-        want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if group[a] == group[b] and (int(fps[a]) ^ int(fps[b])).bit_count() <= 4}
-        assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+        parts = list(simhash.trie_links(fps, group, front, leaf=leaf))
+        got = [(int(a), int(b)) for i, j in parts for a, b in zip(i, j)]
+        pairs = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if group[a] == group[b]}
+        assert len(got) == len(set(got)) and set(got) <= {(a, b) for a, b in pairs if not far(fps[a], fps[b], 0)}
+        assert set(got) >= {(a, b) for a, b in pairs if not far(fps[a], fps[b], front)}
 
 
-@pytest.mark.parametrize("chunk,spare", [(20_000, 1), (20_000, 2), (3, 1)])
-def test_links_lose_nothing(spark, chunk, spare):
+def test_links_that_come_bit_by_bit(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", -90)
+    r = np.random.default_rng(2)
+    parts = [(r.integers(0, 100, 7), r.integers(0, 100, 7)) for _ in range(9)]
+    assert np.array_equal(simhash.joined(100, iter(parts)), simhash.roots(100, *(np.concatenate(c) for c in zip(*parts))))
+
+
+def test_blocks_in_front():
+    f = np.array([0x0123456789ABCDEF, (1 << 64) - 1, 1], np.uint64)
+    plans = simhash.tries()
+    assert len(plans) == 15 and min(bits for _, bits in plans) == 20
+    for blocks, _ in plans:
+        assert sum(w for _, w in blocks) == 64
+        assert [int(x).bit_count() for x in simhash.turned(f, blocks)] == [int(x).bit_count() for x in f]
+
+
+@pytest.mark.parametrize("chunk,node", [(20_000, 1024), (20_000, 4), (3, 50), (3, 1)])
+def test_links_lose_nothing(spark, chunk, node):
     r = random.Random(9)
     fps = set()
     for _ in range(12):
@@ -86,7 +122,7 @@ def test_links_lose_nothing(spark, chunk, spare):
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     distinct = spark.createDataFrame(list(enumerate(signed)), "first long, fp long")
-    stars = simhash.links(distinct, chunk=chunk, spare=spare).select(F.struct(F.col("a_first").alias("first")).alias("a"), F.struct(F.col("b_first").alias("first")).alias("b"))
+    stars = simhash.links(distinct, chunk=chunk, node=node).select(F.struct(F.col("a_first").alias("first")).alias("a"), F.struct(F.col("b_first").alias("first")).alias("b"))
     got = {r.node.first: r.root.first for r in simhash.components(stars).collect()}
     parent = list(range(len(fps)))
 

@@ -1,18 +1,23 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Distinct fingerprints are dealt into buckets by a block of bits they share: of five
-blocks at least one is untouched by four differing bits (for very many
-fingerprints, two of six), so no link is missed. Within a bucket the sorted
-fingerprints are a binary trie; pairs of its nodes are walked together, adding up
-differing bits and giving up a pair once more than the budget differ. Each bucket
-hands on a spanning star per group of linked fingerprints rather than all pairs,
-and the stars are joined into components by alternating large and small stars.
+Fingerprints are the leaves of binary tries over their bits; pairs of trie nodes
+are walked together, adding up differing bits, and given up once more differ than
+the error budget allows. Of six blocks of bits at least two are untouched by four
+differing bits, so the join is made of fifteen tries, each with another pair of
+blocks in front: there the budget is nothing, below it is the whole, and no link is
+missed. The topmost levels of each trie, as many as leave some hundred fingerprints
+a node, are walked by the shuffle (a pair of nodes that differ there is given up
+already), the others in the task that gets the node. Each task hands on a spanning
+star per group of linked fingerprints rather than all pairs, and the stars are
+joined into components by alternating large and small stars.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +29,16 @@ from weirflow.llm.common import arrow_schema, cut, map_arrow, map_batches, read,
 
 #: Fixed by the query's contract.
 SHINGLE, SEED, BUDGET = 4, 42, 4
-#: Node pairs with at most so many fingerprint pairs are compared directly.
-LEAF = 64
-#: Larger buckets are dealt out in pairs of chunks of about this size.
+#: Blocks of the fingerprint that are put in front of each trie.
+FRONT = 2
+#: Node pairs with at most so many fingerprint pairs are leaves: these are compared whole.
+LEAF = 4
+#: Fingerprints under a node that a task gets, about; levels above are walked by the shuffle.
+NODE = 1024
+#: Larger nodes are dealt out in pairs of chunks of about this size.
 CHUNK = 20_000
-#: Rows joined at once in a worker.
-ROWS = 100_000
+#: Rows joined at once in a worker, node pairs walked at once, and links held before they are joined.
+ROWS, WALKED, HELD = 100_000, 1 << 17, 1 << 20
 _NONE = (1 << 63) - 1
 
 
@@ -68,50 +77,60 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_batches(rows, "doc_id long, fp long, text_hash long", make)
 
 
-def trie_links(fps: np.ndarray, group: np.ndarray, budget: int = BUDGET, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of one group whose fingerprints differ in at most ``budget`` bits.
+def trie_links(fps: np.ndarray, group: np.ndarray, front: int = 0, skip: int = 0, budget: int = BUDGET, leaf: int = LEAF, seen: Counter | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of one group whose fingerprints differ in at most ``budget`` bits, but in none of the first ``front``.
 
     ``fps`` (unsigned) are distinct and sorted within each group, and groups follow
-    each other: each group is one trie. A level of all tries is walked at a time.
+    each other: each group is one trie, whose first ``skip`` levels have one node.
+    Node pairs are walked level by level, at most ``WALKED`` at once, the deepest
+    first. Leaves are compared whole, so a pair that differs in front may come too
+    where it is a link. ``seen`` counts node pairs: walked, pruned and leaves.
     """
     n = len(fps)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
-    a0 = b0 = starts
-    a1 = b1 = np.append(starts[1:], n) if n else starts
-    differ = np.zeros(len(a0), np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for bit in range(63, -2, -1):
+    ends = np.append(starts[1:], n) if n else starts
+    ones: dict[int, np.ndarray] = {}
+    todo = [(63 - skip, np.stack([starts, ends, starts, ends, np.zeros_like(starts)]))]
+    seen = Counter() if seen is None else seen
+    while todo:
+        bit, pairs = todo.pop()
+        if pairs.shape[1] > WALKED:
+            todo.append((bit, pairs[:, WALKED:]))
+            pairs = pairs[:, :WALKED]
+        a0, a1, b0, b1, differ = pairs
+        seen["walked"] += len(a0)
         small = (a1 - a0) * (b1 - b0) <= leaf if bit >= 0 else np.ones(len(a0), bool)
         if small.any():
-            found += _compare(fps, a0[small], a1[small], b0[small], b1[small], budget)
-        a0, a1, b0, b1, differ = (x[~small] for x in (a0, a1, b0, b1, differ))
+            seen["leaves"] += int(small.sum())
+            yield from _compare(fps, a0[small], a1[small], b0[small], b1[small], budget)
+            a0, a1, b0, b1, differ = pairs[:, ~small]
         if not len(a0):
-            break
-        ones = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)])
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+            continue
+        if bit not in ones:
+            ones[bit] = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
+        count, allowed = ones[bit], 0 if 63 - bit < front else budget
+        am, bm = a1 - (count[a1] - count[a0]), b1 - (count[b1] - count[b0])
         own = a0 == b0
-        children = [
+        children = []
+        for x0, x1, y0, y1, d, only in (
             (a0, am, b0, bm, differ, None),
             (am, a1, bm, b1, differ, None),
             (a0, am, bm, b1, differ + 1, None),
             (am, a1, b0, bm, differ + 1, ~own),
-        ]
-        kept = []
-        for x0, x1, y0, y1, d, only in children:
-            good = (x1 > x0) & (y1 > y0) & (d <= budget)
+        ):
+            there = (x1 > x0) & (y1 > y0) & ((x0 != y0) | (x1 - x0 > 1))  # a fingerprint alone has no pairs
             if only is not None:
-                good &= only
-            kept.append([v[good] for v in (x0, x1, y0, y1, d)])
-        a0, a1, b0, b1, differ = (np.concatenate(c) for c in zip(*kept))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found))
+                there &= only
+            good = there & (d <= allowed)
+            seen["pruned"] += int(there.sum() - good.sum())
+            children.append(np.stack([x0, x1, y0, y1, d])[:, good])
+        todo.append((bit - 1, np.concatenate(children, axis=1)))
 
 
-def _compare(fps, a0, a1, b0, b1, budget, most: int = 1 << 21):
-    """Direct comparison of all pairs of the given node pairs, in slices of bounded size."""
+def _compare(fps, a0, a1, b0, b1, budget, most: int = 1 << 20):
+    """Links among all pairs of the given node pairs, in slices of bounded size."""
     sizes = (a1 - a0) * (b1 - b0)
-    out, at = [], 0
+    at = 0
     ends = np.cumsum(sizes)
     while at < len(sizes):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
@@ -121,9 +140,8 @@ def _compare(fps, a0, a1, b0, b1, budget, most: int = 1 << 21):
         wide = (b1 - b0)[which]
         i, j = a0[which] + inner // wide, b0[which] + inner % wide
         good = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= budget)
-        out.append((i[good], j[good]))
+        yield i[good], j[good]
         at = to
-    return out
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -144,22 +162,66 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-STAR = "a_first long, a_fp long, b_first long, b_fp long"
+def joined(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """``roots`` over links that come bit by bit: whenever many are held they are joined, and only stars are kept."""
+    held, size = [], 0
 
+    def join() -> np.ndarray:
+        return roots(n, *(np.concatenate(c) for c in zip(*held))) if held else np.arange(n)
 
-def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, spare: int = 1) -> DataFrame:
-    """Stars (``STAR``) that join all fingerprints linked within some bucket.
+    for i, j in links:
+        held.append((i, j))
+        size += len(i)
+        if size > HELD + n:
+            root = join()
+            far = np.flatnonzero(root != np.arange(n))
+            held, size = [(far, root[far])], len(far)
+    return join()
 
-    ``distinct`` has (first, fp), one row per fingerprint. ``spare`` blocks beyond
-    the budget are untouched by any link and make the bucket's key.
-    """
-    from itertools import combinations
 
-    blocks = budget + spare
+STAR = "a_first long, a_fp long, b_first long, b_fp long"
+
+
+def tries(budget: int = BUDGET, front: int = FRONT) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each trie its blocks (lowest bit, width), those in front first, and how many bits are in front."""
+    blocks = budget + front
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    part = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
-    keys = F.array(*[F.xxhash64(F.lit(k), *[part[b] for b in chosen]) for k, chosen in enumerate(combinations(range(blocks), spare))])
-    dealt = distinct.select("first", "fp", F.explode(keys).alias("key"))
+    spans = [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+    out = []
+    for chosen in combinations(range(blocks), front):
+        first = [spans[k] for k in chosen]
+        out.append((first + [s for k, s in enumerate(spans) if k not in chosen], sum(w for _, w in first)))
+    return out
+
+
+def turned(fps: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with their blocks in the given order, from the highest bit down."""
+    out, at = np.zeros_like(fps), 64
+    for lo, width in blocks:
+        at -= width
+        out |= ((fps >> np.uint64(lo)) & np.uint64((1 << width) - 1)) << np.uint64(at)
+    return out
+
+
+def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, node: int = NODE, leaf: int = LEAF, seen: dict | None = None) -> DataFrame:
+    """Stars (``STAR``) that join all fingerprints linked within some node.
+
+    ``distinct`` has (first, fp), one row per fingerprint. ``seen`` may hold
+    accumulators for what ``trie_links`` counts.
+    """
+    plan = tries(budget)
+    shallow = min(bits for _, bits in plan)
+    depth = min(shallow, max(0, math.ceil(math.log2(max(1, distinct.count()) / node))))
+    keys = []
+    for k, (blocks, _) in enumerate(plan):
+        prefix, left = F.lit(k).cast("long"), depth
+        for lo, width in blocks:
+            take = min(left, width)
+            if take:
+                prefix = F.shiftleft(prefix, take).bitwiseOR(F.shiftrightunsigned("fp", lo + width - take).bitwiseAND(F.lit((1 << take) - 1)))
+            left -= take
+        keys.append(prefix)
+    dealt = distinct.select("first", "fp", F.explode(F.array(*keys)).alias("key"))
     large = dealt.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     dealt = dealt.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
@@ -170,28 +232,35 @@ def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, spare:
     schema = arrow_schema(STAR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)
+        held, counted = np.zeros((5, 0), np.int64), Counter()
+
+        def stars(rows):
+            trie = rows[0] >> depth
+            for k in np.unique(trie):
+                yield _stars(rows[:, trie == k], *plan[k], depth, budget, leaf, counted, schema)
+
         for batch in batches:
             held = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
             if held.shape[1] >= ROWS:
                 last = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(0))
                 if len(last):  # the last group may go on in the next batch
-                    yield _stars(held[:, : last[-1] + 1], budget, schema)
+                    yield from stars(held[:, : last[-1] + 1])
                     held = held[:, last[-1] + 1 :]
         if held.shape[1]:
-            yield _stars(held, budget, schema)
+            yield from stars(held)
+        for name, total in (seen or {}).items():
+            total.add(counted[name])
 
     return map_arrow(sorted_, run, STAR)
 
 
-def _stars(rows: np.ndarray, budget: int, schema: pa.Schema) -> pa.RecordBatch:
+def _stars(rows: np.ndarray, blocks, front: int, depth: int, budget: int, leaf: int, counted: Counter, schema: pa.Schema) -> pa.RecordBatch:
     group = np.concatenate([[0], np.cumsum((rows[:3, 1:] != rows[:3, :-1]).any(0))])
-    fps = rows[4].view(np.uint64) if rows[4].flags.c_contiguous else rows[4].copy().view(np.uint64)
+    fps = turned(np.ascontiguousarray(rows[4]).view(np.uint64), blocks)
     order = np.lexsort((fps, group))
-    first, fps, group = rows[3][order], fps[order], group[order]
-    root = roots(len(fps), *trie_links(fps, group, budget))
+    first, signed, fps, group = rows[3][order], rows[4][order], fps[order], group[order]
+    root = joined(len(fps), trie_links(fps, group, front, depth, budget, leaf, counted))
     at = np.flatnonzero(root != np.arange(len(root)))
-    signed = fps.view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (first[at], signed[at], first[root[at]], signed[root[at]])], schema=schema)
 
 
@@ -224,7 +293,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _grouped(docs: DataFrame, budget: int, shingle: int, chunk: int, two_from: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, budget: int, shingle: int, **how) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, text_hash) per document, and (fp, first, root_fp) per fingerprint.
 
     ``first`` is the smallest doc_id of the fingerprint's component and ``root_fp``
@@ -233,33 +302,32 @@ def _grouped(docs: DataFrame, budget: int, shingle: int, chunk: int, two_from: i
     """
     known = cut(fingerprints(docs, shingle))
     distinct = cut(known.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(_NONE)).alias("first")))
-    spare = 1 if distinct.count() < two_from else 2
-    stars = links(distinct, budget, chunk, spare)
+    stars = links(distinct, budget, **how)
     node = lambda s: F.struct(F.col(f"{s}_first").alias("first"), F.col(f"{s}_fp").alias("fp"))
-    joined = components(stars.select(node("a").alias("a"), node("b").alias("b")))
-    joined = joined.select(F.col("node.fp").alias("fp"), F.col("root.first").alias("root_first"), F.col("root.fp").alias("root_fp"))
-    both = distinct.join(joined, "fp", "left")
+    named = components(stars.select(node("a").alias("a"), node("b").alias("b")))
+    named = named.select(F.col("node.fp").alias("fp"), F.col("root.first").alias("root_first"), F.col("root.fp").alias("root_fp"))
+    both = distinct.join(named, "fp", "left")
     return known, cut(both.select("fp", F.coalesce("root_first", "first").alias("first"), F.coalesce("root_fp", "fp").alias("root_fp")))
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, chunk: int = CHUNK, two_from: int = 1 << 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, **how) -> DataFrame:
     """(doc_id, fp, component_id) per document; component_id is the smallest doc_id reachable over links.
 
     Rows with a null doc_id are linked too but name no component: where no document
-    of one has an id it is null. Repeated rows share their fingerprint. From
-    ``two_from`` distinct fingerprints on, buckets share two blocks rather than one;
-    the result is the same.
+    of one has an id it is null. Repeated rows share their fingerprint; null and
+    empty texts have fingerprint 0 and are linked like others. An empty table gives
+    an empty table. ``how`` goes to ``links``.
     """
-    known, names = _grouped(docs, budget, shingle, chunk, two_from)
+    known, names = _grouped(docs, budget, shingle, **how)
     return known.join(names, "fp").select("doc_id", "fp", F.nullif("first", F.lit(_NONE)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, chunk: int = CHUNK, two_from: int = 1 << 24) -> DataFrame:
+def keep_one(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE, **how) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id (ties: one text of it).
 
     Repeated rows leave one. A component without any doc_id leaves one row too.
     """
-    known, names = _grouped(docs, budget, shingle, chunk, two_from)
+    known, names = _grouped(docs, budget, shingle, **how)
     own = (F.coalesce("doc_id", F.lit(_NONE)) == F.col("first")) & (F.col("fp") == F.col("root_fp"))
     chosen = known.join(names, "fp").where(own).groupBy("root_fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     # Plain keys without nulls, the same for the join and for dropping repeats, so that rows are shuffled and sorted once.
