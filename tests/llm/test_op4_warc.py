@@ -19,29 +19,59 @@ def test_query_equals_its_sql(spark):
     check(spark, SMALL, warc.op4_warc_zstd, warc.OP4_SQL)
 
 
-def test_archives_with_and_without_dictionary():
+def test_every_archive_leads_with_a_dictionary_that_its_frames_need():
     short = [warc.record(n, "http://a/", b"x" * n, "d" * 64, None) for n in range(3)]
-    assert frames_of(short) == short and frames_of([]) == []
     many = [warc.record(n, f"http://a/{n}", (f"<p>page {n} about {n % 7}</p>" * 60).encode(), "d" * 64, None) for n in range(900)]
-    data = b"".join(warc.archive(iter(many)))
-    assert struct.unpack("<I", data[:4])[0] == warc.DICTIONARY_MAGIC
-    assert frames_of(many) == many
-    plain = zstandard.ZstdDecompressor()
-    with pytest.raises(zstandard.ZstdError):  # the frames need the dictionary
-        plain.decompress(data[8 + struct.unpack("<I", data[4:8])[0] :])
+    for records in ([], short[:1], short, many, [b"a", b""]):
+        data = b"".join(warc.archive(iter(records)))
+        assert struct.unpack("<I", data[:4])[0] == warc.DICTIONARY_MAGIC
+        assert frames_of(records) == records
+        if len(records) > 2:
+            with pytest.raises(zstandard.ZstdError):
+                zstandard.ZstdDecompressor().decompress(data[8 + struct.unpack("<I", data[4:8])[0] :])
+
+
+def archives(spark, monkeypatch, folder):
+    """The first bytes of all archives that the query writes, read before it deletes them."""
+    import glob
+
+    heads = []
+    monkeypatch.setattr(warc, "remove", lambda spark, path: heads.extend(open(f, "rb").read(4) for f in glob.glob(path.removeprefix("file://") + "/*")))
+    warc.op4_warc_zstd(spark, folder)
+    return heads
+
+
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.01"])
+def test_the_query_reads_dictionaries(spark, monkeypatch, folder):
+    heads = archives(spark, monkeypatch, folder)
+    assert heads and set(heads) == {struct.pack("<I", warc.DICTIONARY_MAGIC)}
 
 
 def test_broken_archives_are_noticed():
     records = [warc.record(1, "u", b"y" * 300, "d" * 64, None)] * 2
     data = b"".join(warc.archive(iter(records)))
-    for cut in (len(data) - 3, len(data) // 2 + 1):
-        parts = [data[:cut]]
-        with pytest.raises((ValueError, zstandard.ZstdError)):
+    without = zstandard.ZstdCompressor().compress(records[0])
+    for broken in (data[: len(data) - 3], data[: len(data) - 50], struct.pack("<II", warc.DICTIONARY_MAGIC, 500) + b"short", b"", without, data[:-9] + b"x" * 9):
+        parts = [broken]
+        with pytest.raises(ValueError):
             list(warc.frames(lambda: parts.pop(0) if parts else b""))
-    head = struct.pack("<II", warc.DICTIONARY_MAGIC, 500) + b"short"
-    parts2 = [head]
-    with pytest.raises(ValueError):
-        list(warc.frames(lambda: parts2.pop(0) if parts2 else b""))
+
+
+def test_bad_records_are_returned_where_asked(spark, tmp_path):
+    import hashlib
+
+    good = [warc.record(n, "u", b"p%d" % n, hashlib.sha256(b"p%d" % n).hexdigest(), None) for n in range(4)]
+    data = [b"".join(warc.archive(iter(r))) for r in ([good[0], good[1].replace(b"p1", b"q1"), good[2]], good[3:])]
+    files = []
+    for k, raw in enumerate((data[0], data[1][:-5])):
+        (tmp_path / f"{k}.warc.zst").write_bytes(raw)
+        files.append((str(tmp_path / f"{k}.warc.zst"), 1, 1))
+    manifest = spark.createDataFrame(files, warc.MANIFEST)
+    rows = sorted(warc.read_archives(manifest, f"file://{tmp_path}", strict=False).collect(), key=lambda r: (r.file, r.number))
+    assert [(r.page_id, r.number, r.error is None) for r in rows] == [(0, 0, True), (None, 1, False), (2, 2, True), (None, 0, False)]
+    assert "digest" in rows[1].error and "frame" in rows[3].error
+    with pytest.raises(Exception, match="digest|frame"):
+        warc.read_archives(manifest, f"file://{tmp_path}").collect()
 
 
 def test_records_are_validated():

@@ -144,29 +144,27 @@ def _page(name: str) -> int | None:
     return int(name[10:-1]) if name.startswith("<urn:page:") else None
 
 
-def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from the first records; None where they are too few to train one."""
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * size:
-        return None
+def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict:
+    """A dictionary trained on records; where they are too few or too short to train on, their beginnings as raw content."""
     try:
-        return zstandard.train_dictionary(size, samples, k=256, d=8)
-    except zstandard.ZstdError:
-        return None
+        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples, k=256, d=8)
+    except (zstandard.ZstdError, ValueError):
+        head = b"".join(raw[: size // max(1, len(samples))] for raw in samples)
+        return zstandard.ZstdCompressionDict(head.ljust(8, b"\0"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def archive(records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES) -> Iterator[bytes]:
-    """Frames of one archive: the dictionary, if one can be trained from its first records, then the records."""
+    """Frames of one archive: a dictionary made from its first records, then each record."""
     held, size = [], 0
     for raw in records:
         held.append(raw)
         size += len(raw)
         if size >= sample_bytes:
             break
-    trained = train(held)
-    if trained is not None:
-        raw = zstandard.ZstdCompressor(level=9).compress(trained.as_bytes())
-        yield struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw
-    coder = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True)
+    made = dictionary(held)
+    raw = zstandard.ZstdCompressor(level=9).compress(made.as_bytes())
+    yield struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw
+    coder = zstandard.ZstdCompressor(level=3, dict_data=made, write_checksum=True)
     for raw in held:
         yield coder.compress(raw)
     for raw in records:
@@ -174,32 +172,38 @@ def archive(records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES) -> Itera
 
 
 def frames(read_some) -> Iterator[bytes]:
-    """Records of an archive given by ``read_some()``, which returns its next bytes (none: the end)."""
+    """Records of an archive given by ``read_some()``, which returns its next bytes (none: the end).
+
+    Raises ValueError where the archive does not lead with a dictionary, or a frame
+    is cut off or broken.
+    """
     data = read_some()
-    dictionary = None
     while len(data) < 8 and (more := read_some()):
         data += more
-    if len(data) >= 8 and struct.unpack("<I", data[:4])[0] == DICTIONARY_MAGIC:
-        size = struct.unpack("<I", data[4:8])[0]
-        while len(data) < 8 + size:
-            if not (more := read_some()):
-                raise ValueError("the dictionary frame is cut off")
-            data += more
-        raw, data = data[8 : 8 + size], data[8 + size :]
-        if struct.unpack("<I", raw[:4])[0] == ZSTD_MAGIC:
+    if len(data) < 8 or struct.unpack("<I", data[:4])[0] != DICTIONARY_MAGIC:
+        raise ValueError("the archive does not begin with a dictionary frame")
+    size = struct.unpack("<I", data[4:8])[0]
+    while len(data) < 8 + size:
+        if not (more := read_some()):
+            raise ValueError("the dictionary frame is cut off")
+        data += more
+    raw, data = data[8 : 8 + size], data[8 + size :]
+    try:
+        if raw[:4] == struct.pack("<I", ZSTD_MAGIC):
             raw = zstandard.ZstdDecompressor().decompress(raw)
-        dictionary = zstandard.ZstdCompressionDict(raw)
-    coder = zstandard.ZstdDecompressor(dict_data=dictionary)
-    while data or (data := read_some()):
-        frame, parts = coder.decompressobj(), []
-        while True:
-            parts.append(frame.decompress(data))
-            if frame.eof:
-                data = frame.unused_data
-                break
-            if not (data := read_some()):
-                raise ValueError("a frame is cut off")
-        yield b"".join(parts)
+        coder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+        while data or (data := read_some()):
+            frame, parts = coder.decompressobj(), []
+            while True:
+                parts.append(frame.decompress(data))
+                if frame.eof:
+                    data = frame.unused_data
+                    break
+                if not (data := read_some()):
+                    raise ValueError("a frame is cut off")
+            yield b"".join(parts)
+    except zstandard.ZstdError as error:
+        raise ValueError(f"a frame is broken: {error}") from error
 
 
 def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -241,26 +245,53 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
     return cut(map_arrow(records, run, MANIFEST))
 
 
-def read_archives(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
-    """Read the archives of a manifest, one row per record, and validate each; ``payload`` adds it (null for revisits)."""
-    ddl = RECORDS + (", payload binary" if payload else "")
+def read_archives(manifest: DataFrame, folder: str, payload: bool = False, strict: bool = True) -> DataFrame:
+    """Read the archives of a manifest, one row per record, and validate each; ``payload`` adds it (null for revisits).
+
+    Anything wrong is an error. If not ``strict``, ``file``, ``number`` (of the
+    record in its archive, from 0) and ``error`` are added: a bad record is a row
+    with its error and nulls, and reading goes on with the next; where a frame is
+    broken, the rest of that archive is one such row.
+    """
+    ddl = RECORDS + (", payload binary" if payload else "") + ("" if strict else ", file string, number long, error string")
     schema = arrow_schema(ddl)
+    width = 6 if payload else 5
+
+    def rows(source, name: str) -> Iterator[tuple[tuple, int]]:
+        records, number = frames(lambda: source.read(1 << 20)), 0
+        while True:
+            try:
+                raw = next(records, None)
+                if raw is None:
+                    return
+            except ValueError as error:
+                if strict:
+                    raise
+                yield (*[None] * width, name, number, str(error)), 0
+                return
+            try:
+                got = parse(raw)[:width]
+                yield (got if strict else (*got, name, number, None)), len(raw)
+            except ValueError as error:
+                if strict:
+                    raise
+                yield (*[None] * width, name, number, str(error)), 0
+            number += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pa.fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with fs.open_input_stream(name, compression=None) as source:
-                    rows, size = [], 0
-                    for raw in frames(lambda: source.read(1 << 20)):
-                        got = parse(raw)
-                        rows.append(got if payload else got[:5])
-                        size += len(raw)
-                        if len(rows) >= 5000 or payload and size > 1 << 24:
-                            yield _batch(rows, schema)
-                            rows, size = [], 0
-                    if rows:
-                        yield _batch(rows, schema)
+                    held, size = [], 0
+                    for row, n in rows(source, name):
+                        held.append(row)
+                        size += n
+                        if len(held) >= 5000 or payload and size > 1 << 24:
+                            yield _batch(held, schema)
+                            held, size = [], 0
+                    if held:
+                        yield _batch(held, schema)
 
     return map_arrow(manifest.select("file").repartition(max(1, manifest.rdd.getNumPartitions()), "file"), run, ddl)
 
