@@ -76,15 +76,17 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
 CELL_ROWS = 100_000
 
 
-def ranked(rows: DataFrame, key: str, sizes: dict[int, int], most: int = CELL_ROWS) -> DataFrame:
+def ranked(rows: DataFrame, key: str, sizes: dict[int, int], order: list[str], most: int | None = None) -> DataFrame:
     """Add ``rank``, from 0, of each row among those of its ``key``, by native functions alone.
 
     ``rows`` is cut and has ``_row``, a number of its own for each row; ``sizes`` has
     the rows of each key, of which there are boundedly many. Keys with more than
     ``most`` rows are dealt over cells by that number, as many as their count asks
     for, so that neither a hot key nor repeated rows meet in one task: rows are
-    ranked within cells, and each cell goes on where those before it end.
+    ranked within cells in the given order, and each cell goes on where those before
+    it end.
     """
+    most = most or CELL_ROWS
     cells = [(k, -(-n // most)) for k, n in sizes.items() if n > most]
     if cells:  # at most one row for each key, which are boundedly many
         hot = rows.sparkSession.createDataFrame(cells, f"{key} {dict(rows.dtypes)[key]}, _cells int")
@@ -94,5 +96,5 @@ def ranked(rows: DataFrame, key: str, sizes: dict[int, int], most: int = CELL_RO
     at = [key, "_cell"]
     before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     ahead = rows.groupBy(*at).count().select(*at, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
-    own = F.row_number().over(Window.partitionBy(*at).orderBy("_row"))
+    own = F.row_number().over(Window.partitionBy(*at).orderBy(*order, "_row"))
     return rows.withColumn("rank", own).join(ahead.hint("merge"), at).withColumn("rank", F.col("rank") - 1 + F.col("_ahead")).drop("_cell", "_ahead")

@@ -5,7 +5,8 @@ nodes on it; a key belongs to the next node clockwise. Loads are bounded: keys
 beyond a shard's capacity go on clockwise to the next shard with room. Rows of a
 cell are alike to the ring, so the walk is made once over the cells' counts (as
 many as the grid has, whatever the table size) and gives ranges of ranks per cell;
-rows find their shard and slot from their rank with DataFrame functions alone.
+rows find their shard and slot from their rank with DataFrame functions alone. A
+cell with very many rows, such as that of a repeated key, is ranked in many tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import read
+from weirflow.llm.common import cut, ranked, read
 
 #: Cells of the ring (a power of two) and virtual nodes of each shard.
 CELL_BITS = 14
@@ -79,22 +80,24 @@ def shard(docs: DataFrame, shards: int = SHARDS, load: float = 1.0, replicas: in
     one a shard has at most ``load`` times the mean and fewer keys leave their own
     place. Slots are gapless from 0 in each shard. A null text has size 1 and the
     checksum of no bytes. Null ids are one key; repeated rows get slots of their
-    own next to each other. Other columns are left out.
+    own. An empty table gives an empty table. Other columns are left out, whatever
+    their names.
     """
     spark = docs.sparkSession
-    cell = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - bits).cast("int")
-    counts = {r["cell"]: r["count"] for r in docs.groupBy(cell.alias("cell")).count().collect()}
-    ranges = walk(counts, ring(shards, replicas, bits), capacities(sum(counts.values()), shards, load), bits)
-    plan = spark.createDataFrame(ranges or [(-1, 0, 0, 0, 0)], "at int, low long, high long, shard int, base long")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        cell.alias("cell"),
+    rows = cut(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text).alias("text_crc32"),
+            F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long")), 64 - bits).cast("int").alias("cell"),
+            F.monotonically_increasing_id().alias("_row"),
+        )
     )
-    order = Window.partitionBy("cell").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32", "size")
-    rows = rows.withColumn("rank", F.row_number().over(order) - 1)
+    counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
+    ranges = walk(counts, ring(shards, replicas, bits), capacities(sum(counts.values()), shards, load), bits)
+    plan = spark.createDataFrame(ranges or [(-1, 0, 0, 0, 0)], "at int, low long, high long, shard int, base long")
+    rows = ranked(rows.withColumn("place", F.xxhash64("doc_id")), "cell", counts, ["place", "doc_id", "text_crc32", "size"])
     # The plan has at most one range per cell and one more per shard that filled up on the way.
     found = rows.join(F.broadcast(plan), (F.col("cell") == F.col("at")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return found.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("low")).alias("slot"))
