@@ -35,6 +35,28 @@ def test_random_texts_equal_the_library(library):
         assert coder.decode(ids) == text.encode()
 
 
+def test_long_runs_are_taken_back_and_equal_the_library(library):
+    """Runs of few letters, where the longest match is often given up."""
+    coder, r = bpe.byte_bpe(PATH), random.Random(5)
+    for letters in ("a", "ab", "abcdefgh", "etaoinshr", "\u00e9\u4f60"):
+        for n in (50, 3000):
+            text = "".join(r.choice(letters) for _ in range(n))
+            assert coder.encode(text) == packed(library.encode_ordinary(text))
+    tries = []
+    merges = bpe.byte_bpe(PATH).merges
+    automaton = merges.automaton
+    text = "".join(r.choice("abcd") for _ in range(20_000))
+    matches = sum(1 for _ in automaton.iter(text[::-1]))
+    judge = merges._judge
+    try:
+        merges.fits.clear()
+        merges._judge = lambda key: tries.append(key) or judge(key)
+        merges.encode(text)
+    finally:
+        del merges._judge
+    assert len(tries) <= matches and len(set(tries)) == len(tries)  # each pair of neighbours is judged once
+
+
 def test_small_memos_change_nothing(library):
     coder = bpe.ByteBpe(PATH)
     coder.pieces.entries = coder.chunks.entries = 5

@@ -16,9 +16,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(library, text):
@@ -57,7 +55,7 @@ def test_query_packs_all_documents(spark, library):
 
 def test_random_texts_equal_the_library(library):
     coder, r = bpe.word_bpe(PATH), random.Random(6)
-    alphabet = ["a", "B", "the", " ", "\n", "'s", "'T", "1", "é", "É", "é", "你", "\U0001f600", "\x85", "\xa0", " ", "!", "...", "Σ", "İ", "²", "<|endoftext|>", "</w>", "\x00", "ing"]
+    alphabet = ["a", "B", "the", " ", "\n", "'s", "'T", "1", "é", "É", "é", "你", "\U0001f600", "\x85", "\xa0", " ", "!", "...", "Σ", "İ", "²", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", "</w>", "\x00", "ing"]
     for _ in range(4000):
         text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 14)))
         ids = library.encode(text, add_special_tokens=False).ids
@@ -106,3 +104,30 @@ def test_awkward_documents(spark, library):
     assert packing.pack(packing.pieces(documents(spark, []))).count() == 0
     with_ids = packing.pieces(documents(spark), ids=True).where("doc_id = 8").first()
     assert bytes(with_ids.ids) == struct.pack("<3I", *ids_of(library, "a b"))
+
+
+def test_special_tokens_are_read_as_the_library_reads_them(spark, library):
+    texts = ["a <|endoftext|> b", "<|endoftext|><|startoftext|>x", "A<|EndOfText|>", "é<|endoftext|>É ", "<|endoftext", "<<|endoftext|>>", "<|endoftext|>"]
+    coder = bpe.word_bpe(PATH)
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert coder.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
+    assert coder.encode("a <|endoftext|> b") == struct.pack("<3I", 320, 49407, 321)
+
+
+def test_equal_lengths_and_null_ids_are_spread(spark, monkeypatch):
+    """No window group grows beyond a fixed size, whatever rows are alike."""
+    from pyspark.sql import functions as F
+
+    from weirflow.llm import common
+
+    monkeypatch.setattr(common, "CELL_ROWS", 5000)
+    n = 100_000
+    same = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1000).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"), F.monotonically_increasing_id().alias("_row"))
+    found = common.ranked(same, "length", {1000: n}, ["doc_id"])
+    assert found.select("rank").distinct().count() == n and found.agg(F.max("rank")).first()[0] == n - 1
+    cells = same.groupBy(F.pmod(F.xxhash64("_row"), F.lit(20))).count().agg(F.max("count")).first()[0]
+    assert cells < 1.1 * 5000
+    packed = packing.pack(same.drop("_row").withColumn("piece", F.col("piece").cast("int")))
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.max("offset").alias("o")).where("n != 2000 or k != 2 or o != 1000").count() == 0
+    assert packed.count() == n

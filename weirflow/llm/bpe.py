@@ -1,13 +1,15 @@
 """Byte-pair encoding in linear time by backtracking over longest matches.
 
 A piece of text is a string of symbols. An Aho-Corasick automaton over the
-vocabulary gives the tokens that end at each place, longest first. A token may
-follow another only if the merge rules would not have joined symbols across
-their border, which is decided by unwinding both tokens' own merges and is
-memoised per pair. At each place the longest match is tried first and given up
-for the next shorter one where it is not compatible with what precedes it;
-exactly one fits, as only one token sequence has compatible neighbours
-throughout: the one the merges give. It is read by backtracking from the end.
+vocabulary, run from the end of the piece, gives the tokens that begin at each
+place, longest first. A token may follow another only if the merge rules would not
+have joined symbols across their border, which is decided by unwinding both tokens'
+own merges and is memoised per pair. Encoding goes forward by the longest match; one
+that does not fit what precedes it is given up for the next shorter, and where none
+fits the last token is taken back and shortened. Tokens with compatible neighbours
+throughout are the only such sequence for the symbols they cover, and are what the
+merges give; so a place that was once taken back is never tried again, and the time
+is linear.
 
 For byte-level vocabularies the symbols are bytes as Latin-1 characters. For
 vocabularies with word ends the last symbol of a piece is raised by 256.
@@ -91,7 +93,7 @@ class Merges:
             usable[symbols] = i
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for symbols, i in usable.items():
-            self.automaton.add_word(symbols, i)
+            self.automaton.add_word(symbols[::-1], i)
         self.automaton.make_automaton()
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -123,33 +125,37 @@ class Merges:
         return good
 
     def encode(self, symbols: str) -> list[int]:
-        """Token ids of one piece.
-
-        ``last[e]`` is the last token of the encoding of the first ``e`` symbols.
-        Matches come by their ends, longest first; the first that the encoding
-        before it is compatible with is the one the merges give.
-        """
+        """Token ids of one piece, by the longest match that fits and backtracking."""
         length, memo, judge = self.length, self.fits.get, self._judge
         n = len(symbols)
-        last = [-1] * (n + 1)
-        for end, token in self.automaton.iter(symbols):
-            end += 1
-            if last[end] < 0:
-                start = end - length[token]
-                if start:
-                    key = last[start] << 24 | token
-                    good = memo(key)
+        matches: list[list[int]] = [[] for _ in range(n)]
+        for end, token in self.automaton.iter(symbols[::-1]):
+            matches[n - 1 - end].append(token)
+        out, tried, given_up = [], [], bytearray(n + 1)
+        at = k = 0
+        while at < n:
+            here = matches[at]
+            before = out[-1] << 24 if out else -1
+            while k < len(here):
+                token = here[k]
+                k += 1
+                end = at + length[token]
+                if given_up[end]:
+                    continue
+                if before >= 0:
+                    good = memo(before | token)
                     if good is None:
-                        good = judge(key)
+                        good = judge(before | token)
                     if not good:
                         continue
-                last[end] = token
-        out = []
-        while n:
-            token = last[n]
-            out.append(token)
-            n -= length[token]
-        out.reverse()
+                out.append(token)
+                tried.append(k)
+                at, k = end, 0
+                break
+            else:  # nothing fits: take the last token back and shorten it
+                given_up[at] = 1
+                at -= length[out.pop()]
+                k = tried.pop()
         return out
 
 
@@ -212,12 +218,15 @@ class WordBpe:
 
     White space never lies inside a token, so each run of other characters is
     encoded by itself and memoised. Runs outside plain Latin letters, where
-    normalisation may depend on more, go through the library itself.
+    normalisation may depend on more, go through the library itself. The strings of
+    special tokens are found first, before anything is normalised.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, self.special = file["model"], {t["content"]: struct.pack("<I", t["id"]) for t in file["added_tokens"]}
+        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         vocabulary, plain = model["vocab"], _byte_characters()
 
         def symbols(token: str) -> str:
@@ -233,7 +242,6 @@ class WordBpe:
         tokens = {symbols(t): i for t, i in vocabulary.items() if i in known or i < 512}
         self.merges = Merges(tokens, pairs)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.odd = regex.compile(r"[^\x09-\x0d\x20-\x7e\xa1-ɏ]").search
         self.pieces = Memo(self._piece)
@@ -257,6 +265,12 @@ class WordBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if self.specials and "<|" in text:
+            parts = self.specials.split(text)  # every second one is a special token
+            return b"".join(self.special[p] if k % 2 else self._plain(p) for k, p in enumerate(parts))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 

@@ -6,7 +6,7 @@ enumerated, their repeat counts are fitted to the histogram by non-negative leas
 squares and rounded down, and what remains is packed by best-fit decreasing, again
 in repeated patterns. The plan (some thousand runs of equal patterns, whatever the
 corpus size) is broadcast; each piece finds its place from its rank among pieces
-of its length.
+of its length, which is counted in as many tasks as a length's pieces ask for.
 """
 
 from __future__ import annotations
@@ -16,16 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import bpe
-from weirflow.llm.common import arrow_schema, cut, map_batches, read
+from weirflow.llm.common import arrow_schema, cut, map_batches, ranked, read
 
 VOCABULARY = "word_bpe_49k.json"
 SIZE = 2048
-#: Ranks are counted within so many cells of each length, so that a common length is spread.
-CELLS = 64
 #: Patterns of three lengths tried for each longest length.
 TRIPLES = 2
 #: Shares of the fitted repeat counts that are tried, in this order.
@@ -38,8 +36,10 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ids: bool
     """Tokenise whole texts, end each with id 0 and cut those longer than ``size``.
 
     One row per piece: ``PIECES`` and, if asked, ``ids`` (little-endian unsigned
-    32-bit). A null or empty text gives one piece of length 1. Repeated rows and
-    null ids give pieces like any other; other columns are left out.
+    32-bit). The strings of special tokens in a text are read as those tokens, as
+    the library does. A null or empty text gives one piece of length 1. Repeated
+    rows and null ids give pieces like any other; other columns are left out,
+    whatever their names.
     """
     path = path or public_tokenizers.path(VOCABULARY)
 
@@ -195,29 +195,27 @@ class Places:
 def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, length and any other columns of ``PIECES``).
 
-    Only a histogram of at most ``size`` x ``CELLS`` counts comes to the driver.
-    Offsets in a sequence are gapless from 0; no piece is cut, repeated or left out.
+    Only a histogram of at most ``size`` counts comes to the driver. Offsets in a
+    sequence are gapless from 0; no piece is cut, repeated or left out, whatever ids
+    are null or repeated. An empty table gives an empty table.
     """
-    spark = parts.sparkSession
-    parts = cut(parts.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(CELLS)).cast("int")))
-    counted = parts.groupBy("length", "cell").count().toPandas()
-    counts = np.zeros((size + 1, CELLS), np.int64)
-    counts[counted["length"], counted["cell"]] = counted["count"]
-    before = np.cumsum(counts, 1) - counts
-    shared = spark.sparkContext.broadcast((before, Places(plan(counts.sum(1)), size)))
-    order = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "start")
-    ranked = parts.withColumn("rank", F.row_number().over(order)).select(*[f.split()[0] for f in PIECES.split(", ")], "cell", "rank")
+    names = [f.split()[0] for f in PIECES.split(", ")]
+    parts = cut(parts.select(*names, F.monotonically_increasing_id().alias("_row")))
+    counted = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
+    histogram = np.zeros(size + 1, np.int64)
+    for length, n in counted.items():
+        histogram[length] = n
+    shared = parts.sparkSession.sparkContext.broadcast(Places(plan(histogram), size))
+    found = ranked(parts, "length", counted, ["doc_id", "piece", "start"]).select(*names, "rank")
 
     def make():
-        def work(doc, piece, start, length, crc, cell, rank):
-            before, places = shared.value
-            n = length.to_numpy()
-            sequence, offset = places.find(n, before[n, cell.to_numpy()] + rank.to_numpy() - 1)
+        def work(doc, piece, start, length, crc, rank):
+            sequence, offset = shared.value.find(length.to_numpy(), rank.to_numpy())
             return doc, piece, start, length, crc, sequence, offset
 
         return work
 
-    return map_batches(ranked, f"{PIECES}, sequence_id long, offset long", make)
+    return map_batches(found, f"{PIECES}, sequence_id long, offset long", make)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
