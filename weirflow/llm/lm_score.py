@@ -4,18 +4,19 @@ The target model is counted over documents labelled as good, the background mode
 over all documents. Both are bigram models of the same form and smoothing over one
 vocabulary, every word of the corpus. A document's score is the mean over its words
 of target loss less background loss (in nats): the lower, the more it is like the
-target.
+target. A target document's own counts are left out of the target model, so that
+all documents alike are scored by a target model that has not seen them.
 
-Words and pairs go by 64-bit fingerprints. Documents are gathered in chunks, which
-ask for the counts of their distinct pairs and words; parts of the fingerprints'
-range add the counts up and answer each chunk, so that no table of the corpus is
-held in one place.
+Words and pairs go by 64-bit fingerprints. Documents are gathered in chunks where
+they are read, which ask for the counts of their distinct pairs and words; parts of
+the fingerprints' range add the counts up and answer each chunk, so that no table of
+the corpus is held in one place and no text is moved.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -27,14 +28,12 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import labelled
 from weirflow.llm.common import arrow_schema, cut, map_arrow, read, shuffle_partitions
+from weirflow.session import ship
 
-#: Entries that smoothing reckons with, 0 among them, which stands before the first word. Below this size only the most
-#: frequent words are kept, with 0 for all others; at this size every word of the corpus is.
+#: Words that smoothing reckons with: those never seen keep their share.
 VOCABULARY = 1 << 32
 #: Weight of the unigram model in bigram probabilities, in counts.
 PRIOR = 16.0
-#: Distinct words that a task counts before it hands the counts on.
-HELD = 200_000
 #: Words of a chunk, above which it is handed on, and words of the corpus for each part of the counts.
 CHUNK = PART = 1 << 21
 
@@ -43,46 +42,6 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def mark_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, target): target where the document is labelled 1 for quality, held-out labels aside.
-
-    Ids with several labels count as target if any is 1. Labels grow with the corpus,
-    so both sides are shuffled at every size. The labelled ids are distinct, so no row
-    repeats.
-    """
-    good = labels.where((F.col("quality") == 1) & ~labelled.held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("good_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
-    return rows.select("doc_id", "text", F.col("good_id").isNotNull().alias("target"))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents; tasks count first and hand on sums."""
-    schema = arrow_schema("word binary, n long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], schema=schema)
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(_words(text))
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
-
-    return map_arrow(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
-    """The ``size`` - 1 most frequent words of the corpus, ties by bytes."""
-    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(size - 1).collect()
-    return [bytes(r["word"]) for r in rows]
-
-
 def pack(x: np.ndarray) -> bytes:
     """Bytes of an array, compressed place by place: high bytes are mostly alike."""
     return pa.Codec("zstd", 1).compress(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), asbytes=True)
@@ -101,55 +60,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(marked: DataFrame, known: list[bytes] | None = None) -> DataFrame:
-    """Whole documents in chunks: their ids, numbers of words, targets, the words as numbers within the chunk and the words' fingerprints.
+def chunks(docs: DataFrame) -> DataFrame:
+    """Whole documents in chunks: their ids, numbers of words, the words as numbers within the chunk and the words' fingerprints.
 
-    Words that are not ``known`` (if given) have number 0. ``task`` and ``chunk`` name a chunk.
+    ``task`` and ``chunk`` name a chunk. Ids may be null or repeated.
     """
-    ddl = "task int, chunk long, doc_ids array<long>, sizes binary, target binary, n_tokens long, tokens binary, n_words long, words binary, n_target long"
+    ddl = "task int, chunk long, doc_ids array<long>, sizes array<long>, n_tokens long, tokens binary, n_words long, words binary"
     schema = arrow_schema(ddl)
-    shared = None if known is None else marked.sparkSession.sparkContext.broadcast(set(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, chunk = TaskContext.get().partitionId(), 0
-        only = None if shared is None else shared.value
 
         def fresh():
-            numbers = defaultdict(None, {None: 0})
+            numbers = defaultdict(None, {None: 0})  # 0 stands before the first word
             numbers.default_factory = numbers.__len__
-            return numbers, array("I"), [], [], []
+            return numbers, array("I"), [], []
 
         def out():
             words = b"".join(blake2b(w, digest_size=8).digest() for w in numbers if w is not None)
-            n, marks, x = np.array(sizes, np.int64), np.array(targets, bool), np.frombuffer(tokens, np.uint32)
-            row = (task, chunk, doc_ids, n.tobytes(), marks.tobytes(), len(x), pack(x), len(numbers) - 1, words, int(n[marks].sum()))
+            x = np.frombuffer(tokens, np.uint32)
+            row = (task, chunk, doc_ids, sizes, len(x), pack(x), len(numbers) - 1, words)
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-        numbers, tokens, doc_ids, sizes, targets = fresh()
+        numbers, tokens, doc_ids, sizes = fresh()
         for batch in batches:
-            for doc_id, text, target in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = _words(text)
-                if only is not None:
-                    words = [w if w in only else None for w in words]
                 tokens.extend(map(numbers.__getitem__, words))
                 doc_ids.append(doc_id)
                 sizes.append(len(words))
-                targets.append(target)
                 if len(tokens) > CHUNK or len(sizes) > CHUNK:
                     yield out()
                     chunk += 1
-                    numbers, tokens, doc_ids, sizes, targets = fresh()
+                    numbers, tokens, doc_ids, sizes = fresh()
         if sizes:
             yield out()
 
-    return map_arrow(marked.select("doc_id", "text", "target"), run, ddl)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, ddl)
+
+
+def targets(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """(task, chunk, places, n_target): where in each chunk target documents stand, and their words.
+
+    Documents labelled 1 for quality are the target, held-out labels aside; ids with
+    several labels count if any is 1, null ids never. Only ids and numbers are
+    shuffled: labels grow with the corpus, so both sides are, at every size.
+    """
+    good = labels.where((F.col("quality") == 1) & ~labelled.held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("good_id")).where("good_id is not null").distinct()
+    rows = held.select("task", "chunk", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("place", "doc"))
+    rows = rows.select("task", "chunk", "place", F.col("doc.doc_ids").alias("good_id"), F.col("doc.sizes").alias("n")).where("good_id is not null")
+    found = rows.join(good.hint("merge"), "good_id")
+    return found.groupBy("task", "chunk").agg(F.collect_list("place").alias("places"), F.sum("n").alias("n_target"))
 
 
 class Chunk:
     """What a chunk asks for: its distinct pairs (word before, word) and words, each by fingerprint; before the first word stands 0."""
 
-    def __init__(self, row: dict):
-        self.sizes = np.frombuffer(row["sizes"], np.int64)
+    def __init__(self, row: dict, places: list[int]):
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.target = np.zeros(len(self.sizes), bool)
+        self.target[places] = True
         x = unpack(row["tokens"], np.uint32, row["n_tokens"]).astype(np.int64)
         self.words = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(row["words"], np.uint64)])
         self.starts = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
@@ -159,7 +129,7 @@ class Chunk:
         at, self.place, n = np.unique(before * len(self.words) + x, return_inverse=True, return_counts=True)
         self.before, self.word = at // len(self.words), at % len(self.words)
         self.pairs = mix(mix(self.words[self.before]) * np.uint64(0x9E3779B97F4A7C15) + self.words[self.word])
-        marks = np.repeat(np.frombuffer(row["target"], bool), self.sizes)
+        marks = np.repeat(self.target, self.sizes)
         self.counts = np.stack([np.bincount(self.place[marks], minlength=len(at)), n])
         self.order = [np.argsort(k, kind="stable") for k in (self.pairs, self.words)]
 
@@ -175,38 +145,71 @@ class Chunk:
                 yield part, keys[0][a:b], counts[0][:, a:b], keys[1][c:d], counts[1][:, c:d]
 
     def losses(self, pairs: np.ndarray, words: np.ndarray, total: tuple[int, int], size: int, prior: float) -> list[np.ndarray]:
-        """Mean target and background loss of each document, from the corpus's counts in the order that was asked."""
+        """Mean target and background loss of each document, from the corpus's counts in the order that was asked.
+
+        A target document's own counts are taken off the target's.
+        """
         n, margins = np.empty_like(pairs), np.empty_like(words)
         n[:, self.order[0]], margins[:, self.order[1]] = pairs, words
         out = []
         for k in range(2):
-            single = (margins[2 + k] + 1) / (total[k] + size)
-            each = loss(n[k], single[self.word], margins[k][self.before], prior)
+            each = loss(n[k], (margins[2 + k][self.word] + 1) / (total[k] + size), margins[k][self.before], prior)[self.place]
+            if k == 0 and self.target.any():
+                doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+                seen = self.target[doc]
+                doc, at = doc[seen], self.place[seen]
+                places = (at, self.word[at], self.before[at])
+                pair, single, first = (have[p] - _within(doc, p) for have, p in zip((n[0], margins[2], margins[0]), places))
+                each[seen] = loss(pair, (single + 1) / (total[0] - self.sizes[doc] + size), first, prior)
             means = np.zeros(len(self.sizes))
             if len(self.starts):
-                means[self.sizes > 0] = np.add.reduceat(each[self.place], self.starts) / self.sizes[self.sizes > 0]
+                means[self.sizes > 0] = np.add.reduceat(each, self.starts) / self.sizes[self.sizes > 0]
             out.append(means)
         return out
 
 
+def _within(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """How often each token's value occurs in its document."""
+    if not len(doc):
+        return doc
+    key = doc * (int(value.max()) + 1) + value
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.diff(key[order], prepend=-1))
+    n = np.diff(np.append(edges, len(key)))
+    out = np.empty_like(key)
+    out[order] = np.repeat(n, n)
+    return out
+
+
 def loss(n: np.ndarray, single: np.ndarray, total: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     """-log p(word | word before) from a pair's count, the word's share and the count of pairs with the word before:
     bigram counts with the unigram model, itself smoothed by one, as prior."""
     return np.log(total + prior) - np.log(n + prior * single)
 
 
-def requests(held: DataFrame, parts: int) -> DataFrame:
+def dealt(held: DataFrame) -> DataFrame:
+    """Chunks dealt by name: one shuffle, which asking and scoring share."""
+    return held.repartition(max(held.rdd.getNumPartitions(), 1), "task", "chunk").groupBy("task", "chunk")
+
+
+def requests(held: DataFrame, marked: DataFrame, parts: int) -> DataFrame:
     """Distinct pairs and words of each chunk with their counts there, cut in parts."""
     ddl = "part int, task int, chunk long, n_pairs long, pairs binary, pair_counts binary, n_words long, words binary, word_counts binary"
     schema = arrow_schema(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = [(part, row["task"], row["chunk"], len(p), pack(p), pack(m), len(w), pack(w), pack(n)) for part, p, m, w, n in Chunk(row).asked(parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+    def ask(chunk: pa.Table, places: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return schema.empty_table()
+        row = chunk.to_pylist()[0]
+        asked = Chunk(row, _places(places)).asked(parts)
+        rows = [(part, row["task"], row["chunk"], len(p), pack(p), pack(m), len(w), pack(w), pack(n)) for part, p, m, w, n in asked]
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema) if rows else schema.empty_table()
+
+    return dealt(held).cogroup(marked.groupBy("task", "chunk")).applyInArrow(ask, ddl)
+
 
-    return map_arrow(held, run, ddl)
+def _places(table: pa.Table) -> list[int]:
+    return [p for places in table["places"].to_pylist() if places is not None for p in places]
 
 
 def answers(asked: DataFrame, parts: int) -> DataFrame:
@@ -236,53 +239,45 @@ def answers(asked: DataFrame, parts: int) -> DataFrame:
     return map_arrow(asked.repartitionById(parts, "part"), run, ddl)
 
 
-def score(held: DataFrame, answered: DataFrame, total: tuple[int, int], size: int = VOCABULARY, prior: float = PRIOR) -> DataFrame:
+def score(held: DataFrame, marked: DataFrame, answered: DataFrame, total: tuple[int, int], size: int = VOCABULARY, prior: float = PRIOR) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every document.
 
     Losses are means per word; without words all are 0. Each chunk meets its answers
-    in the task that has the number of the task it came from.
+    and its target documents' places by name.
     """
     ddl = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
     schema = arrow_schema(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out():
-            pairs, words = (np.concatenate(x, 1) if x else np.zeros((rows, 0), np.int64) for x, rows in zip(got, (2, 4)))
-            chunk = Chunk(row)
-            t, b = chunk.losses(pairs, words, total, size, prior)
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((row["doc_ids"], chunk.sizes, t, b, t - b), schema)], schema=schema)
-
-        row, got = None, ([], [])
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["part"] < 0:
-                    if row is not None:
-                        yield out()
-                    row, got = r, ([], [])
-                else:
-                    got[0].append(unpack(r["pair_counts"], np.int64, 2, r["n_pairs"]))
-                    got[1].append(unpack(r["word_counts"], np.int64, 4, r["n_asked"]))
-        if row is not None:
-            yield out()
+    def meet(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return schema.empty_table()
+        row, pairs, words = chunk.to_pylist()[0], [np.zeros((2, 0), np.int64)], [np.zeros((4, 0), np.int64)]
+        for r in sorted(got.drop_columns("places").to_pylist(), key=lambda r: r["part"]):
+            if r["part"] >= 0:
+                pairs.append(unpack(r["pair_counts"], np.int64, 2, r["n_pairs"]))
+                words.append(unpack(r["word_counts"], np.int64, 4, r["n_asked"]))
+        made = Chunk(row, _places(got))
+        t, b = made.losses(np.concatenate(pairs, 1), np.concatenate(words, 1), total, size, prior)
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip((row["doc_ids"], made.sizes, t, b, t - b), schema)], schema=schema)
 
-    both = held.withColumn("part", F.lit(-1)).unionByName(answered, allowMissingColumns=True)
-    met = both.repartitionById(max(held.rdd.getNumPartitions(), 1), "task").sortWithinPartitions("task", "chunk", "part")
-    return map_arrow(met, run, ddl)
+    told = answered.unionByName(marked.select(F.lit(-1).alias("part"), "task", "chunk", "places"), allowMissingColumns=True)
+    return dealt(held).cogroup(told.groupBy("task", "chunk")).applyInArrow(meet, ddl)
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score of every document by models counted over all of them.
 
     Null texts have no words and score 0; null ids and repeated rows are scored like
-    others; columns other than doc_id and text are left out. Chunks are written once
-    and serve counting and scoring.
+    others; columns other than doc_id and text are left out, whatever their names.
+    An empty table gives an empty table; without labels the target model knows no
+    words. Chunks are written once and serve counting and scoring.
     """
-    known = vocabulary(docs, size) if size < VOCABULARY else None
-    held = cut(chunks(mark_target(docs, labels), known))
-    n = held.agg(F.sum("n_target").alias("target"), F.sum("n_tokens").alias("all")).first()
-    total = (n["target"] or 0, n["all"] or 0)
+    ship(docs.sparkSession)
+    held = cut(chunks(docs))
+    marked = cut(targets(held, labels))
+    total = (marked.agg(F.sum("n_target")).first()[0] or 0, held.agg(F.sum("n_tokens")).first()[0] or 0)
     parts = max(shuffle_partitions(docs.sparkSession), -(-total[1] // PART))
-    return score(held, answers(requests(held, parts), parts), total, size)
+    return score(held, marked, answers(requests(held, marked, parts), parts), total)
 
 
 def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
