@@ -11,12 +11,14 @@ forms that the rules miss and look-alikes that are not personal data.
 
 from __future__ import annotations
 
+import bisect
 import functools
-import hashlib
-import math
 import random
 import re
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +34,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Longest candidate, in tokens and characters.
-MAX_TOKENS, MAX_CHARS = 24, 48
+#: Longest candidate, in tokens and characters, and most tokens that are segmented at once.
+MAX_TOKENS, MAX_CHARS, PIECE = 24, 48, 4096
 #: Generated sentences that the model is trained on, and passes over them.
-SENTENCES, PASSES, SEED = 500, 8, 11
+SENTENCES, PASSES, SEED = 600, 8, 11
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 _ANCHOR = re.compile(r"[0-9@]|[\[(]at[\])]")
 _CHUNK = re.compile(r"\S+")
+#: What stands for an at-sign and for a dot in addresses.
+_SIGN = re.compile(r"\s?[\[(]at[\])]\s?|\s?@\s?")
+_DOT = re.compile(r"\.|\s?[\[(](?:dot|\.)[\])]\s?")
 
 Span = tuple[str, int, int]
 
@@ -83,21 +88,27 @@ def rule_spans(text: str) -> list[Span]:
     return out
 
 
-def windows(text: str, reach: int = 4) -> list[tuple[int, int]]:
+def windows(text: str, reach: int = 4) -> Iterator[tuple[int, int]]:
     """Stretches of text within ``reach`` words of an anchor; only they can hold candidates."""
     if not _ANCHOR.search(text):
-        return []
-    chunks = [m.span() for m in _CHUNK.finditer(text)]
-    near = sorted({j for i, (a, b) in enumerate(chunks) if _ANCHOR.search(text, a, b) for j in range(max(0, i - reach), min(len(chunks), i + reach + 1))})
-    out: list[list[int]] = []
-    last = -2
-    for j in near:
-        if j == last + 1:
-            out[-1][1] = chunks[j][1]
-        else:
-            out.append(list(chunks[j]))
-        last = j
-    return [(a, b) for a, b in out]
+        return
+    recent: deque[tuple[int, int]] = deque(maxlen=reach + 1)
+    start = end = last = None  # the stretch so far, and the number of its last word
+    for number, m in enumerate(_CHUNK.finditer(text)):
+        a, b = m.span()
+        recent.append((number, a))
+        if _ANCHOR.search(text, a, b):
+            first, at = recent[0]
+            if start is not None and first > last + 1:
+                yield start, end
+                start = None
+            if start is None:
+                start = at
+            end, last = b, number + reach
+        elif start is not None and number <= last:
+            end = b
+    if start is not None:
+        yield start, end
 
 
 def candidates(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -126,7 +137,7 @@ def candidates(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int,
 
 
 def features(text: str, start: int, end: int) -> list[str]:
-    """Features of a whole candidate span."""
+    """Features of a whole candidate span: digits and their grouping, marks, checksum, the parts of a number or of an address, and what stands around it."""
     span = text[start:end]
     digits = _digits(span)
     runs = [len(x) for x in re.findall(r"[0-9]+", span)]
@@ -144,18 +155,23 @@ def features(text: str, start: int, end: int) -> list[str]:
         f"after{_class(text[end : end + 1])}{_class(text[end + 1 : end + 2])}",
         f"word{before[-1].lower()[:12] if before and not before[-1].isdigit() else ''}",
     ]
+    if not letters:
+        out.append(f"shape{'-'.join(map(str, runs[:6]))}{marks[:4]}")
     if len(digits) >= 13:
-        out.append(f"luhn{luhn(digits)}{16 <= len(digits) <= 19}{not letters}")
+        good = luhn(digits)
+        out += [f"luhn{good}", f"luhn{good}{16 <= len(digits) <= 19}{not letters}"]
     if len(set(runs)) == 1 and runs[0] == 4:
         out.append(f"fours{len(runs)}")
     parts = re.split(r"[.]|\s*\[\.\]\s*|\s?\(dot\)\s?", span)
     if len(parts) == 4 and all(p.isdigit() and p.isascii() for p in parts):
         out.append(f"parts{all(len(p) < 4 and int(p) < 256 for p in parts)}")
-    mail = re.fullmatch(r"[A-Za-z0-9._%+-]+(\s?[\[(]at[\])]\s?|\s@\s|@)[A-Za-z0-9-]+((\.|\s?[\[(](?:dot|\.)[\])]\s?)[A-Za-z0-9-]+)+", span)
-    out.append(f"mail{bool(mail)}{mail[1].strip() if mail else ''}")
-    if mail:
-        out.append(f"tail{len(re.split(r'[^A-Za-z]+', span)[-1]) in (2, 3, 4)}")
-    out.append(f"phone{bool(re.fullmatch(r'(00 ?[0-9]{1,3}[ -]?)?(1[ -])?(\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}', span))}")
+    signs = _SIGN.findall(span)
+    out.append(f"signs{min(len(signs), 2)}")
+    if len(signs) == 1:
+        local, domain = _SIGN.split(span)
+        names = _DOT.split(domain)
+        kinds = ["".join(sorted({"a" if c.isalpha() else "9" if c.isdigit() else " " if c.isspace() else "." if c in "._%+-" else "x" for c in x})) for x in (local, domain.replace(".", ""))]
+        out += [f"sign{signs[0].strip()}", f"sign{signs[0]}names{min(len(names), 4)}", f"local{kinds[0]}", f"domain{' ' in kinds[1]}{'x' in kinds[1]}", f"tail{min(len(names[-1]), 5)}{names[-1].isalpha()}", f"names{min(len(names), 4)}{all(names)}"]
     return out
 
 
@@ -171,14 +187,41 @@ class Model:
     moves: np.ndarray
 
     def spans(self, text: str, taken: list[tuple[int, int]]) -> list[Span]:
-        """Best segmentation of each window; spans never overlap ``taken`` or each other."""
+        """Best segmentation of each window; spans never overlap ``taken`` or each other.
+
+        Very long windows are segmented ``PIECE`` tokens at a time; what is decided
+        near a piece's end is decided again with what follows it, so memory is bounded
+        and no span is cut.
+        """
         out: list[Span] = []
+        merged: list[list[int]] = []
+        for s, e in sorted(taken):
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        ends = [e for _, e in merged]
         for a, b in windows(text):
-            tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
-            found = candidates(text, tokens, taken)
-            if found:
-                scores = np.array([self.score(features(text, tokens[i][0], tokens[j - 1][1])) for i, j in found])
-                out += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in best(len(tokens), found, scores, self.moves)]
+            state = 0
+            while a < b:
+                tokens = [m.span() for m in islice(_TOKEN.finditer(text, a, b), PIECE)]
+                stop = tokens[-1][1]
+                here = []
+                for k in range(bisect.bisect_right(ends, a), len(merged)):
+                    if merged[k][0] >= stop:
+                        break
+                    here.append(merged[k])
+                found = candidates(text, tokens, here)
+                scores = np.array([self.score(features(text, tokens[i][0], tokens[j - 1][1])) for i, j in found]).reshape(-1, len(KINDS))
+                path = best(len(tokens), found, scores, self.moves, state) if found else []
+                keep = len(tokens)
+                if stop < b:
+                    keep -= MAX_TOKENS
+                    keep = min([keep, *(i for i, j, _ in path if j > keep)])
+                path = [p for p in path if p[1] <= keep]
+                out += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in path]
+                state = path[-1][2] + 1 if path and path[-1][1] == keep else 0
+                a = tokens[keep - 1][1]
         return out
 
     def score(self, names: list[str]) -> np.ndarray:
@@ -190,30 +233,30 @@ class Model:
         return total
 
 
-def best(n: int, found: list[tuple[int, int]], scores: np.ndarray, moves: np.ndarray) -> list[tuple[int, int, int]]:
-    """Segmentation of ``n`` tokens with the highest score: (first, last + 1, kind) of its entities."""
+def best(n: int, found: list[tuple[int, int]], scores: np.ndarray, moves: np.ndarray, state: int = 0) -> list[tuple[int, int, int]]:
+    """Segmentation of ``n`` tokens after ``state`` with the highest score: (first, last + 1, kind) of its entities."""
     states = len(KINDS) + 1
     value = np.full((n + 1, states), -np.inf)
-    value[0, 0] = 0
-    back: list[list] = [[None] * states for _ in range(n + 1)]
+    value[0, state] = 0
+    back = np.zeros((n + 1, states, 3), np.int32)  # token, state and candidate before; -1: outside
     ending: dict[int, list[int]] = {}
     for c, (_, j) in enumerate(found):
         ending.setdefault(j, []).append(c)
     for t in range(1, n + 1):
         into = value[t - 1] + moves[:, 0]
         k = int(into.argmax())
-        value[t, 0], back[t][0] = into[k], (t - 1, k, None)
+        value[t, 0], back[t, 0] = into[k], (t - 1, k, -1)
         for c in ending.get(t, ()):
             i = found[c][0]
             into = value[i][:, None] + moves[:, 1:] + scores[c]
             for kind in range(len(KINDS)):
                 k = int(into[:, kind].argmax())
                 if into[k, kind] > value[t, kind + 1]:
-                    value[t, kind + 1], back[t][kind + 1] = into[k, kind], (i, k, c)
+                    value[t, kind + 1], back[t, kind + 1] = into[k, kind], (i, k, c)
     t, state, out = n, int(value[n].argmax()), []
     while t:
-        i, k, c = back[t][state]
-        if c is not None:
+        i, k, c = back[t, state].tolist()
+        if c >= 0:
             out.append((i, t, state - 1))
         t, state = i, k
     return out[::-1]
@@ -278,7 +321,15 @@ def sentences(count: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[
         dot = r.choice([".", ".", "[.]"])
         return dot.join(str(r.randint(0, 255)) for _ in range(4))
 
+    def unlike(n: int, sep: str = "") -> str:
+        """A number of a card's length whose checksum is wrong."""
+        body = num(n)
+        while luhn(body):
+            body = num(n)
+        return sep.join(body[k : k + 4] for k in range(0, n, 4)) if sep else body
+
     fakes = [
+        lambda: unlike(16), lambda: unlike(r.randint(16, 19)), lambda: unlike(16, r.choice([" ", "-", "."])), lambda: f'token = "{"".join(r.choice("0123456789abcdef") for _ in range(40))}"',
         lambda: f"20{num(2)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{num(2)}",
         lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"{r.randint(256, 999)}.{num(3)}.{num(2)}.{num(1)}",
         lambda: num(r.randint(7, 15)), lambda: num(16)[:15] + "x", lambda: "AKIA" + "".join(r.choice("ABCDEFGH234567") for _ in range(16)),
@@ -300,7 +351,7 @@ def sentences(count: int = SENTENCES, seed: int = SEED) -> list[tuple[str, list[
                 text += made
             else:
                 text += r.choice(fakes)()
-            text += r.choice([" ", ". ", ", ", " "])
+            text += r.choice([" ", ". ", ", ", " ", "!! ", "### ", "; "])
         out.append((text + name(), spans))
     return out
 
