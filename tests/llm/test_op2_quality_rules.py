@@ -28,14 +28,46 @@ def test_counts_equal_brute_force():
     assert base_counts(text.encode(), text.encode().split())[4] == brute(text)[4] == 24
 
 
+def plain_features(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars, symbols, dup, repeat = brute(text)
+    some = lambda pattern: len(re.findall(pattern, text))
+    w, c = max(n, 1), max(chars, 1)
+    return {
+        "words": n, "word_length": chars / w, "symbols_per_word": symbols / w, "marks_per_word": some(r"[!?~^=_+{}\[\]\\/@`]") / w, "upper_share": some("[A-Z]") / c,
+        "digit_share": some("[0-9]") / c, "distinct_share": len(set(words)) / w, "repeat_share": repeat / w, "dup_line_share": dup / (text.count("\n") + 1),
+    }
+
+
 def test_query_over_all_documents(spark):
     got = {r.doc_id: r for r in q.op2_quality_rules(spark, SMALL).collect()}
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rules = q.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    docs = docs.collect()
     assert len(got) == len(docs)
-    for d in docs[:60]:
+    for d in docs:
         r, want = got[d.doc_id], brute(d.text or "")
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
-        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        x = plain_features(d.text or "")
+        rejects = [k for k, rule in enumerate(rules, 1) if all((x[t.feature] > t.threshold) == t.above for t in rule)]
+        assert r.rule == (rejects[0] if rejects else 0) and r.kept == (not r.base_failed and not rejects)
+
+
+def test_fit_does_not_depend_on_the_order_of_rows(spark):
+    """Ids with several texts, one of them junk."""
+    words = "some plain words that are good enough to pass the rules of a base with more than twenty of them in all of its lines here"
+    rows = [(d, words + f" {d}") for d in range(200)] + [(d, "### $$$ " * 4 + words + f" {d}") for d in range(150)]
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(200)], "doc_id long, quality int, toxic int")
+    one = q.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    two = q.fit(spark.createDataFrame(rows[::-1] * 2, "doc_id long, text string").repartition(7), labels)
+    assert one == two
+
+
+def test_columns_with_the_names_of_statistics(spark):
+    docs = documents(spark).selectExpr("*", "1 as _stat_n_words", "2 as n_lines", "'r' as _row", "3 as rule")
+    kept = q.filter_documents(docs, [])
+    assert kept.columns == docs.columns and {(r.n_words, r._stat_n_words, r.n_lines, r._row, r.rule) for r in kept.collect()} == {(1, 1, 2, "r", 3)}
 
 
 def test_learned_list_separates_held_out_labels(spark):

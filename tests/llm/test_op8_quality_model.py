@@ -1,10 +1,71 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 from cases import TEXTS, documents
+from oracle import SMALL
 
 from weirflow.llm import labelled
 from weirflow.llm import quality_model as q
 
 
+def plain_features(text):
+    """The sixteen numbers by plain patterns over characters."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        return [0.0] * 16
+    n, chars = len(words), sum(map(len, words))
+    share = lambda pattern: len(re.findall(pattern, text))
+    lines = text.split("\n")
+    full = [x for x in lines if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(n - 7)]
+    often = Counter(windows)
+    inside = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(8)}
+    count = Counter(words)
+    return [
+        math.log1p(n), chars / n, share(r"[#*$%&|<>]") / n, share(r"[!?~^=_+{}\[\]\\/@`]") / chars, share("[A-Z]") / chars, share("[0-9]") / chars, len(count) / n,
+        max(count.values()) / n, len(inside) / n, (len(full) - len(set(full))) / len(lines), n / len(lines), share("[.:;]") / chars, share(",") / n,
+        len(text.encode()) / len(text), sum(a == b for a, b in zip(words, words[1:])) / n, sum(len(w.encode()) > 14 for w in count) / n,
+    ]
+
+
+def plain_score(model, x):
+    """One entry at a time: the bin of a value is the number of cuts below it."""
+    below = lambda cuts, v: sum(c < v for c in cuts)
+    total = model.base + sum(t[below(c, v)] for t, c, v in zip(model.tables, model.cuts, x))
+    for (a, b), t in zip(model.pairs, model.pair_tables):
+        total += t[below(model.pair_cuts[a], x[a])][below(model.pair_cuts[b], x[b])]
+    return 1 / (1 + math.exp(-max(-30, min(30, total))))
+
+
+def test_query_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = q.fit(docs, labels)
+    got = {r.doc_id: r for r in q.op8_quality_classifier(spark, SMALL).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and len(model.pairs) == 4
+    import zlib
+
+    for d in rows:
+        r, want = got[d.doc_id], plain_score(model, plain_features(d.text))
+        assert math.isclose(r.score, want, rel_tol=1e-9) and r.predicted == (want >= 0.7) and r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+
+
+def test_features_equal_plain_patterns():
+    for _, text in TEXTS:
+        if text is None or len(text) < 100_000:
+            assert np.allclose(q.features(text), plain_features(text), rtol=1e-12), text
+
+
+def test_fit_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(d, "good words here " * 5 + str(d)) for d in range(200)] + [(d, "$$ ## $$ " * 9) for d in range(0, 200, 2)]
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(200)], "doc_id long, quality int, toxic int")
+    a = q.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    b = q.fit(spark.createDataFrame(rows[::-1] * 2, "doc_id long, text string").repartition(5), labels)
+    assert all(np.array_equal(x, y) for x, y in zip(a.tables + a.pair_tables, b.tables + b.pair_tables))
+
+
 def test_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     scored = q.op8_quality_classifier(spark, folder)

@@ -17,11 +17,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int, label: str = "quality") -> DataFrame:
-    """At most ``rows`` labelled documents (doc_id, text, y), the smallest by hash of the id.
+    """At most ``rows`` labelled documents (doc_id, text, text_hash, y), the smallest by hash of the id.
 
     Labels other than 0 and 1, and null ids, are left out; where a document has
-    several labels the smallest counts; where an id has several texts, one of them.
-    The chosen ids are at most ``rows``, so they are broadcast.
+    several labels the smallest counts. An id with several texts comes with each of
+    them; ``one_each`` then leaves one. The chosen ids are at most ``rows``, so they
+    are broadcast.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -31,4 +32,10 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, label: str = "quality"
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(known), "doc_id")
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row for each doc_id: that of the text with the smallest hash, so that fits repeat whatever the order of rows."""
+    others = [c for c in rows.columns if c not in ("doc_id", "text_hash")]
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text_hash", *others)).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in others))

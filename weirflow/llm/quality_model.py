@@ -166,17 +166,17 @@ def train(x: np.ndarray, y: np.ndarray, bins: int = 32, pair_bins: int = 8, roun
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Additive:
-    """Fit on at most ``rows`` labelled documents; held-out rows give no label."""
+    """Fit on at most ``rows`` labelled documents; held-out rows give no label, and the order of rows does not matter."""
     names = ", ".join(f"{n} double" for n in FEATURES)
 
     def make():
-        def work(ids, texts, y):
-            return [ids, y, *map(list, zip(*[features(t) for t in texts.to_pylist()]))]
+        def work(ids, texts, text_hash, y):
+            return [ids, text_hash, y, *map(list, zip(*[features(t) for t in texts.to_pylist()]))]
 
         return work
 
-    found = map_batches(labelled.sample(docs, labels, rows), f"doc_id long, y int, {names}", make).dropDuplicates(["doc_id"])
-    got = found.toPandas().sort_values("doc_id")
+    found = map_batches(labelled.sample(docs, labels, rows), f"doc_id long, text_hash long, y int, {names}", make)
+    got = labelled.one_each(found).toPandas().sort_values("doc_id")
     return train(got[list(FEATURES)].to_numpy(float), got.y.to_numpy(float))
 
 
@@ -199,7 +199,11 @@ def score(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> Dat
 
 
 def filter_documents(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at the threshold or above, with all their columns, in one pass without a join."""
+    """The rows of ``docs`` that score at the threshold or above, with all their columns, whatever their names, in one pass without a join.
+
+    Null and empty texts are scored alike, by what labelled texts without words tell
+    about them; null ids and repeated rows are judged by their own text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -62,12 +62,13 @@ class Test:
 Rule = tuple[Test, ...]
 
 
-def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def statistics(docs: DataFrame, keep: dict[str, str] | None = None) -> DataFrame:
     """doc_id, the counts in ``STATS`` and ``base_failed``, for every whole text.
 
     A null text has no words and fails. Repeated rows are counted each. Columns
-    other than doc_id, text and ``keep`` are left out.
+    other than doc_id, text and ``keep`` (names and types) are left out.
     """
+    keep = keep or {}
 
     def make():
         def work(ids, texts, *rest):
@@ -76,7 +77,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
         return work
 
-    ddl = ", ".join(["doc_id long", STATS, *(f"{c} int" for c in keep)])
+    ddl = ", ".join(["doc_id long", STATS, *(f"{c} {kind}" for c, kind in keep.items())])
     stats = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep), ddl, make)
     return stats.withColumn("base_failed", base_failed())
 
@@ -168,9 +169,12 @@ def _prune(rule: Rule, x, bad, rows) -> Rule:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Learn the list from at most ``rows`` labelled documents that the base rules pass."""
-    sample = labelled.sample(docs, labels, rows)
-    stats = statistics(sample, keep=("y",)).where("not base_failed").dropDuplicates(["doc_id"])
+    """Learn the list from at most ``rows`` labelled documents that the base rules pass.
+
+    The list does not depend on the order of rows. Where no labelled document is
+    left, or none is bad, it is empty.
+    """
+    stats = labelled.one_each(statistics(labelled.sample(docs, labels, rows), {"y": "int", "text_hash": "long"})).where("not base_failed")
     got = stats.select("doc_id", "y", *(F.expr(e).alias(n) for n, e in FEATURES.items())).toPandas().sort_values("doc_id")
     if got.empty:
         return []
@@ -191,14 +195,19 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def apply(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Statistics, ``rule`` (the first that rejects, 0 if none) and ``kept`` for every document."""
+    """Statistics, ``rule`` (the first that rejects, 0 if none) and ``kept`` for every document; see ``statistics`` for nulls and repeats."""
     return statistics(docs).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def filter_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns, in one pass without a join."""
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names, in one pass without a join.
+
+    Null, empty and blank texts have too few words and go; null ids and repeated
+    rows are judged by their own text like any other.
+    """
     names = [f.split()[0] for f in STATS.split(", ")]
-    schema = docs.select("*", *(F.lit(0).cast("long").alias(f"_stat_{n}") for n in names)).schema
+    plain = docs.toDF(*(f"column {k}" for k in range(len(docs.columns))))  # no statistic has such a name
+    schema = plain.select("*", *(F.lit(0).cast("long").alias(n) for n in names)).schema
     at = docs.columns.index("text")
 
     def run(batches):
@@ -207,11 +216,10 @@ def filter_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
         for batch in batches:
             rows = [_counts((t or "").encode()) for t in batch.column(at).to_pylist()]
             counts = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *counts], names=[*batch.schema.names, *(f"_stat_{n}" for n in names)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *counts], names=[*batch.schema.names, *names])
 
-    counted = map_arrow(docs, run, schema)
-    stats = counted.select(F.struct(*docs.columns).alias("_row"), *(F.col(f"_stat_{n}").alias(n) for n in names))
-    return stats.where(~base_failed() & (verdict(rules) == 0)).select("_row.*")
+    counted = map_arrow(plain, run, schema)
+    return counted.where(~base_failed() & (verdict(rules) == 0)).drop(*names).toDF(*docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
