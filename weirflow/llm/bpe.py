@@ -1,8 +1,8 @@
 """Byte-pair encoding in linear time by backtracking over longest matches.
 
-A piece of text is a string of symbols. An Aho-Corasick automaton over the
-vocabulary, run from the end of the piece, gives the tokens that begin at each
-place, longest first. A token may follow another only if the merge rules would not
+A piece of text is a string of symbols. An Aho-Corasick automaton's trie over the
+vocabulary gives the longest token that begins at a place, and a table the next
+shorter one that begins alike. A token may follow another only if the merge rules would not
 have joined symbols across their border, which is decided by unwinding both tokens'
 own merges and is memoised per pair. Encoding goes forward by the longest match; one
 that does not fit what precedes it is given up for the next shorter, and where none
@@ -11,8 +11,8 @@ throughout are the only such sequence for the symbols they cover, and are what t
 merges give; so a place that was once taken back is never tried again, and the time
 is linear.
 
-For byte-level vocabularies the symbols are bytes as Latin-1 characters. For
-vocabularies with word ends the last symbol of a piece is raised by 256.
+The symbols are bytes as Latin-1 characters. A vocabulary with word ends, which is
+packed rather than studied here, is left to its library's model.
 """
 
 from __future__ import annotations
@@ -56,12 +56,11 @@ class Memo(dict):
 class Merges:
     """Exact BPE encoder for one vocabulary.
 
-    ``tokens`` maps each token's symbols to its id; ids grow in merge order.
-    ``pairs`` gives the two parts of each merged token where they are known;
-    otherwise they are found from the vocabulary, in order of rank.
+    ``tokens`` maps each token's symbols to its id; ids grow in merge order. The two
+    parts that a token is merged from are found from the vocabulary, in that order.
     """
 
-    def __init__(self, tokens: dict[str, int], pairs: dict[int, tuple[int, int]] | None = None):
+    def __init__(self, tokens: dict[str, int]):
         size = 1 + max(tokens.values())
         self.length = [0] * size
         self.parts: dict[int, tuple[int, int]] = {}
@@ -70,31 +69,27 @@ class Merges:
         usable = {}
         for symbols, i in sorted(tokens.items(), key=lambda x: x[1]):
             self.length[i] = len(symbols)
-            if len(symbols) == 1:
-                self.parts[i] = (i, i)
-            else:
-                found = None
-                if pairs is not None:
-                    left, right = pairs[i]
-                    if self._compatible(left, right):
-                        found = left, right
-                    self.merged.setdefault((left, right), i)
-                    self.parts[i] = (left, right)
+            if len(symbols) > 1:
+                for cut in range(len(symbols) - 1, 0, -1):
+                    left, right = tokens.get(symbols[:cut], i), tokens.get(symbols[cut:], i)
+                    if left < i and right < i and self._compatible(left, right):
+                        break
                 else:
-                    for cut in range(len(symbols) - 1, 0, -1):
-                        left, right = tokens.get(symbols[:cut], i), tokens.get(symbols[cut:], i)
-                        if left < i and right < i and self._compatible(left, right):
-                            found = left, right
-                            self.merged[found] = i
-                            break
-                    self.parts[i] = found or (i, i)
-                if found is None:
+                    self.parts[i] = (i, i)
                     continue  # the merges never give this token
+                self.parts[i] = left, right
+                self.merged[left, right] = i
+            else:
+                self.parts[i] = (i, i)
             usable[symbols] = i
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for symbols, i in usable.items():
-            self.automaton.add_word(symbols[::-1], i)
+            self.automaton.add_word(symbols, i)
         self.automaton.make_automaton()
+        self.tokens, self.longest = usable, max(map(len, usable))
+        self.shorter = [-1] * size  # the longest token that a token begins with
+        for symbols, i in usable.items():
+            self.shorter[i] = next((usable[symbols[:k]] for k in range(len(symbols) - 1, 0, -1) if symbols[:k] in usable), -1)
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave the border between two tokens alone."""
@@ -126,39 +121,43 @@ class Merges:
 
     def encode(self, symbols: str) -> list[int]:
         """Token ids of one piece, by the longest match that fits and backtracking."""
-        length, memo, judge = self.length, self.fits.get, self._judge
-        n = len(symbols)
-        matches: list[list[int]] = [[] for _ in range(n)]
-        for end, token in self.automaton.iter(symbols[::-1]):
-            matches[n - 1 - end].append(token)
-        out, tried, given_up = [], [], bytearray(n + 1)
-        at = k = 0
+        length, shorter, tokens = self.length, self.shorter, self.tokens
+        memo, judge, deepest, longest = self.fits.get, self._judge, self.automaton.longest_prefix, self.longest
+        n, at, before = len(symbols), 0, -1
+        out: list[int] = []
+        given_up: set[int] = set()
         while at < n:
-            here = matches[at]
-            before = out[-1] << 24 if out else -1
-            while k < len(here):
-                token = here[k]
-                k += 1
-                end = at + length[token]
-                if given_up[end]:
-                    continue
-                if before >= 0:
+            rest = symbols[at : at + longest]
+            k = deepest(rest)
+            token = tokens.get(rest[:k])
+            while token is None:  # the trie goes on below the last token on its path
+                k -= 1
+                token = tokens.get(rest[:k])
+            while True:
+                if token < 0:  # nothing fits: take the last token back and shorten it
+                    given_up.add(at)
+                    token = out.pop()
+                    at -= length[token]
+                    before = out[-1] << 24 if out else -1
+                elif at + length[token] not in given_up:
+                    if before < 0:
+                        break
                     good = memo(before | token)
                     if good is None:
                         good = judge(before | token)
-                    if not good:
-                        continue
-                out.append(token)
-                tried.append(k)
-                at, k = end, 0
-                break
-            else:  # nothing fits: take the last token back and shorten it
-                given_up[at] = 1
-                at -= length[out.pop()]
-                k = tried.pop()
+                    if good:
+                        break
+                token = shorter[token]
+            out.append(token)
+            at += length[token]
+            before = token << 24
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ByteBpe:
     """Byte-level BPE from a rank file: text to ids and back."""
 
@@ -177,8 +176,7 @@ class ByteBpe:
     def _piece(self, piece: str) -> bytes:
         symbols = piece.encode().decode("latin-1")
         whole = self.ranks.get(symbols)
-        ids = self.merges.encode(symbols) if whole is None else (whole,)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed(self.merges.encode(symbols) if whole is None else [whole])
 
     def _chunk(self, chunk: str) -> bytes:
         word = chunk[1:]
@@ -204,63 +202,46 @@ class ByteBpe:
         return b"".join(map(self.bytes.__getitem__, memoryview(ids).cast("I")))
 
 
-def _byte_characters() -> dict[str, int]:
+def _byte_characters() -> dict[int, str]:
     """The usual printable stand-ins for bytes in vocabulary files: itself if printable, else moved above 255."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out = {chr(b): b for b in plain}
-    for n, b in enumerate(b for b in range(256) if b not in set(plain)):
-        out[chr(256 + n)] = b
-    return out
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
 
 
 class WordBpe:
-    """BPE with word ends, lower case and dropped white space: text to ids.
+    """BPE with word ends, lower case and dropped white space: text to ids, as the library gives them.
 
     White space never lies inside a token, so each run of other characters is
-    encoded by itself and memoised. Runs outside plain Latin letters, where
-    normalisation may depend on more, go through the library itself. The strings of
-    special tokens are found first, before anything is normalised.
+    encoded by itself and memoised: plain ones are cut into pieces here and go to the
+    library's model; runs outside plain Latin letters, where normalisation may depend
+    on more, go through the whole library. The strings of special tokens are found
+    first, before anything is normalised.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        model, self.special = file["model"], {t["content"]: struct.pack("<I", t["id"]) for t in file["added_tokens"]}
+            added = json.load(f)["added_tokens"]
+        self.special = {t["content"]: struct.pack("<I", t["id"]) for t in added}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        vocabulary, plain = model["vocab"], _byte_characters()
-
-        def symbols(token: str) -> str:
-            end = token.endswith("</w>")
-            chars = [plain[c] for c in (token[:-4] if end else token)]
-            return "".join(map(chr, chars[:-1])) + chr(chars[-1] + 256 * end)
-
-        pairs = {}
-        for merge in model["merges"]:
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            pairs[vocabulary[a + b]] = vocabulary[a], vocabulary[b]
-        known = {i for pair in pairs.items() for i in (pair[0], *pair[1])}
-        tokens = {symbols(t): i for t, i in vocabulary.items() if i in known or i < 512}
-        self.merges = Merges(tokens, pairs)
         self.library = Tokenizer.from_file(path)
+        self.tokens, self.stand_ins = self.library.model.tokenize, _byte_characters()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.odd = regex.compile(r"[^\x09-\x0d\x20-\x7e\xa1-ɏ]").search
-        self.pieces = Memo(self._piece)
-        self.chunks = Memo(self._chunk)
+        self.pieces = Memo(self._piece, MEMO_ENTRIES // 3)
+        self.chunks = Memo(self._chunk, 2 * MEMO_ENTRIES)
 
     def _piece(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = self.merges.encode(raw[:-1].decode("latin-1") + chr(raw[-1] + 256))
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed([t.id for t in self.tokens(piece.encode().decode("latin-1").translate(self.stand_ins))])
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii():
             if chunk.isalpha():
-                return self.pieces[chunk.lower()]
+                return _packed([t.id for t in self.tokens(chunk.lower())])
             if chunk[:-1].isalpha() and chunk[-1] in ".,":
-                return self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
+                return _packed([t.id for t in self.tokens(chunk[:-1].lower())]) + self.pieces[chunk[-1]]
         if self.odd(chunk):
-            ids = self.library.encode(chunk, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return _packed(self.library.encode(chunk, add_special_tokens=False).ids)
         return b"".join(map(self.pieces.__getitem__, self.split(chunk.lower())))
 
     def encode(self, text: str) -> bytes:
