@@ -105,39 +105,69 @@ def test_halving_fold_is_not_a_mean(spark):
     assert abs({r.k: r.folded for r in linear.collect()}["a"] - ema) < 1e-12
 
 
-def test_job_metrics_smooth_whole_groups(spark):
-    values = [(k, i, i % 7, float(i * 37 % 101), i * 13 % 17 / 16) for k in ("a", "b", None) for i in range(90 if k == "a" else 5)]
-    df = frame(spark, values, "k string, seq long, records long, latency_ms double, backpressure double").repartition(5)
-    out = aggregates.job_metrics(df, ["k"], ["seq"], F.expr("seq div 8"))
-    rows = {r.k: r for r in out.collect()}
-    assert set(rows) == {"a", "b", None}
-    for k, r in rows.items():
-        mine = [v for v in values if v[0] == k]
-        ema = 0.0
-        for v in mine:
-            ema = 0.3 * v[3] + 0.7 * ema
-        assert r.smoothed_latency_ms == pytest.approx(ema) and r.mean_latency_ms == pytest.approx(sum(v[3] for v in mine) / len(mine))
-        assert r.records == sum(v[2] for v in mine) and r.max_backpressure == max(v[4] for v in mine)
+def test_job_metrics_over_tasks(spark):
+    """Mean over tasks of each task's smoothed latency; the largest of the tasks' last back-pressures, not the largest ever."""
+    values = [(k, i % 3, i, i % 7, float(i * 37 % 101) / 8, i * 13 % 17 / 16) for k in ("a", "b", None) for i in range(90 if k == "a" else 5)]
+    df = frame(spark, values, "k string, task int, seq long, records long, latency_ms double, backpressure double").repartition(5)
+    for block in (F.expr("seq div 8"), None):
+        out = aggregates.job_metrics(df, ["k"], "task", ["seq"], block)
+        rows = {r.k: r for r in out.collect()}
+        assert set(rows) == {"a", "b", None}
+        for k, r in rows.items():
+            emas, last = {}, {}
+            for v in values:
+                if v[0] == k:
+                    emas[v[1]] = 0.3 * v[4] + 0.7 * emas.get(v[1], 0.0)
+                    last[v[1]] = v[5]
+            assert r.mean_latency_ms == pytest.approx(sum(emas.values()) / len(emas)) and r.max_backpressure == max(last.values())
+            assert r.records == sum(v[3] for v in values if v[0] == k) and r.tasks == 3
     assert "collect_list" not in out._jdf.queryExecution().toString()
-
-
-def test_job_metrics_query_calls_the_operator(spark, monkeypatch):
-    from oracle import SMALL
-
-    from weirflow.plans.catalogue import QUERIES
-
-    made = []
-    whole = aggregates.job_metrics
-    monkeypatch.setattr(aggregates, "job_metrics", lambda *a: made.append(whole(*a)) or made[-1])
-    QUERIES["job_metrics"](spark, SMALL)
-    events = spark.read.parquet(f"{SMALL}/events.parquet").orderBy("ts", "event_id").collect()
-    (out,) = made
-    for r in out.collect():
-        ema = 0.0
-        for e in events:
-            if e.event_type == r.event_type:
-                ema = 0.3 * e.value + 0.7 * ema
-        assert r.smoothed_latency_ms == pytest.approx(ema)
+    assert max(v[5] for v in values if v[0] == "b") > rows["b"].max_backpressure
+
+
+def test_waits_are_not_rounded(spark):
+    values = [("a", n, 0.004 if n % 3 else 1.001) for n in range(400)] + [("b", n, 10.0**17 + n) for n in range(3)]
+    df = frame(spark, values, "k string, seq int, wait double")
+    whole = aggregates.backpressure(df, ["k"], ["seq"], "wait", samples=10, block=None)
+    rows = {(r.k, r.seq): r for r in whole.collect()}
+    assert rows["a", 1].mean_wait == pytest.approx((1.001 + 0.004) / 2) and rows["a", 1].backpressure_ratio == 0.5 and rows["b", 2].mean_wait == pytest.approx(1e17)
+    for slice_rows in (10, 17, 1000):
+        sliced = aggregates.backpressure(df, ["k"], ["seq"], "wait", samples=10, block=F.expr("seq div 50"), slice_rows=slice_rows)
+        got_rows = {(r.k, r.seq): r for r in sliced.collect()}
+        assert len(got_rows) == 403 and all(got_rows[k].mean_wait == pytest.approx(r.mean_wait) and got_rows[k].backpressure_ratio == r.backpressure_ratio for k, r in rows.items())
+
+
+def test_amounts_are_not_rounded(spark):
+    df = frame(spark, [(1, "0.001"), (2, "0.002"), (3, "x"), (4, "123456789012345678")], "id int, v string")
+    sums = lambda **how: [r.result for r in aggregates.grouped_running(df, None, "sum", "v", ["id"], **how).orderBy("id").collect()]
+    assert sums() == pytest.approx([0.001, 0.003, 0.003, 123456789012345678.0])
+    assert sums(scale=3)[:3] == [0.001, 0.003, 0.003] and sums(scale=3)[3] == pytest.approx(123456789012345678.0)
+    assert [r.result for r in aggregates.grouped_running(df, "none such", "avg", "v", ["id"]).orderBy("id").limit(2).collect()] == [0.001, 0.0015]
+
+
+@pytest.mark.parametrize("kind", ["int", "timestamp_ntz", "double", "string"])
+def test_blocks_are_chosen(spark, kind, monkeypatch):
+    """With one key holding nine tenths of the rows, blocks keep every task's share small."""
+    monkeypatch.setattr(aggregates, "BLOCK_ROWS", 100)
+    value = {"int": "cast(id as int)", "timestamp_ntz": "cast(timestamp_seconds(id) as timestamp_ntz)", "double": "id / 3", "string": "lpad(id, 9, '0')"}[kind]
+    df = spark.range(3000).selectExpr(f"{value} as at", "if(id % 10 > 0, 'hot', 'cold') as k", "cast(id % 5 as int) as v", "1 as _block", "2 as _in_r_sum", "3 as _k_k")
+    out = aggregates.running(df, ["k"], ["at"], {"r": ("sum", F.col("v"))})
+    whole = aggregates.running(df, ["k"], ["at"], {"r": ("sum", F.col("v"))}, None)
+    assert out.columns == whole.columns and out.exceptAll(whole).count() == 0 and out.count() == 3000
+    block = aggregates.blocks(df, "at")
+    if kind == "string":
+        assert block is None
+    else:
+        largest = df.groupBy("k", block.alias("b")).count().agg(F.max("count")).first()[0]
+        assert largest <= 110
+    assert aggregates.blocks(df.limit(50), "at") is None and aggregates.blocks(df.limit(0), "at") is None
+
+
+def test_tables_of_totals(spark):
+    df = frame(spark, [(1, at(0), 5.0), (2, at(3), 50.0), (1, at(9), 500.0)], "k int, ts timestamp_ntz, v double")
+    assert tuple(aggregates.statistics(df, F.col("v") > 20).first()) == (3, 2, 1, 200 / 3, 9000)
+    assert got(aggregates.histogram(df, "v", [10, 50]), "bucket", "n") == [(0, 1), (1, 1), (2, 1)]
+    assert got(rows.latest_per_key(df, ["k"], ["ts"], last="v"), "k", "last") == [(1, 500.0), (2, 50.0)]
 
 
 @pytest.mark.parametrize("function", aggregates.FUNCTIONS)
@@ -177,8 +207,27 @@ def test_state_on_batches(spark):
 
     out = state.keyed_process(df, ["key"], ["seq"], step, "key string, seq bigint, total bigint")
     assert sorted((r.seq, r.total) for r in out.collect()) == [(1, 2), (2, 10), (4, 3), (5, 5)]
-    first = state.deduplicate(frame(spark, [(1, 2), (1, 1), (2, 3)], "k int, seq int"), ["k"], ["seq"])
-    assert got(first, "k", "seq") == [(1, 1), (2, 3)]
+    failed = rows.counter(spark)
+    out = state.keyed_process(df, ["key"], ["seq"], step, "key string, seq bigint, total bigint", lambda key, total: [(key, -1, total)], failed)
+    assert sorted((r.key or "", r.total) for r in out.where("seq < 0").collect()) == [("", 5), ("a", 3), ("b", 10)] and failed.value == 1
+    first = state.deduplicate(frame(spark, [(1, 2, 7), (1, 1, 8), (2, 3, 9)], "k int, seq int, _n int"), ["k"], ["seq"])
+    assert got(first, "k", "seq", "_n") == [(1, 1, 8), (2, 3, 9)]
+
+
+def test_python_folds(spark):
+    df = frame(spark, [("a", 1, 5), ("b", 2, 1), ("a", 3, 2), (None, 5, 2)], "key string, seq int, v int")
+    out = state.fold(df, ["key"], ["seq"], "v", lambda a, b: a - b, "bigint")
+    assert {r.key: r.value for r in out.collect()} == {"a": 3, "b": 1, None: 2}
+    out = state.fold(df, ["key"], ["seq"], "v", lambda a, v: [*a, v], "string", [], lambda a: "-".join(map(str, a)))
+    assert {r.key: r.value for r in out.collect()} == {"a": "5-2", "b": "1", None: "2"}
+    assert state.fold(df, [], ["seq"], "v", lambda a, b: a * 10 + b, "bigint").first().value == 5122
+
+
+def test_helper_columns_do_not_clash(spark):
+    df = frame(spark, [(1, 4), (2, 0)], "_try int, value int")
+    assert got(rows.map_rows(df, lambda v: 8 // v, returns="int"), "_try", "value") == [(1, 2)]
+    assert got(rows.filter_rows(df, lambda v: v > 0), "_try") == [(1,)]
+    assert got(rows.flat_map(df, lambda v: range(v - 2), returns="int"), "_try", "value") == [(1, 0), (1, 1)]
 
 
 def test_states_in_blocks_equal_one_group(spark):
@@ -199,6 +248,8 @@ def test_lookup_checks_the_size(spark):
     df, small = frame(spark, [(1,), (2,)], "k int"), frame(spark, [(1, "x")], "k int, name string")
     for most in (5, 0):
         assert sorted(((r.k, r.name) for r in joins.lookup(df, small, ["k"], max_rows=most).collect())) == [(1, "x"), (2, None)]
+    hinted = lambda **how: "broadcast" in joins.lookup(df, small, ["k"], **how)._jdf.queryExecution().analyzed().toString()
+    assert hinted() and not hinted(max_rows=0) and not hinted(max_bytes=5)
 
 
 def test_watermarks_as_data(spark):
@@ -209,6 +260,17 @@ def test_watermarks_as_data(spark):
     assert times.WatermarkStrategy.no_watermarks().delay_ms is None
 
 
+def test_generated_watermarks(spark):
+    class Even(times.WatermarkGenerator):
+        def on_event(self, ms):
+            return ms if ms // 1000 % 2 == 0 else None
+
+    df = frame(spark, [("a", n, at(s)) for n, s in enumerate([3, 10, 7, 4, 12])] + [("b", 9, at(5))], "k string, seq int, ts timestamp_ntz")
+    marks = lambda **how: [r.watermark_ms for r in times.generated(df, ["seq"], keys=["k"], **how).orderBy("k", "seq").collect()]
+    assert marks(generator=Even) == [None, 10_000, 10_000, 10_000, 12_000, None]
+    assert marks(generator=times.BoundedOutOfOrderness, every=2) == [None, 5000, 5000, 5000, 5000, None]
+
+
 def test_numbers(spark):
     texts = ["1.5", " 12 ", "1_000", "nan", "inf", "abc", "", "1e3", "0x10", "1.5f", "2d", None]
     df = frame(spark, [(t,) for t in texts], "t string").select(x.number("t").alias("n"))
@@ -234,9 +296,16 @@ def test_data_files(spark):
     assert odd == {"1": ("NORMAL", True), "2": (None, False), "3": ("ANOMALY", True)}
     run = {r.result for r in datafiles.process(df, "aggregate", order=["id"], function="avg", value="v").collect()}
     assert run == {5.0, 2.5, 8.33}
+    counted = datafiles.process(df, "aggregate", order=["id"], function="median", value="v", strict=False)
+    assert {(r.function, r.result, r.record.id) for r in counted.collect()} == {("median", 1.0, "1"), ("median", 2.0, "2"), ("median", 3.0, "3")}
     assert datafiles.process(df, "unknown").first().operation == "passthrough"
 
 
+def test_words_between_any_white_space(spark):
+    df = frame(spark, [("a\u00a0b\u3000c\x1cd\x85e  f\t\n g",), ("",), ("  ",)], "t string")
+    assert [r.w for r in df.select(x.words("t").alias("w")).collect()] == [v.t.split() for v in df.collect()]
+
+
 def test_codecs(spark):
     df = frame(spark, [("k", "v"), ("", None)], "k string, v string")
     codec = codecs.STRING

@@ -6,10 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Runs of white space as Python's ``str.split`` knows it: Unicode's, and the four separators below the blank.
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
+
+
 def words(text: Column | str) -> Column:
-    """Words between runs of white space; no empty ones."""
+    """Words between runs of white space (any that Unicode knows); no empty ones."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, BLANKS), lambda w: w != "")
+
+
+def free(name: str, *taken: str) -> str:
+    """``name``, or it with as many underscores before as no column has."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name = "_" + name
+    return name
 
 
 def number(value: Column | str) -> Column:
@@ -71,6 +83,10 @@ def clock_text() -> Column:
 
 # -- rules -------------------------------------------------------------------
 
+#: Bounds beyond which sensors and weather are anomalous.
+SENSOR_LOW, SENSOR_HIGH = 15, 30
+STRICT_LOW, STRICT_HIGH, HUMIDITY_LOW, HUMIDITY_HIGH, ERROR_VALUE = 10, 35, 20, 80, -999.9
+WEATHER_LOW, WEATHER_HIGH, WIND_HIGH, STORM_CODE = 0, 35, 50, 95
 #: Labels of weather codes.
 WEATHER = {
     0: "Clear", 1: "Mainly Clear", 2: "Partly Cloudy", 3: "Overcast", 45: "Foggy", 48: "Rime Fog",
@@ -81,17 +97,17 @@ WEATHER = {
 
 def sensor_anomaly(temperature: Column, flag: Column | None = None) -> Column:
     """Flagged by the sensor, or outside 15 to 30 degrees."""
-    rule = (temperature > 30) | (temperature < 15)
+    rule = (temperature > SENSOR_HIGH) | (temperature < SENSOR_LOW)
     return rule if flag is None else F.coalesce(flag, F.lit(False)) | rule
 
 
 def strict_sensor_anomaly(temperature: Column, humidity: Column) -> Column:
     """Temperature outside 10 to 35, humidity outside 20 to 80, or the error value -999.9."""
-    return (temperature < 10) | (temperature > 35) | (humidity < 20) | (humidity > 80) | (temperature == -999.9)
+    return (temperature < STRICT_LOW) | (temperature > STRICT_HIGH) | (humidity < HUMIDITY_LOW) | (humidity > HUMIDITY_HIGH) | (temperature == ERROR_VALUE)
 
 
 def weather_anomaly(temperature: Column, wind: Column, code: Column) -> Column:
-    return (temperature > 35) | (temperature < 0) | (wind > 50) | (code >= 95)
+    return (temperature > WEATHER_HIGH) | (temperature < WEATHER_LOW) | (wind > WIND_HIGH) | (code >= STORM_CODE)
 
 
 def weather_label(code: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow.functions.expressions import now_iso, number
-from weirflow.operators.aggregates import grouped_running
+from weirflow.operators.aggregates import AUTO, grouped_running
 
 OPERATORS = ("equals", "contains", "greater_than", "less_than")
 OPERATIONS = ("filter", "transform", "aggregate", "anomaly", "passthrough")
@@ -56,10 +56,15 @@ def transformed(df: DataFrame, source: str) -> DataFrame:
     return rows.select(F.lit("transform").alias("operation"), F.struct("*").alias("result"))
 
 
-def aggregated(df: DataFrame, group: str | None, function: str, value: str | None, order: list[str]) -> DataFrame:
-    """The running aggregate after each row, rounded to two digits for avg and sum."""
-    rows = grouped_running(df, group, function, value, order)
-    return rows.select(F.lit("aggregate").alias("operation"), "group", F.lit(function).alias("function"), F.bround("result", 2).alias("result"))
+def aggregated(df: DataFrame, group: str | None, function: str, value: str | None, order: list[str], block: Column | str | None = AUTO, scale: int | None = None, strict: bool = True) -> DataFrame:
+    """The running aggregate after each row, rounded to two digits, halves to even.
+
+    An unknown function is an error, or counts if not ``strict``. For ``block`` and
+    ``scale`` see ``grouped_running``. ``record`` is the row.
+    """
+    known = function if strict or function in ("count", "sum", "avg") else "count"
+    rows = grouped_running(df.select("*", _record(df)), group, known, value, order, block, scale)
+    return rows.select(F.lit("aggregate").alias("operation"), "group", F.lit(function).alias("function"), F.bround("result", 2).alias("result"), "record")
 
 
 def anomalies(df: DataFrame, column: str, threshold: str = "100") -> DataFrame:
@@ -90,7 +95,8 @@ def process(df: DataFrame, operation: str, source: str = "", order: list[str] |
     if operation == "transform":
         return transformed(df, source)
     if operation == "aggregate":
-        return aggregated(df, options.get("group"), options.get("function", "count"), options.get("value"), order or [df.columns[0]])
+        more = {k: options[k] for k in ("block", "scale") if k in options}
+        return aggregated(df, options.get("group"), options.get("function", "count"), options.get("value"), order or [df.columns[0]], strict=options.get("strict", True), **more)
     if operation == "anomaly":
         return anomalies(df, options["column"], options.get("threshold", "100"))
     return passed(df)

@@ -43,7 +43,9 @@ def attribution(clicks: DataFrame, impressions: DataFrame, key: str = "ad_id", b
     )
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", max_rows: int = 100_000) -> DataFrame:
-    """Join a table by key; it is sent to all tasks only if it has at most ``max_rows`` rows, and shuffled otherwise."""
-    small = table.limit(max_rows + 1).count() <= max_rows
+def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left", max_rows: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Join a table by key; it is sent to all tasks only if it has at most ``max_rows`` rows and, written as JSON, ``max_bytes`` bytes, and shuffled otherwise."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, measured = table.limit(max_rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    small = rows <= max_rows and measured <= max_bytes
     return df.join(F.broadcast(table) if small else table, keys, how)
