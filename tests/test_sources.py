@@ -60,14 +60,84 @@ def test_console_shows_every_row(spark, folder):
 
 def test_generators_hold_their_promises(spark):
     s = generators.sensors(spark, 2000, anomaly_rate=0.1)
-    assert s.select("sensor_id").distinct().count() == 20
+    assert s.groupBy("sensor_id").agg(F.countDistinct("device_type").alias("kinds"), F.countDistinct("location").alias("places")).where("kinds = 1 and places = 1").count() == 20
     assert 100 < s.where("is_anomaly").count() < 300
     assert s.where("not is_anomaly and (temperature < 15 or temperature > 30)").count() == 0
-    shop = generators.shop(spark, 3000)
-    assert shop.where("(event_type = 'purchase') <> (total_value is not null)").count() == 0 and shop.where("cart_size < 0").count() == 0
-    ticks = generators.market(spark, 800)
+    assert s.where("is_anomaly and not (temperature between 40 and 60 and humidity between 10 and 30 or temperature between -10 and 5 and humidity between 80 and 95 or temperature = -999.9 and humidity = -999.9)").count() == 0
+    assert s.exceptAll(generators.sensors(spark, 2000, anomaly_rate=0.1).repartition(3)).count() == 0
+    low = generators.market(spark, 8000, symbols=["TSLA"], seed=1)
+    assert low.where("price < 1").count() == 0
+    ticks = generators.market(spark, 8000)
     assert ticks.where("daily_low > price or daily_high < price or bid > ask").count() == 0
     assert ticks.groupBy("symbol").agg(F.max("daily_volume") == F.sum("volume")).count() == 8
+    assert ticks.where("volume > 1000").count() > 500 and ticks.where("volume > 10000 or volume < 100").count() == 0
+
+
+def test_a_walk_with_a_floor_equals_one_step_at_a_time(spark, monkeypatch):
+    monkeypatch.setitem(generators.SYMBOLS, "LOW", (1.5, 0.05, -0.02))
+    rows = generators.market(spark, 600, symbols=["LOW"], seed=9).orderBy("timestamp").collect()
+    steps = spark.range(600).select("id", generators.gauss("step", F.col("id"), 9).alias("z")).orderBy("id").collect()
+    price, high, low, at_floor = 1.5, 1.5, 1.5, 0
+    for row, step in zip(rows, steps):
+        price = max(1.0, price - 0.02 * price + 0.05 * price * step.z)
+        high, low, at_floor = max(high, price), min(low, price), at_floor + (price == 1.0)
+        assert abs(row.price - price) <= 0.0051 and abs(row.daily_high - high) <= 0.0051 and abs(row.daily_low - low) <= 0.0051
+    assert at_floor > 20
+
+
+def test_shoppers_equal_a_simulation(spark):
+    rows = generators.shop(spark, 3000, users=7).orderBy("timestamp", "event_id").collect()
+    carts = {}
+    kinds = set()
+    price = {f"prod_{k}": p for k, (_, p, _) in enumerate(generators.PRODUCTS, 1)}
+    for r in rows:
+        cart = carts.setdefault(r.user_id, set())
+        if r.event_type == "add_to_cart":
+            cart.add(r.product_id)
+        elif r.event_type == "remove_from_cart":
+            cart.remove(r.product_id)
+        elif r.event_type == "purchase":
+            assert cart and r.total_value == round(sum(price[p] for p in cart), 2) and r.quantity == len(cart)
+            cart.clear()
+        assert r.cart_size == len(cart) and (r.total_value is None) == (r.event_type != "purchase") and price[r.product_id] == r.price
+        kinds.add(r.event_type)
+    assert kinds == set(generators.SHOP_EVENTS) and len(rows) == 3000
+
+
+def test_upsert_keeps_the_newest_row(spark, folder):
+    path = f"{folder}/table"
+    frame = lambda rows: spark.createDataFrame(rows, "id int, at int, status string")
+    sinks.upsert(frame([(1, 1, "a"), (2, 1, "b")]), path, ["id"], ["at"])
+    out = sinks.upsert(frame([(1, 2, "c"), (2, 0, "old"), (3, 1, "d")]), path, ["id"], ["at"])
+    assert sorted(map(tuple, out.collect())) == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")] and sinks.current_version(spark, path) == 1
+
+
+def test_first_rows_of_a_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n\n" + "\n".join(str(k) for k in range(500)) + "\n")
+    assert [r.n for r in readers.csv_file(spark, str(tmp_path / "a.csv"), limit=3).collect()] == ["0", "1", "2"]
+    (tmp_path / "a.json").write_text("[" + ",".join(f'{{"n": {k}}}' for k in range(50)) + "]")
+    assert [r.n for r in readers.json_file(spark, str(tmp_path / "a.json"), limit=2).collect()] == [0, 1]
+
+
+def test_a_shared_folder_is_asked_for_on_clusters(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from weirflow import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    unset = SimpleNamespace(sparkContext=Context(), conf={})
+    with pytest.raises(RuntimeError):
+        session.shared_dir(unset)
 
 
 def test_settings():

@@ -104,57 +104,129 @@ def test_collection_stream(spark):
     assert [r.value for r in drain(df.select("seq", "value"), "collected").orderBy("seq").collect()] == ["x", "y", "z"]
 
 
-class Cell:
-    def __init__(self):
-        self.held = None
+def test_state_kinds():
+    with pytest.raises(ValueError):
+        processors.Descriptor("x", "set")
 
-    def exists(self):
-        return self.held is not None
 
-    def get(self):
-        return self.held
+def test_states_of_several_kinds_in_a_real_store(spark, folder):
+    """Values, lists, maps, reducing and aggregating state over two micro-batches, with a row that fails."""
+    path = f"{folder}/in"
+    write(spark, path, 0, [("a", 1, 3), ("b", 2, 9), ("a", 3, 4)])
+    write(spark, path, 1, [("a", 4, 2), ("a", 5, -1), ("b", 6, 1)])
+    d = processors.Descriptor
+    kinds = (
+        d("n", schema="n bigint"), d("all", "list", schema="v int"), d("seen", "map", schema="n int", key_schema="v int"),
+        d("top", "reducing").with_reduce_function(max), d("mean", "aggregating").with_aggregator(lambda s, v: (s[0] + v, s[1] + 1), lambda s: s[0] / max(s[1], 1), (0, 0)),
+    )
+
+    def step(key, row, states):
+        if row["v"] < 0:
+            raise ValueError
+        n = (states["n"].get()[0] if states["n"].exists() else 0) + 1
+        states["n"].update((n,))
+        states["all"].appendValue((row["v"],))
+        states["seen"].updateValue((row["v"],), (1,))
+        empty = states["top"].get() is None
+        states["top"].add(row["v"])
+        states["mean"].add(row["v"])
+        if n == 3:
+            states["top"].clear()
+        return [(key, n, len(list(states["all"].get())), len(list(states["seen"].keys())), empty, states["top"].get(), states["mean"].get())], None
+
+    failed = spark.sparkContext.accumulator(0)
+    schema = "k string, n bigint, held bigint, seen bigint, empty boolean, top bigint, mean double"
+    out = drain(processors.keyed_process(stream(spark, path), ["k"], ["ts"], step, schema, descriptors=kinds, failed=failed), "kinds", "update")
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[:2]) == [
+        ("a", 1, 1, 1, True, 3, 3.0), ("a", 2, 2, 2, False, 4, 3.5), ("a", 3, 3, 3, False, None, 3.0), ("b", 1, 1, 1, True, 9, 9.0), ("b", 2, 2, 2, False, 9, 5.0)
+    ]
+    assert failed.value == 1
+
+
+def test_rows_can_be_taken_as_they_come(spark, folder):
+    """Without an order no key's micro-batch is held; what does not depend on order is the same."""
+    path = f"{folder}/in"
+    write(spark, path, 0, [("a", s, 1) for s in range(500)])
+    count = lambda key, row, n: ([(key, (n or 0) + 1)] if ((n or 0) + 1) % 100 == 0 else [], (n or 0) + 1)
+    out = drain(processors.keyed_process(stream(spark, path), ["k"], None, count, "k string, n bigint"), "unordered", "update")
+    assert sorted(r.n for r in out.collect()) == [100, 200, 300, 400, 500]
+    total = drain(processors.running(stream(spark, path), "k", None, "v", "sum", "k string, ts timestamp, v int, result double"), "unordered_sum", "update")
+    assert sorted(r.result for r in total.collect()) == [float(n) for n in range(1, 501)]
 
-    def update(self, value):
-        self.held = value
 
-    def clear(self):
-        self.held = None
+def test_topics_restart_and_repeat(spark, folder):
+    """Offsets are kept in the checkpoint; a batch that is written again counts once."""
+    from weirflow.sources import topics
 
+    provider, servers = topics.register(spark), f"{folder}/bus"
+    send = lambda *v: sinks.to_kafka(spark.createDataFrame([("k", x) for x in v], "key string, value int"), "in", servers, provider=provider)
 
-class Handle:
-    def __init__(self):
-        self.made = []
+    def copy():
+        df = readers.kafka(spark, "in", servers, provider=provider, group_prefix="g")
+        body = df.select(F.col("key").cast("string").alias("key"), F.get_json_object(F.col("value").cast("string"), "$.value").cast("int").alias("value"), "headers")
+        query = sinks.to_kafka(body, "out", servers, f"{folder}/state", provider, availableNow=True)
+        query.awaitTermination()
+        assert query.exception() is None
+
+    def there():
+        df = readers.kafka(spark, "out", servers, stream=False, provider=provider)
+        return sorted(int(bytes(r.value).split(b":")[1].rstrip(b"}")) for r in df.collect())
+
+    assert readers.kafka(spark, "none", servers, stream=False, provider=provider).count() == 0
+    send(1, 2)
+    send(3)
+    copy()
+    assert there() == [1, 2, 3]
+    send(4)
+    copy()
+    copy()
+    assert there() == [1, 2, 3, 4]
+    topic = topics.Topic({"topic": "out", "kafka.bootstrap.servers": servers})
+    first = topic.entries()[0].rsplit("/", 1)[1][13:-5]
+    topic.commit(["/nowhere"], first)
+    assert there() == [1, 2, 3, 4]
+
+
+def test_recovery_of_a_failed_job(spark, folder):
+    path = f"{folder}/in"
+    write(spark, path, 0, [("a", 1, 1)])
+    write(spark, path, 1, [("b", 2, 0)])
+    jobs = Jobs(spark, f"{folder}/jobs")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    job = jobs.submit("divide", stream(spark, path).selectExpr("k", "4 div v as q"), "parquet", path=f"{folder}/out")
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|terminated"):
+        job.query.awaitTermination()
+    assert job.status == "FAILED" and jobs.histogram()["FAILED"] == 1 and jobs.checkpoints_of("divide") == [0]
+    again = jobs.recover("divide", stream(spark, path).selectExpr("k", "try_divide(4, v) as q").selectExpr("k", "cast(q as bigint) as q"), sink="parquet", path=f"{folder}/out")
+    again.query.awaitTermination()
+    assert again.status == "FINISHED" and jobs.checkpoints_of("divide")[0] >= 1
+    assert sorted((r.k, r.q) for r in spark.read.parquet(f"{folder}/out").collect()) == [("a", 4), ("b", None)]
 
-    def getValueState(self, name, schema, ttl=None):
-        self.made.append(("value", name, ttl))
-        return Cell()
 
-    def getListState(self, name, schema, ttl=None):
-        self.made.append(("list", name, ttl))
+def test_meter():
+    from weirflow.streaming.jobs import CHECKPOINT_BOUNDS, LATENCY_BOUNDS, Meter
 
-    def getMapState(self, name, key, schema, ttl=None):
-        self.made.append(("map", name, ttl))
+    meter = Meter()
+    spent = [(3, 200), (700, 50), (9000, 70_000)]
+    for n, (batch, commit) in enumerate(spent):
+        meter.tell({
+            "name": "q", "numInputRows": 10, "durationMs": {"triggerExecution": batch, "walCommit": commit}, "stateOperators": [{"numRowsTotal": 1, "memoryUsedBytes": 100 * n, "numRowsDroppedByWatermark": 2}],
+            "eventTime": {"max": "2024-01-01T00:00:09.500Z", "watermark": "2024-01-01T00:00:04.000Z"} if n == 1 else {},
+        })
+    assert (meter.records, meter.batches) == (30, 3) and meter.smoothed_ms == pytest.approx(0.1 * 9000 + 0.9 * (0.1 * 700 + 0.9 * 0.1 * 3))
+    assert sum(meter.latencies) == sum(meter.checkpoints) == 3 and meter.latencies[1] == meter.latencies[8] == meter.latencies[len(LATENCY_BOUNDS)] == 1
+    assert meter.checkpoints[1] == meter.checkpoints[0] == meter.checkpoints[len(CHECKPOINT_BOUNDS)] == 1
+    assert meter.watermark_lag_ms == {"q": 5500} and meter.state_bytes == {"q": 200} and meter.late_rows == {"q": 6}
 
 
-def test_state_kinds():
-    handle = Handle()
-    top = processors.Descriptor("top", "reducing").with_reduce_function(max).create(handle)
-    assert top.get() is None
-    for v in (3, 9, 4):
-        top.add(v)
-    assert top.get() == 9
-    top.clear()
-    assert top.get() is None
-    mean = processors.Descriptor("mean", "aggregating").with_aggregator(lambda a, v: (a[0] + v, a[1] + 1), lambda a: a[0] / max(a[1], 1), (0, 0)).create(handle)
-    assert mean.get() == 0
-    mean.add(4)
-    mean.add(8)
-    assert mean.get() == 6
-    processors.Descriptor("l", "list", 5).create(handle)
-    processors.Descriptor("m", "map").create(handle)
-    assert [(k, n) for k, n, _ in handle.made] == [("value", "top"), ("value", "mean"), ("list", "l"), ("map", "m")]
-    with pytest.raises(ValueError):
-        processors.Descriptor("x", "set")
+def test_expired_keys_leave_the_store(spark, folder):
+    path = f"{folder}/in"
+    for n in range(5):
+        write(spark, path, n, [(f"k{n}{i}", 100 * n, 1) for i in range(20)])
+    query = processors.deduplicate(stream(spark, path), ["k"], 5000).writeStream.format("memory").queryName("expiry").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [progress_metrics(p)["state_rows"] for p in query.recentProgress]
+    assert spark.table("expiry").count() == 100 and max(held) <= 40
 
 
 def test_fluent_job(spark):
@@ -189,6 +261,11 @@ def test_fluent_keyed_operators(spark):
     assert keyed.distinct([]).df.count() == 1
     assert keyed.union(env.add_source(df)).df.count() == 6
     assert keyed.rebalance().transform(lambda d: d.limit(1)).df.count() == 1
+    assert sorted(r.value for r in keyed.reduce(lambda a, b: a + b, returns="double").df.collect()) == [4.0, 9.0]
+    assert keyed.fold(1.0, lambda a, v: a * v, lambda a: -a, "double").df.first().value == -27.0
+    joined = keyed.join(keyed, 1000, lambda a, b: a["value"] - b["value"] if a["value"] < 9 else 1 / 0, "double").df
+    assert sorted(r.value for r in joined.collect()) == [-2.0, 0.0, 0.0, 2.0]
+    assert sum(env.failures().values()) == 1
     made = keyed.process(lambda k, row, s: ([(k, (s or 0) + 1)], (s or 0) + 1), "key string, n bigint").df
     assert sorted(r.n for r in made.collect()) == [1, 2, 3]
 
@@ -219,3 +296,50 @@ def test_one_read_feeds_several_sinks(spark, folder):
     query.processAllAvailable()
     query.stop()
     assert seen == [2, 1]
+
+
+def test_settings_reach_the_job(spark, folder):
+    from weirflow.session import Settings
+    from weirflow.sources import topics
+
+    settings = Settings(job_name="told", kafka_servers=f"{folder}/bus", kafka_group_prefix="p", watermark_delay_ms=7000, watermark_interval_ms=150, max_records_per_trigger=1, checkpoint_interval_ms=400)
+    env = Environment.of(settings)
+    assert env.checkpoint_interval_ms == env.interval_ms == 400 and env.watermarks() == WatermarkStrategy(7000, 150)
+    provider = topics.register(spark)
+    for k in range(2):
+        sinks.to_kafka(spark.createDataFrame([("a", k)], "key string, value int"), "t", settings.kafka_servers, provider=provider)
+    source = env.from_topic("t", provider=provider)
+    assert "7 seconds" in source.df._jdf.queryExecution().analyzed().toString() or "7000" in source.df._jdf.queryExecution().analyzed().toString()
+    assert env.watermark_interval_ms == 150
+    source.map("cast(value as string)").transform(lambda d: d.select("value")).add_sink("memory", name="told_rows")
+    (job,) = env.execute()
+    try:
+        job.query.processAllAvailable()
+        assert job.status == "RUNNING" and spark.table("told_rows").count() == 2
+        assert [p.numInputRows for p in job.query.recentProgress if p.numInputRows][:2] == [1, 1]
+    finally:
+        env.jobs.cancel("told_rows")
+    plain = Environment(spark)
+    plain.add_source(readers.collection_stream(spark, ["x"], "value string"), WatermarkStrategy(1000, 300))
+    assert plain.interval_ms is None and plain.run_forever().interval_ms == 300
+
+
+def test_watermarks_on_a_clock_of_ones_own(spark, folder):
+    """The clock runs an hour ahead of the rows' times, so all but the newest are late at once."""
+    path = f"{folder}/in"
+    for n, rows in enumerate([[("a", 1, 1)], [("a", 9, 1)], [("a", 4000, 1)]]):
+        write(spark, path, n, rows)
+    ahead = WatermarkStrategy.custom(F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    df = ahead.apply(stream(spark, path))
+    out = drain(windows.aggregate(df, ["k"], windows.Tumbling(10_000), F.count("*").alias("n"), ts="clock"), "ahead")
+    found = sorted((int((r.window_start - START).total_seconds()), r.n) for r in out.collect())
+    assert found == [(3600, 2)]
+
+
+def test_replay_keeps_batches_apart(spark):
+    seen = []
+    df = readers.replay(spark.range(10).withColumnRenamed("id", "n"), F.expr("n div 4"), spark.range(99, 100).withColumnRenamed("id", "n"), rows_per_file=2)
+    query = sinks.each_batch(df, lambda rows, _: seen.append(sorted(r.n for r in rows.collect())))
+    query.processAllAvailable()
+    query.stop()
+    assert seen == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, *([99] if seen[2][-1] == 99 else [])], *([[99]] if len(seen) == 4 else [])]

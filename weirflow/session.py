@@ -18,7 +18,8 @@ class Settings:
     """What a job can be given; ``conf()`` has it as Spark settings.
 
     Hosts, ports, slots and heartbeats of a cluster are Spark's own business and
-    go through ``extra`` (any Spark setting).
+    go through ``extra`` (any Spark setting). Intervals, watermarks and the message
+    bus are taken by ``Environment``.
     """
 
     job_name: str = "job"
@@ -45,6 +46,10 @@ class Settings:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         return replace(self, **values)
 
+    def kafka(self) -> dict:
+        """What ``readers.kafka`` takes of these settings."""
+        return {"servers": self.kafka_servers, "group_prefix": self.kafka_group_prefix, "max_per_trigger": self.max_records_per_trigger}
+
     def conf(self) -> dict[str, str]:
         if self.state_backend not in ("rocksdb", "memory"):
             raise ValueError(f"state_backend must be rocksdb or memory, not {self.state_backend!r}")
@@ -80,13 +85,18 @@ def session(settings: Settings | None = None) -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Give a session made elsewhere what queries rely on: UTC, and the state store that keyed processors need."""
-    for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.streaming.stateStore.providerClass": ROCKSDB}.items():
-        if spark.conf.get(key) != value:
-            spark.conf.set(key, value)
+    """Give a session made elsewhere what queries rely on: UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+def keyed_store(spark: SparkSession) -> None:
+    """Keyed processors on streams need RocksDB; called where one is made."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per context, so that their Python workers can import it."""
     sc = spark.sparkContext

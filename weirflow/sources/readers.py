@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirflow.functions.expressions import free
 from weirflow.session import shared_path
 from weirflow.sources.schemas import RECORD
 
@@ -44,10 +45,37 @@ def collection_stream(spark: SparkSession, rows: list, schema: str | T.StructTyp
     return reader.parquet(f"{path}/batch=*")
 
 
+def replay(df: DataFrame, batch: Column, end: DataFrame | None = None, rows_per_file: int = 5_000_000) -> DataFrame:
+    """A table as a stream of micro-batches: rows of equal ``batch`` (a small number) come together, in its order, ``end`` after all.
+
+    Each batch is written to the shared folder as equally many files, as many as the
+    largest asks for, and so many are read at a time.
+    """
+    spark = df.sparkSession
+    path, number = shared_path(spark, "replay"), free("_batch", *df.columns)
+    dealt = df.withColumn(number, batch.cast("int"))
+    counts = {r[number]: r["count"] for r in dealt.groupBy(number).count().collect()}
+    files = max([1, *(-(-n // rows_per_file) for n in counts.values())])
+    for k in sorted(counts):
+        rows = dealt.where(F.col(number) == k).drop(number)
+        (rows.coalesce(1) if files == 1 else rows.repartition(files)).write.parquet(f"{path}/batch={k:012d}")
+    if end is not None:
+        end.select(*df.columns).repartition(files).write.parquet(f"{path}/batch={999_999_999_999}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/batch=*")
+
+
 def csv_file(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """A CSV file with a header, all columns as text. ``limit`` takes the first rows only (a preview)."""
     df = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").csv(path)
-    return df.limit(limit) if limit else df
+    return _first(df, limit)
+
+
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows in order of the file; all without a limit."""
+    if not limit:
+        return df
+    at = free("_at", *df.columns)
+    return df.withColumn(at, F.monotonically_increasing_id()).orderBy(at).limit(limit).drop(at)
 
 
 def json_file(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -57,7 +85,7 @@ def json_file(spark: SparkSession, path: str, limit: int | None = None) -> DataF
     if isinstance(kind, T.ArrayType):
         df = df.select(F.explode("data").alias("record"))
         df = df.select("record.*") if isinstance(kind.elementType, T.StructType) else df
-    return df.limit(limit) if limit else df
+    return _first(df, limit)
 
 
 def json_lines_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -65,7 +93,8 @@ def json_lines_stream(spark: SparkSession, folder: str, schema: str) -> DataFram
 
 
 def kafka(spark: SparkSession, topic: str, servers: str = "localhost:9092", group_prefix: str | None = None, max_per_trigger: int | None = None, stream: bool = True, provider: str = "kafka") -> DataFrame:
-    """A topic from its beginning: key, value, ts, headers. Needs Spark's Kafka package; ``provider`` names another of the same shape.
+    """A topic from its beginning: key, value, ts, headers. Needs Spark's Kafka package; ``provider`` names another of the same shape
+    (``topics.register`` gives one that keeps topics in a folder, named by ``servers``).
 
     Offsets are kept in the query's checkpoint, and committed with each batch.
     """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,12 +22,16 @@ def messages(df: DataFrame, key: str | None = "key", value: Column | None = None
     return df.select(*out)
 
 
-def to_kafka(df: DataFrame, topic: str, servers: str = "localhost:9092", checkpoint: str | None = None, provider: str = "kafka"):
-    """Write messages at least once: on a stream a repeated batch may send again. Needs Spark's Kafka package."""
+def to_kafka(df: DataFrame, topic: str, servers: str = "localhost:9092", checkpoint: str | None = None, provider: str = "kafka", **trigger):
+    """Write messages at least once: on a stream a repeated batch may send again. Needs Spark's Kafka package, or another ``provider`` of the same shape.
+
+    ``trigger`` goes to the stream's trigger.
+    """
     options = {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all", "kafka.retries": "3", "kafka.max.in.flight.requests.per.connection": "1"}
     if not df.isStreaming:
-        return messages(df).write.format(provider).options(**options).save()
-    return messages(df).writeStream.format(provider).options(**options).option("checkpointLocation", checkpoint or shared_path(df.sparkSession, "kafka")).start()
+        return messages(df).write.format(provider).options(**options).mode("append").save()
+    writer = messages(df).writeStream.format(provider).options(**options).option("checkpointLocation", checkpoint or shared_path(df.sparkSession, "kafka"))
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def print_lines(df: DataFrame, prefix: str = "", key: str = "key", value: str = "value") -> DataFrame:
@@ -66,3 +70,30 @@ def to_files(df: DataFrame, path: str, checkpoint: str | None = None, kind: str
     if not df.isStreaming:
         return df.write.format(kind).mode("append").save(path)
     return df.writeStream.format(kind).option("path", path).option("checkpointLocation", checkpoint or shared_path(df.sparkSession, "files")).start()
+
+
+def upsert(df: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """Keep a table of the latest row of each key: rows already there are replaced by newer ones. Returns the table.
+
+    Every call writes a new version beside the last one and names it current only
+    once it is whole. One writer at a time.
+    """
+    spark = df.sparkSession
+    current = current_version(spark, path)
+    rows = df if current < 0 else spark.read.parquet(f"{path}/version={current}").unionByName(df, allowMissingColumns=True)
+    others = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("last")).select(*keys, "last.*")
+    last.select(*rows.columns).write.mode("overwrite").parquet(f"{path}/version={current + 1}")
+    return spark.read.parquet(f"{path}/version={current + 1}")
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """Number of the last version of an ``upsert`` table that was written whole; -1 if there is none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(conf)
+    if not fs.exists(base):
+        return -1
+    names = [s.getPath() for s in fs.listStatus(base)]
+    whole = [int(n.getName()[8:]) for n in names if n.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
+    return max(whole, default=-1)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import json
 import time
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -11,8 +14,9 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from weirflow.session import shared_path
 
 STATES = ("CREATED", "RUNNING", "CANCELED", "FAILED", "FINISHED")
-#: Bounds of the latency histogram, in seconds.
+#: Bounds of the histograms of latencies and of checkpoints, in seconds.
 LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
+CHECKPOINT_BOUNDS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 
 
 def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
@@ -117,16 +121,18 @@ class Jobs:
 
 
 def progress_metrics(progress) -> dict:
-    if progress is None:
-        return {"records": 0, "records_per_second": 0.0, "batch_ms": 0, "watermark": None, "state_rows": 0, "state_bytes": 0}
-    p = progress if isinstance(progress, dict) else __import__("json").loads(progress.json)
-    state = p.get("stateOperators") or []
+    """Figures of one batch from its progress (a dict, or Spark's own object; None: nothing yet)."""
+    p = {} if progress is None else progress if isinstance(progress, dict) else json.loads(progress.json)
+    state, spent, times = p.get("stateOperators") or [], p.get("durationMs") or {}, p.get("eventTime") or {}
+    moment = lambda name: datetime.fromisoformat(times[name].replace("Z", "+00:00"))
+    lag = round((moment("max") - moment("watermark")).total_seconds() * 1000) if "max" in times and "watermark" in times else None
     return {
         "records": p.get("numInputRows", 0),
         "records_per_second": p.get("processedRowsPerSecond") or 0.0,
-        "batch_ms": (p.get("durationMs") or {}).get("triggerExecution", 0),
-        "commit_ms": (p.get("durationMs") or {}).get("walCommit", 0) + (p.get("durationMs") or {}).get("commitOffsets", 0),
-        "watermark": (p.get("eventTime") or {}).get("watermark"),
+        "batch_ms": spent.get("triggerExecution", 0),
+        "commit_ms": spent.get("walCommit", 0) + spent.get("commitOffsets", 0),
+        "watermark": times.get("watermark"),
+        "watermark_lag_ms": lag,
         "state_rows": sum(s.get("numRowsTotal", 0) for s in state),
         "state_bytes": sum(s.get("memoryUsedBytes", 0) for s in state),
         "late_rows": sum(s.get("numRowsDroppedByWatermark", 0) for s in state),
@@ -134,23 +140,41 @@ def progress_metrics(progress) -> dict:
 
 
 class Meter(StreamingQueryListener):
-    """Totals over all queries of a session, with a latency histogram; add with ``spark.streams.addListener``."""
+    """Figures over all queries of a session; add with ``spark.streams.addListener``.
+
+    Records and batches in all; the smoothed time of a batch; histograms of batches
+    and of commits to the checkpoint; and of each query, as last told, the lag of its
+    watermark behind the latest time seen, the bytes of its state and the late rows.
+    """
 
     def __init__(self):
         self.records = 0
         self.batches = 0
         self.smoothed_ms = 0.0
-        self.buckets = [0] * (len(LATENCY_BOUNDS) + 1)
+        self.latencies = [0] * (len(LATENCY_BOUNDS) + 1)
+        self.checkpoints = [0] * (len(CHECKPOINT_BOUNDS) + 1)
+        self.watermark_lag_ms: dict[str, int] = {}
+        self.state_bytes: dict[str, int] = {}
+        self.late_rows: dict[str, int] = {}
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        got = progress_metrics(event.progress)
+        self.tell(json.loads(event.progress.json))
+
+    def tell(self, progress: dict) -> None:
+        got = progress_metrics(progress)
+        name = progress.get("name") or progress.get("id", "")
         self.records += got["records"]
         self.batches += 1
         self.smoothed_ms = 0.1 * got["batch_ms"] + 0.9 * self.smoothed_ms
-        self.buckets[next((k for k, b in enumerate(LATENCY_BOUNDS) if got["batch_ms"] <= 1000 * b), len(LATENCY_BOUNDS))] += 1
+        self.latencies[bisect.bisect_left(LATENCY_BOUNDS, got["batch_ms"] / 1000)] += 1
+        self.checkpoints[bisect.bisect_left(CHECKPOINT_BOUNDS, got["commit_ms"] / 1000)] += 1
+        self.state_bytes[name] = got["state_bytes"]
+        self.late_rows[name] = self.late_rows.get(name, 0) + got["late_rows"]
+        if got["watermark_lag_ms"] is not None:
+            self.watermark_lag_ms[name] = got["watermark_lag_ms"]
 
     def onQueryIdle(self, event) -> None:
         pass

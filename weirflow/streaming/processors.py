@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import pickle
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from weirflow.session import ship
+from weirflow.session import keyed_store, ship
 
 
 def _by_value(function: Callable) -> None:
@@ -59,14 +61,14 @@ class AggregatingState:
 
 
 class Descriptor:
-    """A named state of one kind; names keep states of one key apart."""
+    """A named state of one kind; names keep states of one key apart. ``schema`` is that of a value, list entry or map value."""
 
     KINDS = ("value", "list", "map", "reducing", "aggregating")
 
-    def __init__(self, name: str, kind: str = "value", ttl_ms: int | None = None):
+    def __init__(self, name: str, kind: str = "value", ttl_ms: int | None = None, schema: str = "value binary", key_schema: str = "key string"):
         if kind not in self.KINDS:
             raise ValueError(f"unknown kind of state {kind!r}; one of {', '.join(self.KINDS)}")
-        self.name, self.kind, self.ttl_ms = name, kind, ttl_ms
+        self.name, self.kind, self.ttl_ms, self.schema, self.key_schema = name, kind, ttl_ms, schema, key_schema
         self.step = self.adder = self.getter = self.start = None
 
     def with_reduce_function(self, step: Callable) -> Descriptor:
@@ -77,73 +79,131 @@ class Descriptor:
         self.adder, self.getter, self.start = add, get, start
         return self
 
-    def create(self, handle: StatefulProcessorHandle, schema: str = "value binary", key_schema: str = "key string"):
+    def create(self, handle: StatefulProcessorHandle):
         """The state in a processor's ``init``; Spark's own list and map states for those kinds."""
         if self.kind == "list":
-            return handle.getListState(self.name, schema, self.ttl_ms)
+            return handle.getListState(self.name, self.schema, self.ttl_ms)
         if self.kind == "map":
-            return handle.getMapState(self.name, key_schema, schema, self.ttl_ms)
-        cell = handle.getValueState(self.name, schema, self.ttl_ms)
-        if self.kind == "reducing":
-            return ReducingState(cell, self.step)
-        if self.kind == "aggregating":
-            return AggregatingState(cell, self.adder, self.getter, self.start)
-        return cell
+            return handle.getMapState(self.name, self.key_schema, self.schema, self.ttl_ms)
+        if self.kind == "value":
+            return handle.getValueState(self.name, self.schema, self.ttl_ms)
+        cell = handle.getValueState(self.name, "value binary", self.ttl_ms)
+        return ReducingState(cell, self.step) if self.kind == "reducing" else AggregatingState(cell, self.adder, self.getter, self.start)
+
+
+#: Rows that a processor may hold back before they are handed on.
+OUT_ROWS = 10_000
+
+
+def _ready(spark, *functions: Callable) -> None:
+    ship(spark)
+    keyed_store(spark)
+    for function in functions:
+        _by_value(function)
+
+
+def _in_order(rows: Iterator[pd.DataFrame], order: list[str] | None) -> Iterator[pd.DataFrame]:
+    """A key's rows of a micro-batch: sorted, or without an order chunk by chunk as they come, none held."""
+    if not order:
+        return rows
+    return iter([pd.concat(list(rows)).sort_values(order)])
+
+
+def _records(frame: pd.DataFrame) -> Iterator[dict]:
+    columns = list(frame.columns)
+    return (dict(zip(columns, row)) for row in frame.itertuples(index=False, name=None))
 
 
 class KeyedProcess(StatefulProcessor):
-    """``function(key, row, state) -> (rows, new state)``; rows that raise are left out."""
+    """``function(key, row, state) -> (rows, new state)``; rows that raise are left out and counted.
+
+    With ``descriptors`` the state is a dict of states by name, each of its own kind,
+    kept by Spark's store, and what the function returns as new state does not matter.
+    """
 
-    def __init__(self, function: Callable, order: list[str], names: list[str], ttl_ms: int | None = None):
-        self.function, self.order, self.names, self.ttl_ms = function, order, names, ttl_ms
+    def __init__(self, function: Callable, order: list[str] | None, names: list[str], ttl_ms: int | None = None, descriptors: tuple[Descriptor, ...] = (), failed=None):
+        self.function, self.order, self.names, self.ttl_ms, self.descriptors, self.failed = function, order, names, ttl_ms, descriptors, failed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cell = handle.getValueState("state", "value binary", self.ttl_ms)
+        self.states = {d.name: d.create(handle) for d in self.descriptors}
+        self.cell = None if self.states else handle.getValueState("state", "value binary", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = pickle.loads(self.cell.get()[0]) if self.cell.exists() else None
-        key = key[0] if len(key) == 1 else key
-        frame = pd.concat(list(rows)).sort_values(self.order)
-        out = []
-        for record in frame.to_dict("records"):
-            try:
-                made, state = self.function(key, record, state)
-                out += made
-            except Exception:  # the row is dropped, as on batches
-                continue
-        if state is None:
-            self.cell.clear()
-        else:
-            self.cell.update((pickle.dumps(state),))
+        state = self.states or (pickle.loads(self.cell.get()[0]) if self.cell.exists() else None)
+        key, out = key[0] if len(key) == 1 else key, []
+        for frame in _in_order(rows, self.order):
+            for record in _records(frame):
+                try:
+                    made, after = self.function(key, record, state)
+                    out += made
+                    state = state if self.states else after
+                except Exception:  # the row is left out, as on batches
+                    if self.failed is not None:
+                        self.failed.add(1)
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(out, columns=self.names)
+                    out = []
+        if self.cell is not None:
+            if state is None:
+                self.cell.clear()
+            else:
+                self.cell.update((pickle.dumps(state),))
         yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
         pass
 
 
-def keyed_process(df: DataFrame, keys: list[str], order: list[str], function: Callable, schema: str, ttl_ms: int | None = None) -> DataFrame:
-    """The streaming twin of the batch operator of that name; rows of a micro-batch are taken in order."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    time = "ProcessingTime" if ttl_ms else "None"
-    ship(df.sparkSession)
-    _by_value(function)
-    return df.groupBy(*keys).transformWithStateInPandas(KeyedProcess(function, order, names, ttl_ms), schema, "Update", time)
+def _names(schema: str) -> list[str]:
+    return [part.strip().split(" ")[0] for part in schema.split(",")]
 
 
-def running(df: DataFrame, key: str, order: list[str], value: str, function: str, schema: str, ttl_ms: int | None = None) -> DataFrame:
-    """One row per input row with the running aggregate of its key; ``schema`` is the input's with ``result double``."""
-    if function not in ("sum", "count", "avg", "min", "max"):
-        raise ValueError(f"unknown aggregate {function!r}")
+def keyed_process(df: DataFrame, keys: list[str], order: list[str] | None, function: Callable, schema: str, ttl_ms: int | None = None, descriptors: tuple[Descriptor, ...] = (), failed=None) -> DataFrame:
+    """The streaming twin of the batch operator of that name.
+
+    A key's rows of a micro-batch are taken in ``order``, for which they are held
+    together (limit what a trigger reads); without an order they are taken as they
+    come, a chunk at a time.
+    """
+    _ready(df.sparkSession, function)
+    time = "ProcessingTime" if ttl_ms or any(d.ttl_ms for d in descriptors) else "None"
+    return df.groupBy(*keys).transformWithStateInPandas(KeyedProcess(function, order, _names(schema), ttl_ms, descriptors, failed), schema, "Update", time)
+
+
+class Running(StatefulProcessor):
+    """Running aggregate of one column: a chunk at a time over arrays, with four numbers of state a key."""
+
+    def __init__(self, function: str, order: list[str] | None, value: str, names: list[str]):
+        self.function, self.order, self.value, self.names = function, order, value, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cell = handle.getValueState("state", "n bigint, total double, low double, high double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, total, low, high = self.cell.get() if self.cell.exists() else (0, 0.0, np.inf, -np.inf)
+        for frame in _in_order(rows, self.order):
+            x = pd.to_numeric(frame[self.value]).to_numpy(float)
+            known = ~np.isnan(x)
+            count = n + np.arange(1, len(x) + 1)
+            sums = np.cumsum(np.concatenate([[total], np.where(known, x, 0.0)]))[1:]
+            lows = np.minimum.accumulate(np.concatenate([[low], np.where(known, x, np.inf)]))[1:]
+            highs = np.maximum.accumulate(np.concatenate([[high], np.where(known, x, -np.inf)]))[1:]
+            if len(x):
+                n, total, low, high = int(count[-1]), float(sums[-1]), float(lows[-1]), float(highs[-1])
+            result = {"sum": sums, "count": count.astype(float), "avg": sums / count, "min": np.where(np.isinf(lows), np.nan, lows), "max": np.where(np.isinf(highs), np.nan, highs)}
+            yield frame.assign(result=result[self.function])[self.names]
+        self.cell.update((n, total, low, high))
 
-    def step(_, row, state):
-        n, total, low, high = state or (0, 0.0, None, None)
-        x = float(row[value]) if function != "count" else 0.0
-        n, total = n + 1, total + x
-        low, high = x if low is None else min(low, x), x if high is None else max(high, x)
-        result = {"sum": total, "count": float(n), "avg": total / n, "min": low, "max": high}[function]
-        return [{**row, "result": result}], (n, total, low, high)
+    def close(self) -> None:
+        pass
 
-    return keyed_process(df, [key], order, step, schema, ttl_ms)
+
+def running(df: DataFrame, key: str, order: list[str] | None, value: str, function: str, schema: str) -> DataFrame:
+    """One row per input row with the running aggregate of its key; ``schema`` is the input's with ``result double``. For ``order`` see ``keyed_process``."""
+    if function not in ("sum", "count", "avg", "min", "max"):
+        raise ValueError(f"unknown aggregate {function!r}")
+    _ready(df.sparkSession)
+    return df.groupBy(key).transformWithStateInPandas(Running(function, order, value, _names(schema)), schema, "Update", "None")
 
 
 class RefiringWindows(StatefulProcessor):
@@ -151,40 +211,49 @@ class RefiringWindows(StatefulProcessor):
 
     The clock is the largest time of the key less the delay. A window fires once it
     has ended by that clock, with the fold of the rows that came since it last fired.
+    Open windows are entries of a map state, one for each window.
     """
 
-    def __init__(self, size_ms: int, delay_ms: int, step: Callable, value: str, ts: str):
-        self.size_ms, self.delay_ms, self.step, self.value, self.ts = size_ms, delay_ms, step, value, ts
+    def __init__(self, size_ms: int, delay_ms: int, step: Callable, value: str, ts: str, order: list[str] | None, names: list[str]):
+        self.size_ms, self.delay_ms, self.step, self.value, self.ts, self.order, self.names = size_ms, delay_ms, step, value, ts, order, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cell = handle.getValueState("windows", "value binary")
+        self.clock = handle.getValueState("clock", "ms bigint")
+        self.open = handle.getMapState("windows", "start bigint", "value binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        clock, open_ = pickle.loads(self.cell.get()[0]) if self.cell.exists() else (None, {})
+        clock = self.clock.get()[0] if self.clock.exists() else None
+        ends = sorted(start + self.size_ms for (start,) in self.open.keys())
         out = []
-        frame = pd.concat(list(rows))
-        for at, value in zip(frame[self.ts].map(lambda t: int(t.timestamp() * 1000)), frame[self.value].tolist()):
-            start = at // self.size_ms * self.size_ms
-            open_[start] = self.step(open_[start], value) if start in open_ else value
-            clock = at - self.delay_ms if clock is None else max(clock, at - self.delay_ms)
-            for w in sorted(w for w in open_ if w + self.size_ms <= clock):
-                out.append((*key, w, w + self.size_ms, open_.pop(w)))
-        self.cell.update((pickle.dumps((clock, open_)),))
-        yield pd.DataFrame(out)[[*range(len(key) + 3)]].set_axis(self.names(key), axis=1) if out else pd.DataFrame(columns=self.names(key))
-
-    @staticmethod
-    def names(key) -> list[str]:
-        return [*(f"key{k}" if k else "key" for k in range(len(key))), "start_ms", "end_ms", "value"]
+        for frame in _in_order(rows, self.order):
+            for at, value in zip(frame[self.ts].map(lambda t: t.value // 1_000_000), frame[self.value].tolist()):
+                start = at // self.size_ms * self.size_ms
+                if self.open.containsKey((start,)):
+                    value = self.step(pickle.loads(self.open.getValue((start,))[0]), value)
+                else:
+                    bisect.insort(ends, start + self.size_ms)
+                self.open.updateValue((start,), (pickle.dumps(value),))
+                clock = at - self.delay_ms if clock is None else max(clock, at - self.delay_ms)
+                while ends and ends[0] <= clock:
+                    first = ends.pop(0) - self.size_ms
+                    out.append((*key, first, first + self.size_ms, pickle.loads(self.open.getValue((first,))[0])))
+                    self.open.removeKey((first,))
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(out, columns=self.names)
+                    out = []
+        if clock is not None:
+            self.clock.update((clock,))
+        yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
         pass
 
 
-def refiring_windows(df: DataFrame, key: str, size_ms: int, delay_ms: int, step: Callable, value: str, schema: str, ts: str = "ts") -> DataFrame:
-    """Windows per key with late rows kept; ``schema`` names key, start_ms, end_ms and value. Rows of a micro-batch are taken as they come."""
-    ship(df.sparkSession)
-    _by_value(step)
-    return df.withColumnRenamed(key, "key").groupBy("key").transformWithStateInPandas(RefiringWindows(size_ms, delay_ms, step, value, ts), schema, "Update", "None")
+def refiring_windows(df: DataFrame, key: str, size_ms: int, delay_ms: int, step: Callable, value: str, schema: str, ts: str = "ts", order: list[str] | None = None) -> DataFrame:
+    """Windows per key with late rows kept; ``schema`` names key, start_ms, end_ms and value. For ``order`` see ``keyed_process``."""
+    _ready(df.sparkSession, step)
+    processor = RefiringWindows(size_ms, delay_ms, step, value, ts, order, _names(schema))
+    return df.withColumnRenamed(key, "key").groupBy("key").transformWithStateInPandas(processor, schema, "Update", "None")
 
 
 def deduplicate(df: DataFrame, keys: list[str], delay_ms: int | None = None, ts: str = "ts") -> DataFrame:
