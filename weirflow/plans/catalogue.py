@@ -11,8 +11,9 @@ from weirflow.functions import codecs
 from weirflow.functions import expressions as x
 from weirflow.operators import aggregates, datafiles, joins, rows, state, times, windows
 from weirflow.plans import examples
-from weirflow.session import prepare
-from weirflow.sources import generators, readers, sinks
+from weirflow.plans.environment import Environment
+from weirflow.session import Settings, prepare, shared_path
+from weirflow.sources import generators, readers, sinks, topics
 from weirflow.streaming import processors
 from weirflow.streaming.jobs import drain
 
@@ -41,6 +42,10 @@ def _day():
     return F.date_trunc("day", F.col("ts").cast("timestamp"))
 
 
+def _env(spark: SparkSession) -> Environment:
+    return Environment(spark)
+
+
 # -- row by row ----------------------------------------------------------------
 
 _WC = """
@@ -134,8 +139,44 @@ _tumbling("tumbling_avg", lambda: F.sum(x.exact("value")).cast("double") / F.cou
 SELECT event_type, time_bucket(INTERVAL '1 second', ts, TIMESTAMP '1970-01-01') AS window_start, max(value) AS value FROM events GROUP BY ALL
 """)
 def _(spark, folder):
-    out = windows.aggregate(_events(spark, folder), ["event_type"], windows.Tumbling(1000), F.max("value").alias("value"))
-    return out.select("event_type", "window_start", "value")
+    keyed = _env(spark).add_source(_events(spark, folder)).key_by("event_type")
+    return keyed.reduce("max", ORDER).df.select(F.col("key").alias("event_type"), "window_start", "value")
+
+
+@query("python_reduce", f"""
+SELECT user_id, {_HOUR_START} AS window_start, bit_xor(event_id) AS value FROM events GROUP BY ALL
+""")
+def _(spark, folder):
+    keyed = _env(spark).add_source(_events(spark, folder)).key_by("user_id")
+    out = keyed.window(windows.Tumbling(HOUR)).reduce(lambda a, b: a ^ b, ORDER, "event_id", "bigint")
+    return out.df.select(F.col("key").alias("user_id"), "window_start", "value")
+
+
+@query("fluent_job", """
+SELECT event_type AS key, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS window_start, max(value * 2) AS value FROM events WHERE user_id % 2 = 0 GROUP BY ALL HAVING max(value * 2) > 60
+""")
+def _(spark, folder):
+    env = _env(spark)
+    source = env.add_source(_events(spark, folder))
+    out = source.filter(lambda u: u % 2 == 0, ["user_id"]).map("value * 2").key_by("event_type").window(windows.Tumbling(HOUR)).reduce("max").filter("value > 60")
+    return out.df.select("key", "window_start", "value")
+
+
+@query("python_join", """
+SELECT c.user_id AS key, c.ts AS ts, c.event_id * 1000000 + v.event_id AS value
+FROM events c JOIN events v ON c.user_id = v.user_id AND abs(epoch_us(c.ts) - epoch_us(v.ts)) <= 3600000000
+WHERE c.event_type = 'click' AND v.event_type = 'view'
+""")
+def _(spark, folder):
+    env, e = _env(spark), _events(spark, folder).select("user_id", "event_id", "event_type", "ts")
+    side = lambda kind: env.add_source(e.where(F.col("event_type") == kind)).key_by("user_id")
+    return side("click").join(side("view"), HOUR, lambda a, b: a["event_id"] * 1_000_000 + b["event_id"], "bigint").df
+
+
+@query("python_fold", "SELECT user_id AS key, sum(event_id % 7)::bigint AS value FROM events GROUP BY user_id")
+def _(spark, folder):
+    keyed = _env(spark).add_source(_events(spark, folder)).key_by("user_id")
+    return keyed.fold((0, 0), lambda a, v: (a[0] + v % 7, a[1] + 1), lambda a: a[0], "bigint", ORDER, "event_id").df
 
 
 @query("unkeyed_window", f"SELECT {_HOUR_START} AS window_start, count(*) AS n FROM events GROUP BY ALL")
@@ -234,13 +275,17 @@ def _(spark, folder):
 
 
 @query("job_metrics", """
-SELECT event_type, sum(user_id)::bigint AS records, sum(value::decimal(18,2))::double / count(*) AS mean_latency_ms, max(value) AS max_backpressure FROM events GROUP BY event_type
+SELECT event_type, sum(records)::bigint AS records, round(avg(latency), 6) AS mean_latency_ms, max(backpressure) AS max_backpressure, count(*) AS tasks FROM (
+  SELECT event_type, user_id % 10 AS task, sum(user_id) AS records, arg_max(value, (ts, event_id)) AS backpressure,
+         list_reduce(list_prepend(0.0::double, list(value ORDER BY ts, event_id)), lambda a, b: 0.3::double * b + 0.7::double * a) AS latency
+  FROM events GROUP BY ALL
+) GROUP BY event_type
 """)
 def _(spark, folder):
     e = _events(spark, folder)
-    tasks = e.select("event_type", "ts", "event_id", F.col("user_id").alias("records"), x.exact("value").alias("latency_ms"), F.col("value").alias("backpressure"))
-    out = aggregates.job_metrics(tasks, ["event_type"], ORDER, _day())
-    return out.select("event_type", "records", "mean_latency_ms", "max_backpressure")
+    reports = e.select("event_type", (F.col("user_id") % 10).alias("task"), "ts", "event_id", F.col("user_id").alias("records"), F.col("value").alias("latency_ms"), F.col("value").alias("backpressure"))
+    out = aggregates.job_metrics(reports, ["event_type"], "task", ORDER, _day())
+    return out.withColumn("mean_latency_ms", F.round("mean_latency_ms", 6))
 
 
 @query("backpressure_ratio", """
@@ -248,7 +293,8 @@ SELECT event_id, (sum((value > 1.0)::int) OVER w)::double / count(*) OVER w AS b
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)
 """)
 def _(spark, folder):
-    return aggregates.backpressure(_events(spark, folder), ["user_id"], ORDER, "value").select("event_id", "backpressure_ratio", "mean_wait")
+    waits = _events(spark, folder).withColumn("value", x.exact("value"))
+    return aggregates.backpressure(waits, ["user_id"], ORDER, "value", block=_day(), slice_rows=500).select("event_id", "backpressure_ratio", "mean_wait")
 
 
 @query("reducing_state_max", "SELECT user_id, max(value) AS state FROM events GROUP BY user_id")
@@ -334,7 +380,16 @@ _ARRIVAL = "((event_id * 7919) % 10007)"
 
 def _shuffled(spark, folder):
     e = _events(spark, folder).select("event_id", "ts", F.expr(_ARRIVAL).alias("arrival"))
-    return e, ["arrival", "event_id"], F.expr("arrival div 100")
+    return e, ["arrival", "event_id"], aggregates.blocks(e, "arrival", 1000)
+
+
+@query("custom_watermarks", """
+SELECT event_id, coalesce(watermark_ms, -1) AS watermark_ms FROM (SELECT event_id, max(CASE WHEN n % 3 = 0 THEN top - 5000 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS watermark_ms FROM (
+  SELECT *, row_number() OVER w AS n, max(epoch_us(ts) // 1000) OVER w AS top FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+))
+""")
+def _(spark, folder):
+    return times.generated(_events(spark, folder), ORDER, times.BoundedOutOfOrderness, ["user_id"], every=3).select("event_id", x.default("watermark_ms", -1).alias("watermark_ms"))
 
 
 @query("monotone_ts", f"SELECT event_id, max(ts) OVER (ORDER BY {_ARRIVAL}, event_id) AS monotone_ts FROM events")
@@ -361,18 +416,18 @@ def _(spark, folder):
 # -- data files ----------------------------------------------------------------------
 
 def _as_text(spark, folder):
-    e = _events(spark, folder).where("event_id % 5 < 3")
+    e = _events(spark, folder)
     broken = F.when(F.col("event_id") % 11 == 0, F.lit("n/a")).otherwise(F.col("value").cast("decimal(18,2)").cast("string"))
     return e.select("event_id", "ts", "event_type", broken.alias("amount"))
 
 
-_TEXT = "(SELECT event_id, ts, event_type, CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE value::decimal(18,2)::varchar END AS amount FROM events WHERE event_id % 5 < 3)"
+_TEXT = "(SELECT event_id, ts, event_type, CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE value::decimal(18,2)::varchar END AS amount FROM events)"
 
 
 def _data_filter(name: str, column: str, operator: str, value: str, sql: str):
     @query(name, f"SELECT 'filter' AS operation, 'PASS' AS result, event_id FROM {_TEXT} WHERE {sql}")
     def _(spark, folder):
-        out = datafiles.filtered(_as_text(spark, folder), column, operator, value)
+        out = datafiles.process(_as_text(spark, folder), "filter", column=column, operator=operator, value=value)
         return out.select("operation", "result", F.col("record.event_id").alias("event_id"))
 
 
@@ -382,17 +437,29 @@ _data_filter("df_filter_gt", "amount", "greater_than", "20", "try_cast(amount AS
 _data_filter("df_filter_lt", "amount", "less_than", "20.5", "try_cast(amount AS double) < 20.5")
 
 
-@query("df_transform_upper", f"SELECT event_id, upper(event_type) AS event_type, upper(amount) AS amount FROM {_TEXT}")
+@query("df_transform_upper", f"""
+SELECT 'transform' AS operation, event_id, upper(event_type) AS event_type, upper(amount) AS amount, 'events.csv' AS source, true AS timed FROM {_TEXT}
+""")
 def _(spark, folder):
-    return datafiles.upper_case(_as_text(spark, folder)).select("event_id", "event_type", "amount")
+    out = datafiles.process(_as_text(spark, folder), "transform", "Events.CSV")
+    return out.select("operation", "result.event_id", "result.event_type", "result.amount", F.col("result._source").alias("source"), F.col("result._processed_at").rlike("^20.*T").alias("timed"))
+
+
+def _half_even(value: str) -> str:
+    """SQL that rounds the shortest decimal form of a positive double to two places, halves to even."""
+    exact = f"({value})::varchar::decimal(38,18)"
+    return f"(SELECT ((f + (r > 0.5 OR r = 0.5 AND f % 2 = 1)::int)::decimal(38,0) / 100.0)::double FROM (SELECT floor(d * 100) AS f, d * 100 - floor(d * 100) AS r FROM (SELECT {exact} AS d)))"
 
 
 def _data_aggregate(function: str, sql: str):
     frame = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    @query(f"df_aggregate_{function}", f"SELECT event_id, event_type AS \"group\", {sql.format(w=frame)} AS result FROM {_TEXT}")
+    @query(f"df_aggregate_{function}", f"""
+SELECT 'aggregate' AS operation, event_id, event_type AS "group", '{function}' AS function, {_half_even('result')} AS result
+FROM (SELECT event_id, event_type, {sql.format(w=frame)} AS result FROM {_TEXT})
+""")
     def _(spark, folder):
-        out = aggregates.grouped_running(_as_text(spark, folder), "event_type", function, "amount", ORDER, _day())
-        return out.select("event_id", "group", "result")
+        out = datafiles.process(_as_text(spark, folder), "aggregate", order=ORDER, group="event_type", function=function, value="amount", block=_day(), scale=2)
+        return out.select("operation", F.col("record.event_id").alias("event_id"), "group", "function", "result")
 
 
 _data_aggregate("count", "(count(*) {w})::double")
@@ -405,7 +472,7 @@ SELECT event_id, try_cast(amount AS double) AS value, try_cast(amount AS double)
        CASE WHEN try_cast(amount AS double) > 60 THEN 'ANOMALY' WHEN try_cast(amount AS double) IS NOT NULL THEN 'NORMAL' END AS status FROM {_TEXT}
 """)
 def _(spark, folder):
-    return datafiles.anomalies(_as_text(spark, folder), "amount", "60").select(F.col("record.event_id").alias("event_id"), "value", "is_anomaly", "status")
+    return datafiles.process(_as_text(spark, folder), "anomaly", column="amount", threshold="60").select(F.col("record.event_id").alias("event_id"), "value", "is_anomaly", "status")
 
 
 @query("df_passthrough", f"SELECT 'passthrough' AS operation, event_id FROM {_TEXT}")
@@ -470,7 +537,7 @@ def _(spark, folder):
 
 @query("latency_histogram", "SELECT CASE WHEN value <= 10 THEN 0 WHEN value <= 50 THEN 1 WHEN value <= 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM events GROUP BY 1")
 def _(spark, folder):
-    return _events(spark, folder).groupBy(x.histogram_bucket(F.col("value"), [10, 50, 100]).alias("bucket")).agg(F.count("*").alias("n"))
+    return aggregates.histogram(_events(spark, folder), "value", [10, 50, 100])
 
 
 # -- top-k, merge, counts ---------------------------------------------------------------
@@ -485,9 +552,9 @@ def _(spark, folder):
     return rows.latest(_events(spark, folder).select("event_id", "value"), 30, F.desc("value"), F.asc("event_id"))
 
 
-@query("latest_per_key", "SELECT user_id, max(event_id) AS last_id, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
+@query("latest_per_key", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS last_id, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
 def _(spark, folder):
-    return _events(spark, folder).groupBy("user_id").agg(F.max("event_id").alias("last_id"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+    return rows.latest_per_key(_events(spark, folder), ["user_id"], ORDER, last_id="event_id", last_type="event_type")
 
 
 @query("merge_two_streams", "SELECT event_id, 'buy' AS side FROM events WHERE event_type = 'purchase' UNION ALL SELECT event_id, 'look' FROM events WHERE event_type = 'view'")
@@ -509,26 +576,81 @@ SELECT count(*) AS total, count(*) FILTER (value > 30) AS anomalies, count(*) FI
        count(*) FILTER (value > 30) * 100.0::double / count(*) AS anomaly_percent, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS elapsed_ms FROM events
 """)
 def _(spark, folder):
-    odd = F.col("value") > 30
-    return _events(spark, folder).agg(
-        F.count("*").alias("total"), F.count_if(odd).alias("anomalies"), F.count_if(~odd).alias("normal"),
-        (F.count_if(odd) * F.lit(100.0) / F.count("*")).alias("anomaly_percent"), (x.epoch_ms(F.max("ts")) - x.epoch_ms(F.min("ts"))).alias("elapsed_ms"),
-    )
+    return aggregates.statistics(_events(spark, folder), F.col("value") > 30)
 
 
-@query("generated_sensors")
+@query("sensor_windows", """
+SELECT user_id, s AS window_start, s + INTERVAL '30 minutes' AS window_end, list_reduce(list(value ORDER BY ts, event_id), lambda a, b: (a + b) / 2) AS value, count(*) AS count, round(avg(value), 6) AS mean FROM (
+  SELECT *, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') - k * INTERVAL '10 minutes' AS s FROM events, range(0, 3) t(k)
+) GROUP BY ALL
+""")
 def _(spark, folder):
-    return generators.sensors(spark, 1000)
+    out = examples.sensor_windows(_events(spark, folder), "user_id", "value", 30 * MINUTE, 10 * MINUTE, ORDER)
+    return out.withColumn("mean", F.round("mean", 6))
 
 
-@query("generated_shop")
+@query("checkpoint_upsert", """
+SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id
+""")
 def _(spark, folder):
-    return generators.shop(spark, 1000)
+    path, e = shared_path(spark, "checkpoints"), _events(spark, folder).select("user_id", "event_id", "ts", F.col("event_type").alias("status"))
+    for half in (e.where("day(ts) >= 15"), e.where("day(ts) < 15")):
+        out = sinks.upsert(half, path, ["user_id"], ORDER)
+    return out
+
 
+# -- generated inputs ---------------------------------------------------------------------
 
-@query("generated_market")
+def _uniform(name: str, number: str) -> str:
+    """SQL for ``generators.uniform`` with its usual seed."""
+    return f"(('0x' || substr(md5('42:{name}:' || ({number})::varchar), 1, 12))::bigint / 281474976710656.0::double)"
+
+
+def _gauss(name: str, number: str) -> str:
+    return "(" + " + ".join(_uniform(f"{name}{k}", number) for k in range(12)) + " - 6.0::double)"
+
+
+def _one_of(values, which: str) -> str:
+    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}::double" for v in values) + f"][({which} + 1)::int]"
+
+
+@query("generated_sensors", f"""
+SELECT 'sensor_' || lpad(s::varchar, 3, '0') AS sensor_id, 'zone_' || (s // 5)::varchar AS location, {_one_of(generators.DEVICES, f"floor({_uniform('device', 's')} * 3)")} AS device_type,
+  {generators.START_MS} + (step - 1) * 500 AS timestamp,
+  round(CASE WHEN odd THEN CASE kind WHEN 0 THEN 40 + {_uniform('hot', 'id')} * 20 WHEN 1 THEN -10 + {_uniform('cold', 'id')} * 15 ELSE -999.9 END
+        ELSE 22::double + 3::double * sin(2 * pi() * step / 600::double) + {_gauss('temperature', 'id')} * 0.5::double END, 2) AS temperature,
+  round(CASE WHEN odd THEN CASE kind WHEN 0 THEN 10 + {_uniform('dry', 'id')} * 20 WHEN 1 THEN 80 + {_uniform('damp', 'id')} * 15 ELSE -999.9 END
+        ELSE 50::double + {_gauss('humidity', 'id')} * 5 END, 2) AS humidity,
+  round(1013::double + {_gauss('pressure', 'id')} * 2, 2) AS pressure, round(100 - step / 10000::double * 100, 1) AS battery_level, odd AS is_anomaly
+FROM (SELECT id, id % 20 AS s, id // 20 + 1 AS step, {_uniform('odd', 'id')} < 0.02::double AS odd, floor({_uniform('kind', 'id')} * 3) AS kind FROM range((SELECT count(*) FROM events)) t(id))
+""")
 def _(spark, folder):
-    return generators.market(spark, 1000)
+    return generators.sensors(spark, _events(spark, folder).count())
+
+
+@query("generated_market", f"""
+WITH base AS (
+  SELECT id, {_one_of(list(generators.SYMBOLS), 'id % 8')} AS symbol, id // 8 AS tick, {_one_of([v[0] for v in generators.SYMBOLS.values()], 'id % 8')} AS first,
+    ln(1 + {_one_of([v[2] for v in generators.SYMBOLS.values()], 'id % 8')} + {_one_of([v[1] for v in generators.SYMBOLS.values()], 'id % 8')} * {_gauss('step', 'id')}) AS factor,
+    ((floor({_uniform('volume', 'id')} * 901) + 100) * CASE WHEN (id // 8) % 100 < 10 THEN floor({_uniform('spike', 'id')} * 6) + 5 ELSE 1 END)::bigint AS volume
+  FROM range((SELECT count(*) FROM events)) t(id)
+), walked AS (SELECT *, sum(factor) OVER w AS whole, (sum(volume) OVER w)::bigint AS daily_volume FROM base WINDOW w AS (PARTITION BY symbol ORDER BY id)
+), priced AS (SELECT *, greatest(exp(whole) * greatest(first, exp(-min(whole) OVER (PARTITION BY symbol ORDER BY id))), 1) AS p FROM walked)
+SELECT {generators.START_MS} + tick * 100 AS timestamp, symbol, round(p, 2) AS price, round(p - p * 0.0005::double / 2, 2) AS bid, round(p + p * 0.0005::double / 2, 2) AS ask, volume, daily_volume,
+  round(greatest(first, max(p) OVER w), 2) AS daily_high, round(least(first, min(p) OVER w), 2) AS daily_low, 'NASDAQ' AS exchange
+FROM priced WINDOW w AS (PARTITION BY symbol ORDER BY id)
+""")
+def _(spark, folder):
+    return generators.market(spark, _events(spark, folder).count())
+
+
+@query("generated_shop_totals", f"""
+SELECT event_type, count(*) AS n FROM (SELECT id, CASE WHEN u < 50 THEN 'page_view' WHEN u < 70 THEN 'add_to_cart' WHEN u < 73 THEN 'remove_from_cart' WHEN u < 81 THEN 'purchase' ELSE 'search' END AS event_type
+  FROM (SELECT id, {_uniform('event', 'id')} * 100 AS u FROM range((SELECT count(*) FROM events)) t(id))) WHERE event_type IN ('add_to_cart', 'search') GROUP BY event_type
+""")
+def _(spark, folder):
+    made = generators.shop(spark, _events(spark, folder).count())
+    return made.where("event_type in ('add_to_cart', 'search')").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 # -- the same on streams ------------------------------------------------------------------
@@ -589,3 +711,106 @@ def _(spark, folder):
     df = _stream(spark, folder).select("event_type", "ts", "event_id", "value")
     out = processors.running(df, "event_type", ORDER, "value", "max", "event_type string, ts timestamp, event_id bigint, value double, result double")
     return drain(out, "stream_running", "update").select("event_id", "result")
+
+
+# -- streams of several micro-batches ------------------------------------------------------------
+
+def _weeks(spark, folder, *columns: str) -> DataFrame:
+    """Events a week at a time, and a last row long after all, which moves the watermark past them."""
+    e = _events(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")).select("ts", *columns)
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts"))
+    return readers.replay(e, F.floor(x.epoch_ms("ts") / (7 * 24 * HOUR)) - 2800, end.select("*", *(F.lit(None).cast(e.schema[c].dataType).alias(c) for c in columns)))
+
+
+@query("append_tumbling_count", ORACLES["tumbling_count"])
+def _(spark, folder):
+    df = times.WatermarkStrategy.bounded_out_of_orderness(5000).apply(_weeks(spark, folder, "user_id"))
+    out = windows.aggregate(df, ["user_id"], windows.Tumbling(HOUR), F.count("*").alias("result"))
+    return _naive(drain(out, "append_tumbling"), "window_start", "window_end")
+
+
+@query("append_session_count", ORACLES["session_count"])
+def _(spark, folder):
+    df = times.WatermarkStrategy.bounded_out_of_orderness(5000).apply(_weeks(spark, folder, "user_id"))
+    out = windows.aggregate(df, ["user_id"], windows.Session(HOUR), F.count("*").alias("n"))
+    return _naive(drain(out, "append_session"), "window_start", "window_end")
+
+
+@query("append_interval_join", ORACLES["interval_join_clicks"])
+def _(spark, folder):
+    df = times.WatermarkStrategy.bounded_out_of_orderness(5000).apply(_weeks(spark, folder, "user_id", "event_id", "event_type"))
+    side = lambda kind: df.where(F.col("event_type") == kind).select("user_id", "event_id", "ts")
+    pairs = joins.interval_join(side("click"), side("view"), "user_id", HOUR)
+    out = pairs.select(F.col("l_user_id").alias("user_id"), F.col("l_event_id").alias("click"), F.col("r_event_id").alias("view"), (x.epoch_ms("l_ts") - x.epoch_ms("r_ts")).alias("between_ms"))
+    return drain(out, "append_join")
+
+
+@query("refiring_late_windows", f"""
+WITH told AS (
+  SELECT *, {_ARRIVAL} AS arrival, epoch_us(ts) // 1000 - (epoch_us(ts) // 1000) % {24 * HOUR} AS start, max(epoch_us(ts) // 1000 - 5000) OVER (PARTITION BY user_id) AS last,
+         max(epoch_us(ts) // 1000 - 5000) OVER (PARTITION BY user_id ORDER BY {_ARRIVAL}, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events
+), split AS (SELECT *, coalesce(before >= start + {24 * HOUR}, false) AS late FROM told WHERE last >= start + {24 * HOUR})
+SELECT user_id AS key, start AS start_ms, start + {24 * HOUR} AS end_ms, max(event_id) AS value FROM split WHERE NOT late GROUP BY ALL
+UNION ALL SELECT user_id, start, start + {24 * HOUR}, event_id FROM split WHERE late
+""")
+def _(spark, folder):
+    e = _events(spark, folder).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.expr(_ARRIVAL).alias("arrival"))
+    df = readers.replay(e, F.expr("arrival div 3000"))
+    out = processors.refiring_windows(df, "user_id", 24 * HOUR, 5000, max, "event_id", "key bigint, start_ms bigint, end_ms bigint, value bigint", order=["arrival", "event_id"])
+    return drain(out, "refiring", "update")
+
+
+@query("append_dedup_expiry", "SELECT event_id, user_id FROM events")
+def _(spark, folder):
+    """Every event comes twice, the second time a batch later; keys are forgotten once the watermark is past them."""
+    e = _events(spark, folder).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    week = F.floor(x.epoch_ms("ts") / (7 * 24 * HOUR)) - 2800
+    twice = e.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    df = readers.replay(twice, week + F.col("again")).drop("again")
+    return drain(processors.deduplicate(df, ["event_id"], 14 * 24 * HOUR), "append_dedup").select("event_id", "user_id")
+
+
+def _kinds(key, row, states):
+    """One row out for each row in, from states of all five kinds."""
+    count, last, seen, top, mean = (states[n] for n in ("count", "last", "seen", "top", "mean"))
+    n = (count.get()[0] if count.exists() else 0) + 1
+    count.update((n,))
+    held = [r[0] for r in last.get()] if last.exists() else []
+    last.put([(v,) for v in [*held, row["event_id"]][-2:]])
+    seen.updateValue((row["event_type"],), (n,))
+    top.add(row["cents"])
+    mean.add(row["cents"])
+    return [(key, row["event_id"], n, held[-1] if held else -1, len(list(seen.keys())), top.get(), mean.get())], None
+
+
+@query("stream_state_kinds", """
+SELECT user_id, event_id, row_number() OVER w AS n, coalesce(lag(event_id) OVER w, -1) AS previous, sum(fresh) OVER w::bigint AS kinds, max(cents) OVER w AS top, (sum(cents) OVER w)::bigint AS total FROM (
+  SELECT *, (value::decimal(18,2) * 100)::bigint AS cents, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1)::int AS fresh FROM events
+) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""".replace("sum(fresh) OVER w::bigint", "(sum(fresh) OVER w)::bigint"))
+def _(spark, folder):
+    e = _events(spark, folder).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", (x.exact("value") * 100).cast("bigint").alias("cents"))
+    d = processors.Descriptor
+    kinds = (
+        d("count", schema="n bigint"), d("last", "list", schema="event_id bigint"), d("seen", "map", schema="n bigint", key_schema="event_type string"),
+        d("top", "reducing").with_reduce_function(max), d("mean", "aggregating").with_aggregator(lambda a, v: a + v, lambda a: a, 0),
+    )
+    df = readers.replay(e, F.floor(x.epoch_ms("ts") / (7 * 24 * HOUR)) - 2800)
+    schema = "user_id bigint, event_id bigint, n bigint, previous bigint, kinds bigint, top bigint, total bigint"
+    return drain(processors.keyed_process(df, ["user_id"], ORDER, _kinds, schema, descriptors=kinds), "state_kinds", "update")
+
+
+@query("topic_round_trip", "SELECT event_type AS key, event_id, user_id FROM events WHERE value > 20")
+def _(spark, folder):
+    """Events to a topic of the file-backed bus, from there by a stream through the fluent environment to another, and back."""
+    provider, servers = topics.register(spark), shared_path(spark, "bus")
+    env = Environment(spark, "topic_round_trip", Settings(kafka_servers=servers))
+    e = _events(spark, folder).select(F.col("event_type").alias("key"), "event_id", "user_id", "value")
+    for part in (e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")):
+        sinks.to_kafka(part, "in", servers, provider=provider)
+    read = env.from_topic("in", provider=provider).map("cast(key as string)", "key").map("from_json(cast(value as string), 'event_id bigint, user_id bigint, value double')", "body")
+    read.filter("body.value > 20").transform(lambda df: df.select("key", "body.event_id", "body.user_id")).to_topic("out", provider)
+    for query in env.execute():
+        query.awaitTermination()
+    back = readers.kafka(spark, "out", servers, stream=False, provider=provider)
+    return back.select(F.col("key").cast("string").alias("key"), F.from_json(F.col("value").cast("string"), "event_id bigint, user_id bigint").alias("b")).select("key", "b.event_id", "b.user_id")
