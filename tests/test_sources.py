@@ -10,6 +10,8 @@ def test_csv_is_all_text(spark, tmp_path):
     assert df.dtypes == [("date", "string"), ("fips", "string"), ("name", "string")]
     assert sorted(r.fips for r in df.collect()) == ["06", "10"] and df.where("name = 'a, b'").count() == 1
     assert readers.csv_file(spark, str(tmp_path / "a.csv"), limit=1).count() == 1
+    (tmp_path / "q.csv").write_text('a,b\n"say ""x""",1\n"two\nlines",2\n')
+    assert [r.a for r in readers.csv_file(spark, str(tmp_path / "q.csv"), multiline=True).collect()] == ['say "x"', "two\nlines"]
 
 
 def test_json_shapes(spark, tmp_path):

@@ -93,9 +93,20 @@ def _(spark, folder):
     return rows.key_by(_events(spark, folder), "concat(event_type, '-', user_id % 10)").select("key", "event_id", "value")
 
 
+@query("with_fields", "SELECT event_id, event_type AS key, value * 2 AS value, ts + INTERVAL '1 hour' AS ts FROM events")
+def _(spark, folder):
+    df = rows.with_timestamp(rows.with_key(rows.with_value(_events(spark, folder), "value * 2"), "event_type"), "ts + INTERVAL 1 HOUR")
+    return df.select("event_id", "key", "value", "ts")
+
+
+@query("rebalance_rows", "SELECT event_id, value FROM events")
+def _(spark, folder):
+    return rows.rebalance(_events(spark, folder), 16).select("event_id", "value")
+
+
 @query("passthrough_events", "SELECT * FROM events")
 def _(spark, folder):
-    return rows.passthrough(_events(spark, folder))
+    return examples.simple_pipeline(_events(spark, folder))
 
 
 @query("drop_on_error_map", "SELECT event_id, (user_id // (event_id % 3))::bigint AS part FROM events WHERE event_id % 3 <> 0")
@@ -445,10 +456,10 @@ def _(spark, folder):
     return out.select("operation", "result.event_id", "result.event_type", "result.amount", F.col("result._source").alias("source"), F.col("result._processed_at").rlike("^20.*T").alias("timed"))
 
 
-def _half_even(value: str) -> str:
-    """SQL that rounds the shortest decimal form of a positive double to two places, halves to even."""
-    exact = f"({value})::varchar::decimal(38,18)"
-    return f"(SELECT ((f + (r > 0.5 OR r = 0.5 AND f % 2 = 1)::int)::decimal(38,0) / 100.0)::double FROM (SELECT floor(d * 100) AS f, d * 100 - floor(d * 100) AS r FROM (SELECT {exact} AS d)))"
+def _half_even(value: str, places: int = 2) -> str:
+    """SQL that rounds the shortest decimal form of a positive double, halves to even."""
+    exact, unit = f"({value})::varchar::decimal(38,18)", 10**places
+    return f"(SELECT ((f + (r > 0.5 OR r = 0.5 AND f % 2 = 1)::int)::decimal(38,0) / {unit}.0)::double FROM (SELECT floor(d * {unit}) AS f, d * {unit} - floor(d * {unit}) AS r FROM (SELECT {exact} AS d)))"
 
 
 def _data_aggregate(function: str, sql: str):
@@ -540,6 +551,46 @@ def _(spark, folder):
     return aggregates.histogram(_events(spark, folder), "value", [10, 50, 100])
 
 
+@query("rounded", f"SELECT event_id, {_half_even('value', 1)} AS tenth, {_half_even('value / 8')} AS hundredth FROM events")
+def _(spark, folder):
+    e = _events(spark, folder)
+    return e.select("event_id", x.round_half_even(F.col("value"), 1).alias("tenth"), x.round_half_even(F.col("value") / 8, 2).alias("hundredth"))
+
+
+# -- files in and out ---------------------------------------------------------------------
+
+@query("csv_events", "SELECT event_id::varchar AS event_id, event_type, props, value::varchar AS value FROM events")
+def _(spark, folder):
+    path = shared_path(spark, "csv")
+    _events(spark, folder).select("event_id", "event_type", "props", "value").write.option("header", True).option("escape", '"').csv(path)
+    return readers.csv_file(spark, path)
+
+
+@query("csv_first_rows", "SELECT event_id::varchar AS event_id FROM events ORDER BY events.event_id LIMIT 500")
+def _(spark, folder):
+    path = shared_path(spark, "csv")
+    _events(spark, folder).select("event_id").orderBy("event_id").coalesce(1).write.option("header", True).csv(path)
+    return readers.csv_file(spark, path, limit=500)
+
+
+@query("json_events", "SELECT event_id, event_type, value FROM events")
+def _(spark, folder):
+    path = shared_path(spark, "json")
+    whole = _events(spark, folder).groupBy(F.expr("event_id div 1000").alias("part")).agg(F.collect_list(F.struct("event_id", "event_type", "value")).alias("data"))
+    whole.select("data").write.option("maxRecordsPerFile", 1).json(path)
+    return readers.json_file(spark, path).select("event_id", "event_type", "value")
+
+
+@query("collection_rows", "SELECT * FROM (VALUES (0::bigint, 'x', 1::bigint), (1, 'y', 2), (2, 'z', NULL::bigint), (3, NULL, 4)) t(seq, name, n) WHERE n IS NOT NULL")
+def _(spark, folder):
+    return readers.collection(spark, [("x", 1), ("y", 2), ("z", None), (None, 4)], "name string, n bigint").where("n is not null").select("seq", "name", "n")
+
+
+@query("stream_collection", "SELECT * FROM (VALUES (0::bigint, 'x'), (1, 'y'), (2, 'z')) t(seq, value)")
+def _(spark, folder):
+    return drain(readers.collection_stream(spark, ["x", "y", "z"], "value string", per_trigger=2).select("seq", "value"), "stream_collection")
+
+
 # -- top-k, merge, counts ---------------------------------------------------------------
 
 @query("latest_50", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -729,6 +780,20 @@ def _(spark, folder):
     return _naive(drain(out, "append_tumbling"), "window_start", "window_end")
 
 
+@query("append_monotonous_sliding", ORACLES["sliding_count_max"])
+def _(spark, folder):
+    """The table's times never go back, so its watermark needs no delay."""
+    df = times.WatermarkStrategy.monotonous().apply(_weeks(spark, folder, "event_type", "value"))
+    out = windows.aggregate(df, ["event_type"], windows.Sliding(30 * MINUTE, 10 * MINUTE), F.count("*").alias("n"), F.max("value").alias("top"))
+    return _naive(drain(out, "append_sliding"), "window_start", "window_end")
+
+
+@query("stream_without_watermarks", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(spark, folder):
+    df = times.WatermarkStrategy.no_watermarks().apply(_weeks(spark, folder, "event_type").where("event_type is not null"))
+    return drain(df.groupBy("event_type").agg(F.count("*").alias("n")), "no_watermarks", "complete")
+
+
 @query("append_session_count", ORACLES["session_count"])
 def _(spark, folder):
     df = times.WatermarkStrategy.bounded_out_of_orderness(5000).apply(_weeks(spark, folder, "user_id"))

@@ -64,10 +64,13 @@ def replay(df: DataFrame, batch: Column, end: DataFrame | None = None, rows_per_
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/batch=*")
 
 
-def csv_file(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A CSV file with a header, all columns as text. ``limit`` takes the first rows only (a preview)."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").csv(path)
-    return _first(df, limit)
+def csv_file(spark: SparkSession, path: str, limit: int | None = None, multiline: bool = False) -> DataFrame:
+    """A CSV file with a header, all columns as text; quotes within quotes are doubled. ``limit`` takes the first rows only (a preview).
+
+    ``multiline`` allows line breaks within quotes; a file is then one task's.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("escape", '"').option("multiLine", multiline)
+    return _first(reader.csv(path), limit)
 
 
 def _first(df: DataFrame, limit: int | None) -> DataFrame:
