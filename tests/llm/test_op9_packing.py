@@ -53,6 +53,11 @@ def test_query_packs_all_documents(spark, library):
     assert len(sequences) <= sum(r.length for r in rows) / 2048 * 1.02 + 1
 
 
+def test_most_sequences_come_from_fitted_patterns(spark):
+    rows = packing.op9_best_fit_packing(spark, "/root/testdata/sf0.1").select("sequence_id", "from_pattern").distinct().collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) and sum(r.from_pattern for r in rows) > 0.7 * len(rows)
+
+
 def test_random_texts_equal_the_library(library):
     coder, r = bpe.word_bpe(PATH), random.Random(6)
     alphabet = ["a", "B", "the", " ", "\n", "'s", "'T", "1", "é", "É", "é", "你", "\U0001f600", "\x85", "\xa0", " ", "!", "...", "Σ", "İ", "²", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", "</w>", "\x00", "ing"]
@@ -81,7 +86,7 @@ def test_plan_places_every_piece_once(seed):
     places = packing.Places(runs, size)
     seen = set()
     for length in np.flatnonzero(histogram):
-        s, o = places.find(np.full(histogram[length], length), np.arange(histogram[length]))
+        s, o, _ = places.find(np.full(histogram[length], length), np.arange(histogram[length]))
         for a, b in zip(s.tolist(), o.tolist()):
             for k in range(int(length)):
                 assert (a, b + k) not in seen

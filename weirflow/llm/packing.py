@@ -66,11 +66,12 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ids: bool
 
 @dataclass
 class Run:
-    """``repeat`` sequences from ``first`` on, each holding the given (length, how often) in order."""
+    """``repeat`` sequences from ``first`` on, each holding the given (length, how often) in order; ``fitted``: a pattern of the least squares."""
 
     parts: list[tuple[int, int]]
     repeat: int
     first: int
+    fitted: bool
 
 
 def patterns(histogram: np.ndarray, triples: int = TRIPLES) -> np.ndarray:
@@ -138,9 +139,9 @@ def _place(whole: np.ndarray, rows: np.ndarray, x: np.ndarray) -> list[Run]:
     left, first, runs = whole.copy(), 0, []
     size = len(left) - 1
 
-    def place(parts: list[tuple[int, int]], repeat: int) -> None:
+    def place(parts: list[tuple[int, int]], repeat: int, fitted: bool) -> None:
         nonlocal first
-        runs.append(Run(parts, repeat, first))
+        runs.append(Run(parts, repeat, first, fitted))
         first += repeat
         for length, times in parts:
             left[length] -= times * repeat
@@ -151,7 +152,7 @@ def _place(whole: np.ndarray, rows: np.ndarray, x: np.ndarray) -> list[Run]:
         lengths, times = np.unique(rows[k][rows[k] > 0], return_counts=True)
         repeat = min(int(x[k] + 1e-9), int((left[lengths] // times).min()))
         if repeat > 0:
-            place(list(zip(lengths.tolist(), times.tolist())), repeat)
+            place(list(zip(lengths.tolist(), times.tolist())), repeat, True)
     while True:  # the longest first, then always the longest that still fits
         present = np.flatnonzero(left).tolist()
         if not present:
@@ -164,7 +165,7 @@ def _place(whole: np.ndarray, rows: np.ndarray, x: np.ndarray) -> list[Run]:
                 room -= times * length
             if not room:
                 break
-        place(parts, min(int(left[length]) // times for length, times in parts))
+        place(parts, min(int(left[length]) // times for length, times in parts), False)
 
 
 class Places:
@@ -172,28 +173,29 @@ class Places:
 
     def __init__(self, runs: list[Run], size: int):
         used = np.zeros(size + 1, np.int64)
-        cells: list[list[tuple[int, int, int, int]]] = [[] for _ in range(size + 1)]
+        cells: list[list[tuple[int, int, int, int, bool]]] = [[] for _ in range(size + 1)]
         for run in runs:
             offset = 0
             for length, times in run.parts:
-                cells[length].append((int(used[length]), times, run.first, offset))
+                cells[length].append((int(used[length]), times, run.first, offset, run.fitted))
                 used[length] += times * run.repeat
                 offset += times * length
         self.bounds = np.concatenate([[0], np.cumsum([len(c) for c in cells])])
-        flat = np.array([x for c in cells for x in c], np.int64).reshape(-1, 4)
-        self.rank, self.times, self.first, self.offset = flat.T.copy()
+        flat = np.array([x for c in cells for x in c], np.int64).reshape(-1, 5)
+        self.rank, self.times, self.first, self.offset, self.fitted = flat.T.copy()
         # One sorted key for all lengths, so that a single search serves a batch.
         self.wide = int(used.max()) + 1
         self.key = np.repeat(np.arange(size + 1), np.diff(self.bounds)) * self.wide + self.rank
 
-    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence, offset, whether the sequence is of a fitted pattern) of pieces."""
         k = np.searchsorted(self.key, length * self.wide + rank, side="right") - 1
         within = rank - self.rank[k]
-        return self.first[k] + within // self.times[k], self.offset[k] + within % self.times[k] * length
+        return self.first[k] + within // self.times[k], self.offset[k] + within % self.times[k] * length, self.fitted[k] > 0
 
 
 def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, length and any other columns of ``PIECES``).
+    """Add ``sequence_id``, ``offset`` and ``from_pattern`` (fitted, not of the residuals) to pieces (``PIECES``).
 
     Only a histogram of at most ``size`` counts comes to the driver. Offsets in a
     sequence are gapless from 0; no piece is cut, repeated or left out, whatever ids
@@ -210,12 +212,11 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
 
     def make():
         def work(doc, piece, start, length, crc, rank):
-            sequence, offset = shared.value.find(length.to_numpy(), rank.to_numpy())
-            return doc, piece, start, length, crc, sequence, offset
+            return doc, piece, start, length, crc, *shared.value.find(length.to_numpy(), rank.to_numpy())
 
         return work
 
-    return map_batches(found, f"{PIECES}, sequence_id long, offset long", make)
+    return map_batches(found, f"{PIECES}, sequence_id long, offset long, from_pattern boolean", make)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
