@@ -262,7 +262,7 @@ def test_watermarks_as_data(spark):
 
 def test_generated_watermarks(spark):
     class Even(times.WatermarkGenerator):
-        def on_event(self, ms):
+        def see(self, ms):
             return ms if ms // 1000 % 2 == 0 else None
 
     df = frame(spark, [("a", n, at(s)) for n, s in enumerate([3, 10, 7, 4, 12])] + [("b", 9, at(5))], "k string, seq int, ts timestamp_ntz")

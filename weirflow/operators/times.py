@@ -72,10 +72,10 @@ def late(df: DataFrame, arrival: list[str], delay_ms: int, ts: str = "ts", keys:
 class WatermarkGenerator:
     """A clock of one's own in Python, for ``generated``: one for each key, told of every row in order."""
 
-    def on_event(self, ms: int) -> int | None:
+    def see(self, ms: int) -> int | None:
         """A row of this time; the new watermark, if there is one."""
 
-    def on_periodic_emit(self) -> int | None:
+    def ask(self) -> int | None:
         """Asked after every so many rows; the new watermark, if there is one."""
 
 
@@ -83,10 +83,10 @@ class BoundedOutOfOrderness(WatermarkGenerator):
     def __init__(self, delay_ms: int = 5000):
         self.delay_ms, self.top = delay_ms, None
 
-    def on_event(self, ms: int) -> None:
+    def see(self, ms: int) -> None:
         self.top = ms if self.top is None else max(self.top, ms)
 
-    def on_periodic_emit(self) -> int | None:
+    def ask(self) -> int | None:
         return None if self.top is None else self.top - self.delay_ms
 
 
@@ -100,9 +100,9 @@ def generated(df: DataFrame, arrival: list[str], generator: Callable[[], Waterma
 
     def step(key, row, state):
         clock, n, mark = state or (generator(), 0, None)
-        told = [clock.on_event(row["_ms"])]
+        told = [clock.see(row["_ms"])]
         if (n + 1) % every == 0:
-            told.append(clock.on_periodic_emit())
+            told.append(clock.ask())
         mark = max((m for m in (mark, *told) if m is not None), default=None)
         return [(*(row[c] for c in (*keys, *arrival)), mark)], (clock, n + 1, mark)
 
