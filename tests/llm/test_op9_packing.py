@@ -118,6 +118,11 @@ def test_special_tokens_are_read_as_the_library_reads_them(spark, library):
         ids = library.encode(text, add_special_tokens=False).ids
         assert coder.encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
     assert coder.encode("a <|endoftext|> b") == struct.pack("<3I", 320, 49407, 321)
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    for text in texts:
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert bpe.word_bpe(PATH, False).encode(text) == struct.pack(f"<{len(ids)}I", *ids), text
 
 
 def test_equal_lengths_and_null_ids_are_spread(spark, monkeypatch):

@@ -216,15 +216,16 @@ class WordBpe:
     encoded by itself and memoised: plain ones are cut into pieces here and go to the
     library's model; runs outside plain Latin letters, where normalisation may depend
     on more, go through the whole library. The strings of special tokens are found
-    first, before anything is normalised.
+    first, before anything is normalised; if not ``special``, they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         with open(path, encoding="utf-8") as f:
             added = json.load(f)["added_tokens"]
-        self.special = {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        self.special = {t["content"]: struct.pack("<I", t["id"]) for t in added if special}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = not special
         self.tokens, self.stand_ins = self.library.model.tokenize, _byte_characters()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.odd = regex.compile(r"[^\x09-\x0d\x20-\x7e\xa1-ɏ]").search
@@ -261,5 +262,5 @@ def byte_bpe(path: str) -> ByteBpe:
 
 
 @functools.lru_cache(maxsize=4)
-def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+def word_bpe(path: str, special: bool = True) -> WordBpe:
+    return WordBpe(path, special)

@@ -32,12 +32,12 @@ SHARES = (1.0, 0.75, 0.5, 0.25, 0.1)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ids: bool = False, special: bool = True) -> DataFrame:
     """Tokenise whole texts, end each with id 0 and cut those longer than ``size``.
 
     One row per piece: ``PIECES`` and, if asked, ``ids`` (little-endian unsigned
     32-bit). The strings of special tokens in a text are read as those tokens, as
-    the library does. A null or empty text gives one piece of length 1. Repeated
+    the library does, or as ordinary text if not ``special``. A null or empty text gives one piece of length 1. Repeated
     rows and null ids give pieces like any other; other columns are left out,
     whatever their names.
     """
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, ids: bool
     def make():
         import pyarrow as pa
 
-        coder = bpe.word_bpe(path)
+        coder = bpe.word_bpe(path, special)
         schema = arrow_schema(PIECES + (", ids binary" if ids else ""))
 
         def work(doc_ids, texts):
