@@ -343,3 +343,26 @@ def test_replay_keeps_batches_apart(spark):
     query.processAllAvailable()
     query.stop()
     assert seen == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, *([99] if seen[2][-1] == 99 else [])], *([[99]] if len(seen) == 4 else [])]
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_native_running_over_batches(spark, folder, keys):
+    from weirflow.streaming import native
+
+    path = f"{folder}/in"
+    batches = [[("a", 3, 5), ("b", 2, 1), ("a", 1, None)], [("a", 4, 7), (None, 5, 2)], [("b", 6, 3), (None, 7, None), ("a", 8, 1)]]
+    for n, rows in enumerate(batches):
+        write(spark, path, n, rows)
+    functions = {"total": ("sum", F.col("v")), "mean": ("avg", F.col("v")), "n": ("count", F.lit(1)), "low": ("min", F.col("v")), "top": ("max", F.col("v"))}
+    for block in (None, F.expr("second(ts) div 2")):
+        out = native.running(stream(spark, path), keys, ["ts"], functions, block=block)
+        got = {int((r.ts - START).total_seconds()): (r.total, r.mean, r.n, r.low, r.top) for r in out.collect()}
+        state = {}
+        for rows in batches:
+            for k, s, v in sorted(rows, key=lambda r: r[1]):
+                held = state.setdefault(k if keys else 0, [])
+                held.append(v)
+                known = [x for x in held if x is not None]
+                want = (sum(known), sum(known) / len(held), len(held), min(known), max(known)) if known else (None, None, len(held), None, None)
+                assert got[s] == want
+        assert len(got) == 8

@@ -12,7 +12,7 @@ from weirflow.functions.expressions import epoch_ms, free, histogram_bucket, num
 FUNCTIONS = ("sum", "count", "avg", "min", "max")
 
 
-def _check(name: str) -> str:
+def check(name: str) -> str:
     if name not in FUNCTIONS:
         raise ValueError(f"unknown aggregate {name!r}; one of {', '.join(FUNCTIONS)}")
     return name
@@ -63,11 +63,11 @@ def running(df: DataFrame, keys: list[str], order: list[str], functions: dict[st
     run within blocks. With ``block`` None each key is one task's.
     """
     for name, (function, _) in functions.items():
-        _check(function)
+        check(function)
     block = _block(df, order, block)
     if block is None:
         over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *(_whole(f, _parts(f, v, over)).alias(n) for n, (f, v) in functions.items()))
+        return df.select("*", *(whole(f, _parts(f, v, over)).alias(n) for n, (f, v) in functions.items()))
     names = {(n, p): (free(f"_{n}_{p}", *df.columns), free(f"_in_{n}_{p}", *df.columns)) for n, (f, v) in functions.items() for p in _partial(f, v)}
     own = free("_block", *df.columns)
     rows = df.withColumn(own, block)
@@ -75,12 +75,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], functions: dict[st
     sums = rows.groupBy(*at).agg(*(c.alias(names[n, p][0]) for n, (f, v) in functions.items() for p, c in _partial(f, v).items()))
     before = Window.partitionBy(*keys).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
     keyed = {c: free(f"_k_{c}", *rows.columns) for c in at}
-    carried = sums.select(*(F.col(c).alias(keyed[c]) for c in at), *(_combine(p)(out).over(before).alias(out) for (n, p), (out, _) in names.items()))
+    carried = sums.select(*(F.col(c).alias(keyed[c]) for c in at), *(combine(p)(out).over(before).alias(out) for (n, p), (out, _) in names.items()))
     over = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inner = rows.select("*", *(c.over(over).alias(names[n, p][1]) for n, (f, v) in functions.items() for p, c in _partial(f, v).items()))
     both = inner.join(carried, [F.col(c).eqNullSafe(F.col(keyed[c])) for c in at])
-    joined = {n: {p: _join(p, F.col(names[n, p][1]), F.col(names[n, p][0])) for p in _partial(f, v)} for n, (f, v) in functions.items()}
-    return both.select(*df.columns, *(_whole(f, joined[n]).alias(n) for n, (f, _) in functions.items()))
+    joined = {n: {p: join_parts(p, F.col(names[n, p][1]), F.col(names[n, p][0])) for p in _partial(f, v)} for n, (f, v) in functions.items()}
+    return both.select(*df.columns, *(whole(f, joined[n]).alias(n) for n, (f, _) in functions.items()))
 
 
 def _partial(function: str, value: Column) -> dict[str, Column]:
@@ -93,7 +93,17 @@ def _partial(function: str, value: Column) -> dict[str, Column]:
     return {function: getattr(F, function)(value)}
 
 
-def _combine(part: str) -> Callable:
+def parts_of(functions: dict[str, tuple[str, Column]]) -> list[tuple[str, str]]:
+    """(name, part) of all that running aggregates are made of."""
+    return [(n, p) for n, (f, v) in functions.items() for p in _partial(f, v)]
+
+
+def part_column(part: str, value: Column) -> Column:
+    return _partial(part, value)[part]
+
+
+def combine(part: str) -> Callable:
+    """The aggregate that puts partial ones together."""
     return F.sum if part in ("sum", "count") else getattr(F, part)
 
 
@@ -101,13 +111,15 @@ def _parts(function: str, value: Column, over) -> dict[str, Column]:
     return {p: c.over(over) for p, c in _partial(function, value).items()}
 
 
-def _join(part: str, inner: Column, carried: Column) -> Column:
+def join_parts(part: str, inner: Column, carried: Column) -> Column:
+    """A partial aggregate after what was there before; null: nothing."""
     if part in ("sum", "count"):
         return F.when(inner.isNull(), carried).when(carried.isNull(), inner).otherwise(inner + carried)
     return F.greatest(inner, carried) if part == "max" else F.least(inner, carried)
 
 
-def _whole(function: str, parts: dict[str, Column]) -> Column:
+def whole(function: str, parts: dict[str, Column]) -> Column:
+    """The aggregate from its parts."""
     if function == "avg":
         return parts["sum"].cast("double") / parts["count"]
     return parts[function]

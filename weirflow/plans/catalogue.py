@@ -14,7 +14,7 @@ from weirflow.plans import examples
 from weirflow.plans.environment import Environment
 from weirflow.session import Settings, prepare, shared_path
 from weirflow.sources import generators, readers, sinks, topics
-from weirflow.streaming import processors
+from weirflow.streaming import native, processors
 from weirflow.streaming.jobs import drain
 
 HOUR, MINUTE = 3_600_000, 60_000
@@ -825,6 +825,19 @@ def _(spark, folder):
     return drain(out, "refiring", "update")
 
 
+def _native_running(function: str, value):
+    @query(f"stream_native_running_{function}", ORACLES[f"running_{function}"])
+    def _(spark, folder):
+        e = _events(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+        df = readers.replay(e, F.floor(x.epoch_ms("ts") / (7 * 24 * HOUR)) - 2800)
+        out = native.running(df, ["event_type"], ORDER, {"result": (function, value())}, f"native_{function}", _day())
+        return out.select("event_id", F.col("result").cast("double").alias("result"))
+
+
+_native_running("max", lambda: F.col("value"))
+_native_running("avg", lambda: x.exact("value"))
+
+
 @query("append_dedup_expiry", "SELECT event_id, user_id FROM events")
 def _(spark, folder):
     """Every event comes twice, the second time a batch later; keys are forgotten once the watermark is past them."""
