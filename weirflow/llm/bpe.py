@@ -31,6 +31,8 @@ from tokenizers import Tokenizer
 MEMO_ENTRIES = 300_000
 #: Longest piece that is kept in a memo.
 MEMO_CHARS = 64
+#: Plain runs: letters of Latin-1, then marks of ASCII but the apostrophe. Patterns cut them between the two.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
 
 
 class Memo(dict):
@@ -168,9 +170,10 @@ class ByteBpe:
         self.bytes = {v: k for k, v in ranks.items()}
         self.merges = Merges(self.ranks)
         self.split = regex.compile(pattern).findall
-        self.pieces = Memo(self._piece)
-        self.chunks = Memo(self._chunk)
+        self.pieces = Memo(self._piece, MEMO_ENTRIES // 3)
+        self.chunks = Memo(self._chunk, 2 * MEMO_ENTRIES)
         self.lone = regex.compile(r" (?=\s|\Z)|[\x1c-\x1f]").search
+        self.plain = regex.compile(f"( ?[{_LETTERS}]+)([{_MARKS}]*)").fullmatch
         self.own = pattern == public_tokenizers.PATTERN
 
     def _piece(self, piece: str) -> bytes:
@@ -179,12 +182,10 @@ class ByteBpe:
         return _packed(self.merges.encode(symbols) if whole is None else [whole])
 
     def _chunk(self, chunk: str) -> bytes:
-        word = chunk[1:]
-        if word.isascii():
-            if word.isalpha() and chunk[0] == " ":
-                return self._piece(chunk)
-            if word[:-1].isalpha() and word[-1] in ".," and chunk[0] == " ":
-                return self.pieces[chunk[:-1]] + self.pieces[word[-1]]
+        plain = self.plain(chunk)
+        if plain:
+            word, marks = plain.groups()
+            return self.chunks[word] + self.pieces[marks] if marks else self._piece(word)
         return b"".join(map(self.pieces.__getitem__, self.split(chunk)))
 
     def encode(self, text: str) -> bytes:
@@ -228,6 +229,7 @@ class WordBpe:
         self.library.encode_special_tokens = not special
         self.tokens, self.stand_ins = self.library.model.tokenize, _byte_characters()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.plain = regex.compile(f"([{_LETTERS}]+)([{_MARKS}]*)").fullmatch
         self.odd = regex.compile(r"[^\x09-\x0d\x20-\x7e\xa1-ɏ]").search
         self.pieces = Memo(self._piece, MEMO_ENTRIES // 3)
         self.chunks = Memo(self._chunk, 2 * MEMO_ENTRIES)
@@ -236,11 +238,10 @@ class WordBpe:
         return _packed([t.id for t in self.tokens(piece.encode().decode("latin-1").translate(self.stand_ins))])
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            if chunk.isalpha():
-                return _packed([t.id for t in self.tokens(chunk.lower())])
-            if chunk[:-1].isalpha() and chunk[-1] in ".,":
-                return _packed([t.id for t in self.tokens(chunk[:-1].lower())]) + self.pieces[chunk[-1]]
+        plain = self.plain(chunk)
+        if plain:
+            word, marks = plain.groups()
+            return self.chunks[word] + self.pieces[marks] if marks else self._piece(word.lower())
         if self.odd(chunk):
             return _packed(self.library.encode(chunk, add_special_tokens=False).ids)
         return b"".join(map(self.pieces.__getitem__, self.split(chunk.lower())))
