@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -366,3 +367,106 @@ def test_native_running_over_batches(spark, folder, keys):
                 want = (sum(known), sum(known) / len(held), len(held), min(known), max(known)) if known else (None, None, len(held), None, None)
                 assert got[s] == want
         assert len(got) == 8
+
+
+class Opened:
+    """A process function that only works once opened."""
+
+    def __init__(self):
+        self.base = None
+
+    def open(self):
+        self.base = 100
+
+    def close(self):
+        self.base = None
+
+    def __call__(self, key, row, n):
+        n = (n or 0) + 1
+        return [(key, self.base + n)], n
+
+
+def test_functions_are_opened_and_state_expires(spark, folder):
+    from weirflow.operators import state
+
+    path = f"{folder}/in"
+    write(spark, path, 0, [("a", 1, 1), ("a", 2, 1), ("b", 3, 1)])
+    out = drain(processors.keyed_process(stream(spark, path), ["k"], ["ts"], Opened(), "k string, n bigint"), "opened", "update")
+    assert sorted(map(tuple, out.collect())) == [("a", 101), ("a", 102), ("b", 101)]
+    assert sorted(map(tuple, state.keyed_process(stream_table(spark, path), ["k"], ["ts"], Opened(), "k string, n bigint").collect())) == [("a", 101), ("a", 102), ("b", 101)]
+    made = []
+    df = processors.keyed_process(stream(spark, path), ["k"], ["ts"], Opened(), "k string, n bigint", ttl_ms=6000)
+    query = sinks.each_batch(df, lambda rows, _: made.extend(r.n for r in rows.where("k = 'a'").collect()), mode="update")
+    try:
+        for number, wait in ((1, 0), (2, 10)):
+            until(lambda: len(made) > number)
+            time.sleep(wait)
+            write(spark, path, number, [("a", 9, 1)])
+        until(lambda: len(made) > 3)
+    finally:
+        query.stop()
+    assert made == [101, 102, 103, 101]  # forgotten while nothing came
+
+
+def until(done, seconds=40):
+    end = time.time() + seconds
+    while not done() and time.time() < end:
+        time.sleep(0.1)
+
+
+def stream_table(spark, path):
+    return spark.read.schema("k string, ts timestamp, v int").parquet(f"{path}/batch=*")
+
+
+def test_windows_keep_their_state_in_either_store(spark, folder):
+    from weirflow.session import ROCKSDB
+
+    path = f"{folder}/in"
+    for n, rows in enumerate([[("a", 1, 1)], [("a", 2, 1)], [("a", 60, 1)], [("a", 61, 1)]]):
+        write(spark, path, n, rows)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    try:
+        for store in (ROCKSDB, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
+            spark.conf.set(name, store)
+            df = WatermarkStrategy.bounded_out_of_orderness(5000).apply(stream(spark, path))
+            out = drain(windows.aggregate(df, ["k"], windows.Tumbling(10_000), F.count("*").alias("n")), "store")
+            assert [r.n for r in out.collect()] == [2]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_join_goes_on_after_a_restart(spark, folder):
+    """Both sides' rows are kept in the checkpoint; the join's clock is the slower side's."""
+    from weirflow.operators import joins
+
+    left, right = f"{folder}/left", f"{folder}/right"
+    write(spark, left, 0, [("a", 10, 1), ("b", 10, 2)])
+    write(spark, right, 0, [("c", 1, 3)])
+
+    def run():
+        side = lambda p: WatermarkStrategy.bounded_out_of_orderness(5000).apply(stream(spark, p))
+        pairs = joins.interval_join(side(left), side(right), "k", 20_000).select("l_k", "l_v", "r_v")
+        query = pairs.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    write(spark, right, 1, [("a", 15, 4), ("b", 50, 5)])
+    write(spark, left, 1, [("c", 2000, 6)])
+    run()
+    write(spark, right, 2, [("b", 12, 7)])  # the left side is far ahead, the right is not: not late
+    run()
+    assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"
+    got = sorted(map(tuple, spark.read.parquet(f"{folder}/out").collect()))
+    assert got[0] == ("a", 1, 4) and len(got) <= 2
+
+
+def test_a_trigger_reads_no_more_than_it_may(spark, folder):
+    df = spark.range(4).withColumn("ts", F.current_timestamp())
+    for n in range(4):
+        df.where(F.col("id") == n).coalesce(1).write.mode("append").parquet(f"{folder}/t.parquet")
+    seen = []
+    query = sinks.each_batch(readers.table_stream(spark, folder, "t", files_per_trigger=1), lambda rows, _: seen.append(rows.count()))
+    query.processAllAvailable()
+    query.stop()
+    assert seen == [1, 1, 1, 1]

@@ -24,7 +24,8 @@ def keyed_process(df: DataFrame, keys: list[str], order: list[str], function: Ca
     ``finish(key, state) -> rows`` is called after a key's last row. Rows that make a
     function raise are left out, leave the state alone and are counted by ``failed``
     (an accumulator). A key's rows are streamed in batches, never held together, so
-    a key of any size takes no more memory than its state.
+    a key of any size takes no more memory than its state. A function object may have
+    ``open()`` and ``close()``, called around each task.
     """
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     columns = df.columns
@@ -33,6 +34,8 @@ def keyed_process(df: DataFrame, keys: list[str], order: list[str], function: Ca
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, out = object(), None, []
         started = False
+        if hasattr(function, "open"):
+            function.open()
 
         def attempt(call):
             nonlocal state
@@ -63,6 +66,8 @@ def keyed_process(df: DataFrame, keys: list[str], order: list[str], function: Ca
                     yield pd.DataFrame(out, columns=names)
                     out.clear()
         end()
+        if hasattr(function, "close"):
+            function.close()
         yield pd.DataFrame(out, columns=names)
 
     dealt = df.repartition(*keys) if keys else df.coalesce(1)

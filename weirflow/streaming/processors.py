@@ -119,6 +119,7 @@ class KeyedProcess(StatefulProcessor):
 
     With ``descriptors`` the state is a dict of states by name, each of its own kind,
     kept by Spark's store, and what the function returns as new state does not matter.
+    A function object may have ``open()`` and ``close()``, called around its use.
     """
 
     def __init__(self, function: Callable, order: list[str] | None, names: list[str], ttl_ms: int | None = None, descriptors: tuple[Descriptor, ...] = (), failed=None):
@@ -127,6 +128,8 @@ class KeyedProcess(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.states = {d.name: d.create(handle) for d in self.descriptors}
         self.cell = None if self.states else handle.getValueState("state", "value binary", self.ttl_ms)
+        if hasattr(self.function, "open"):
+            self.function.open()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.states or (pickle.loads(self.cell.get()[0]) if self.cell.exists() else None)
@@ -151,7 +154,8 @@ class KeyedProcess(StatefulProcessor):
         yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
-        pass
+        if hasattr(self.function, "close"):
+            self.function.close()
 
 
 def _names(schema: str) -> list[str]:
@@ -163,7 +167,9 @@ def keyed_process(df: DataFrame, keys: list[str], order: list[str] | None, funct
 
     A key's rows of a micro-batch are taken in ``order``, for which they are held
     together (limit what a trigger reads); without an order they are taken as they
-    come, a chunk at a time.
+    come, a chunk at a time. With a time to live (``ttl_ms``) Spark goes on making
+    micro-batches while nothing comes, so such a stream never ends by itself: do not
+    run it with ``availableNow`` or wait for all that is available.
     """
     _ready(df.sparkSession, function)
     time = "ProcessingTime" if ttl_ms or any(d.ttl_ms for d in descriptors) else "None"
