@@ -298,6 +298,9 @@ def test_data_files(spark):
     assert run == {5.0, 2.5, 8.33}
     counted = datafiles.process(df, "aggregate", order=["id"], function="median", value="v", strict=False)
     assert {(r.function, r.result, r.record.id) for r in counted.collect()} == {("median", 1.0, "1"), ("median", 2.0, "2"), ("median", 3.0, "3")}
+    clash = frame(spark, [("1", "g", "2.5", "x")], "id string, group string, result string, record string")
+    (row,) = datafiles.process(clash, "aggregate", order=["id"], group="group", function="sum", value="result").collect()
+    assert (row["group"], row.result, row.record.record, row.record.result) == ("g", 2.5, "x", "2.5")
     assert datafiles.process(df, "unknown").first().operation == "passthrough"
 
 

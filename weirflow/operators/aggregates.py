@@ -55,7 +55,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], functions: dict[st
     """Add one running aggregate per name: {name: (function, value)}, a row each row, in the given order.
 
     ``count`` counts every row, ``avg`` is the sum over that count. Rows of a key
-    with the same order take any order among them; nulls of the order come first.
+    with the same order take any order among them; nulls of the order come first. A
+    column that has a name of the aggregates' is replaced.
 
     A key's rows are not all brought to one task: each block of a key (``block``, a
     coarser value of the order, such as the day; chosen by ``blocks`` unless given)
@@ -65,9 +66,10 @@ def running(df: DataFrame, keys: list[str], order: list[str], functions: dict[st
     for name, (function, _) in functions.items():
         check(function)
     block = _block(df, order, block)
+    columns = [c for c in df.columns if c not in functions]
     if block is None:
         over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *(whole(f, _parts(f, v, over)).alias(n) for n, (f, v) in functions.items()))
+        return df.select(*columns, *(whole(f, _parts(f, v, over)).alias(n) for n, (f, v) in functions.items()))
     names = {(n, p): (free(f"_{n}_{p}", *df.columns), free(f"_in_{n}_{p}", *df.columns)) for n, (f, v) in functions.items() for p in _partial(f, v)}
     own = free("_block", *df.columns)
     rows = df.withColumn(own, block)
@@ -80,7 +82,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], functions: dict[st
     inner = rows.select("*", *(c.over(over).alias(names[n, p][1]) for n, (f, v) in functions.items() for p, c in _partial(f, v).items()))
     both = inner.join(carried, [F.col(c).eqNullSafe(F.col(keyed[c])) for c in at])
     joined = {n: {p: join_parts(p, F.col(names[n, p][1]), F.col(names[n, p][0])) for p in _partial(f, v)} for n, (f, v) in functions.items()}
-    return both.select(*df.columns, *(whole(f, joined[n]).alias(n) for n, (f, _) in functions.items()))
+    return both.select(*columns, *(whole(f, joined[n]).alias(n) for n, (f, _) in functions.items()))
 
 
 def _partial(function: str, value: Column) -> dict[str, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.functions.expressions import now_iso, number
+from weirflow.functions.expressions import free, now_iso, number
 from weirflow.operators.aggregates import AUTO, grouped_running
 
 OPERATORS = ("equals", "contains", "greater_than", "less_than")
@@ -63,8 +63,9 @@ def aggregated(df: DataFrame, group: str | None, function: str, value: str | Non
     ``scale`` see ``grouped_running``. ``record`` is the row.
     """
     known = function if strict or function in ("count", "sum", "avg") else "count"
-    rows = grouped_running(df.select("*", _record(df)), group, known, value, order, block, scale)
-    return rows.select(F.lit("aggregate").alias("operation"), "group", F.lit(function).alias("function"), F.bround("result", 2).alias("result"), "record")
+    whole = free("_whole", *df.columns)
+    rows = grouped_running(df.withColumn(whole, _record(df)), group, known, value, order, block, scale)
+    return rows.select(F.lit("aggregate").alias("operation"), "group", F.lit(function).alias("function"), F.bround("result", 2).alias("result"), F.col(whole).alias("record"))
 
 
 def anomalies(df: DataFrame, column: str, threshold: str = "100") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import json
 import time
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -19,6 +20,22 @@ LATENCY_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0
 CHECKPOINT_BOUNDS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
 
 
+@contextmanager
+def fitted(spark: SparkSession):
+    """Shuffles, and so the state of streams that are started here, in no more partitions than the cluster has cores.
+
+    Every partition of state costs each micro-batch, and their number is the query's
+    for good.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), max(8, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all that is there and return its rows, written to the shared folder.
 
@@ -29,10 +46,11 @@ def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None
     checkpoint = checkpoint or shared_path(spark, f"{name}-state")
     out = shared_path(spark, name)
     if mode == "append":
-        query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        writer = df.writeStream.format("parquet").option("path", out)
     else:
-        write = lambda rows, _: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
-        query = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        writer = df.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(out))
+    with fitted(spark):
+        query = writer.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 

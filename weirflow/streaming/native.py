@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from weirflow.functions.expressions import free
 from weirflow.operators import aggregates
 from weirflow.session import shared_path
+from weirflow.streaming.jobs import fitted
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], functions: dict[str, tuple[str, Column]], name: str = "running", block: Column | str | None = aggregates.AUTO, trigger: dict | None = None) -> DataFrame:
@@ -52,6 +53,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], functions: dict[st
         path = session._jvm.org.apache.hadoop.fs.Path(f"{held}/batch={number - 2}")
         path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
-    query = df.writeStream.foreachBatch(step).option("checkpointLocation", shared_path(spark, f"{name}-log")).trigger(**(trigger or {"availableNow": True})).start()
+    with fitted(spark):
+        query = df.writeStream.foreachBatch(step).option("checkpointLocation", shared_path(spark, f"{name}-log")).trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
     return spark.read.parquet(out).drop("batch")
