@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import arrow_schema, cut, map_arrow, map_batches, read, shared_path
+from weirflow.llm.common import arrow_schema, cut, map_arrow, read, shared_path
 
 #: Fixed by the archive format: magic number of the frame that holds the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
