@@ -144,6 +144,99 @@ def test_states_of_several_kinds_in_a_real_store(spark, folder):
     assert failed.value == 1
 
 
+def _kinds_of_state():
+    d = processors.Descriptor
+    kinds = (
+        d("n", schema="n bigint"), d("last", "list", schema="v bigint"), d("seen", "map", schema="n bigint", key_schema="v bigint"),
+        d("top", "reducing").with_reduce_function(max), d("sum", "aggregating").with_aggregator(lambda s, v: s + v, lambda s: s, 0),
+    )
+
+    def step(key, row, states):
+        if row["v"] < 0:
+            raise ValueError
+        n = (states["n"].get()[0] if states["n"].exists() else 0) + 1
+        states["n"].update((n,))
+        states["last"].put([*states["last"].get(), (row["v"],)][-2:])
+        states["seen"].updateValue((row["v"] % 3,), (n,))
+        if n % 4 == 0 and states["seen"].containsKey((0,)):
+            states["seen"].removeKey((0,))
+        states["top"].add(row["v"])
+        states["sum"].add(row["v"])
+        return [(key, n, str([v for (v,) in states["last"].get()]), str(sorted(states["seen"].iterator())), states["top"].get(), states["sum"].get())], None
+
+    return kinds, step, "k string, n bigint, last string, seen string, top bigint, total bigint"
+
+
+def test_a_row_costs_no_call_of_the_store(spark):
+    """All of a key's rows of a micro-batch read each state once and write it once; packed states are one."""
+    import pandas as pd
+
+    calls = []
+
+    class Cell:
+        def __init__(self):
+            self.held = {}
+
+        def __getattr__(self, name):
+            def call(*values):
+                calls.append(name)
+                if name in ("updateValue", "update", "put"):
+                    self.held[values[0] if len(values) == 2 else None] = values[-1]
+                elif name == "removeKey":
+                    self.held.pop(values[0], None)
+                return {"getValue": lambda: self.held.get(values[0]), "get": lambda: self.held.get(None, [] if self.list else None), "iterator": lambda: iter(list(self.held.items()))}.get(name, lambda: None)()
+            return call
+
+    class Handle:
+        def _make(self, *_, many=False):
+            cell = Cell()
+            cell.list = many
+            return cell
+
+        getValueState = getMapState = _make
+
+        def getListState(self, *_):
+            return self._make(many=True)
+
+    kinds, step, schema = _kinds_of_state()
+    kinds, names, told = [d.parse() for d in kinds], [c.split(" ")[0] for c in schema.split(", ")], []
+    frame = pd.DataFrame({"k": "a", "v": range(200), "ownbucket": 0, "ownkey0": "a", "ownnull0": False})
+    for processor, most in ((processors.KeyedProcess(step, ["v"], names, descriptors=kinds), 30), (processors.PackedProcess(step, "ownbucket", ["ownkey0", "ownnull0"], ["v"], names, kinds), 4)):
+        processor.init(Handle())
+        calls.clear()
+        told.append([row for _ in range(2) for out in processor.handleInputRows(("a",), iter([frame]), None) for row in out.itertuples(index=False, name=None)])
+        assert len(calls) <= most
+    assert told[0] == told[1] and told[0][-1][1] == 400
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_packed_states_are_those_of_spark(spark, folder, packed):
+    """Null and other keys, rows that fail and several micro-batches, against a fold in Python."""
+    path, batches = f"{folder}/in", [[("a", 1, 3), (None, 2, 9), ("a", 3, 4), ("", 4, 1)], [("a", 5, 6), (None, 6, -1), ("b", 7, 1), (None, 8, 5)], [("a", 9, 7), ("a", 10, 2)]]
+    for n, rows in enumerate(batches):
+        write(spark, path, n, rows)
+    kinds, step, schema = _kinds_of_state()
+    out = drain(processors.keyed_process(stream(spark, path), ["k"], ["ts"], step, schema, descriptors=kinds, packed=packed), "packed", "update")
+    want, held = [], {}
+    for k, _, v in (r for rows in batches for r in rows if r[2] >= 0):
+        n, values, seen = held.get(k, (0, [], {}))
+        n, values, seen = n + 1, [*values, v], {**seen, v % 3: n + 1}
+        if n % 4 == 0:
+            seen.pop(0, None)
+        held[k] = n, values, seen
+        want.append((k, n, str(values[-2:]), str(sorted(((a,), (b,)) for a, b in seen.items())), max(values), sum(values)))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+def test_whole_number_keys_stay_whole_beside_null_ones(spark, folder):
+    path = f"{folder}/in"
+    write(spark, path, 0, [("a", 1, 1), ("b", 2, None), ("c", 3, 0)])
+    count = processors.Descriptor("n", schema="n bigint")
+    df = stream(spark, path).withColumn("v", F.col("v") + F.lit(2**60))
+    out = drain(processors.keyed_process(df, ["v"], ["ts"], lambda key, row, states: ([(repr(key), row["k"])], None), "key string, k string", descriptors=(count,)), "whole", "update")
+    assert sorted(map(tuple, out.collect())) == [(str(2**60), "c"), (str(2**60 + 1), "a"), ("None", "b")]
+
+
 def test_rows_can_be_taken_as_they_come(spark, folder):
     """Without an order no key's micro-batch is held; what does not depend on order is the same."""
     path = f"{folder}/in"
