@@ -151,3 +151,13 @@ def test_settings():
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_batteries_are_rounded_as_in_the_sql(spark):
+    """Differences that lie on or next to a half, and below zero, where nothing rounds to -0.0."""
+    import duckdb
+
+    steps = 30_000
+    made = generators.sensors(spark, steps, count=1).select("timestamp", "battery_level").orderBy("timestamp").collect()
+    want = duckdb.sql(f"SELECT round(100 - step / 10000::double * 100, 1) FROM range(1, {steps + 1}) t(step) ORDER BY step").fetchall()
+    assert [repr(r.battery_level) for r in made] == [repr(w) for (w,) in want]

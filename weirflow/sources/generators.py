@@ -49,6 +49,17 @@ def gauss(name: str, number: Column, seed: int) -> Column:
     return total - 6.0
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounding of the double times a power of ten, halves away from zero, as ``round`` does in the SQL of the catalogue.
+
+    Spark's ``round`` goes by the shortest decimal text: a difference of
+    61.449999999999996 goes down to 61.4, where ten times it is 614.5 and goes up.
+    """
+    scaled = F.abs(value) * F.lit(10.0**digits)
+    whole = F.floor(scaled).cast("double")
+    return F.signum(value) * F.when(scaled - whole >= 0.5, whole + 1).otherwise(whole) / F.lit(10.0**digits)
+
+
 def _pick(values: list[str], share: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.floor(share * len(values)) + 1).cast("int"))
 
@@ -67,10 +78,10 @@ def sensors(spark: SparkSession, rows: int, count: int = 20, anomaly_rate: float
         F.concat(F.lit("zone_"), F.floor(sensor / 5)).alias("location"),
         _pick(DEVICES, uniform("device", sensor, seed)).alias("device_type"),
         (F.lit(start_ms) + F.floor((step - 1) * (1000 / per_second))).cast("bigint").alias("timestamp"),
-        F.round(F.when(odd, bad(between("hot", HOT), between("cold", COLD))).otherwise(temperature), 2).alias("temperature"),
-        F.round(F.when(odd, bad(between("dry", DRY), between("damp", DAMP))).otherwise(F.lit(NORMAL_HUMIDITY) + gauss("humidity", n, seed) * HUMIDITY_NOISE), 2).alias("humidity"),
-        F.round(F.lit(NORMAL_PRESSURE) + gauss("pressure", n, seed) * PRESSURE_NOISE, 2).alias("pressure"),
-        F.round(F.lit(100.0) - step / BATTERY_STEPS * 100, 1).alias("battery_level"),
+        rounded(F.when(odd, bad(between("hot", HOT), between("cold", COLD))).otherwise(temperature), 2).alias("temperature"),
+        rounded(F.when(odd, bad(between("dry", DRY), between("damp", DAMP))).otherwise(F.lit(NORMAL_HUMIDITY) + gauss("humidity", n, seed) * HUMIDITY_NOISE), 2).alias("humidity"),
+        rounded(F.lit(NORMAL_PRESSURE) + gauss("pressure", n, seed) * PRESSURE_NOISE, 2).alias("pressure"),
+        rounded(F.lit(100.0) - step / BATTERY_STEPS * 100, 1).alias("battery_level"),
         odd.alias("is_anomaly"),
     )
 
