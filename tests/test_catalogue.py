@@ -42,3 +42,20 @@ def test_entry_without_the_training_data_packages(tmp_path):
     code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'map_project' in q and not any(n.startswith('op1_') for n in q) and set(e.oracle_sql()) <= set(q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_misaligned_windows_are_those_of_the_sql_at_bounds_and_before_1970(spark, folder, kind):
+    """Times on both sides of the epoch and of windows' bounds, with and without zone."""
+    import duckdb
+    from oracle import rows
+
+    e = spark.range(4001).selectExpr("id AS event_id", f"timestamp_micros((id - 2000) * 300000000 + (id * 7919 % 7 - 3) * 500)::{kind} AS ts", "if(id % 41 = 3, null, 'k' || id % 2) AS event_type")
+    e.write.parquet(f"{folder}/events.parquet")
+    got = QUERIES["sliding_misaligned"](spark, folder)
+    assert dict(got.dtypes)["window_start"] == dict(got.dtypes)["window_end"] == "timestamp_ntz"
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder.removeprefix('file://')}/events.parquet/*.parquet'")
+    want, columns = con.execute(ORACLES["sliding_misaligned"]).df(), ["event_type", "window_start", "window_end", "n"]
+    assert rows(got.toPandas(), columns) == rows(want, columns)
