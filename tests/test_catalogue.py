@@ -59,3 +59,41 @@ def test_misaligned_windows_are_those_of_the_sql_at_bounds_and_before_1970(spark
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder.removeprefix('file://')}/events.parquet/*.parquet'")
     want, columns = con.execute(ORACLES["sliding_misaligned"]).df(), ["event_type", "window_start", "window_end", "n"]
     assert rows(got.toPandas(), columns) == rows(want, columns)
+
+
+def _some_events(spark, folder, **columns):
+    """Some days of events with large ids; ``columns`` replaces some."""
+    plain = {"event_id": "id + 9007199254740993", "ts": "timestamp_micros(1704067200000000 + id * 7200000000)::timestamp_ntz", "user_id": "id * 7 % 5", "event_type": "'k' || id % 3", "value": "id * 37 % 101 / 4d"}
+    spark.range(300).selectExpr(*(f"{sql} AS {c}" for c, sql in {**plain, **columns}.items())).write.parquet(f"{folder}/events.parquet")
+
+
+def test_state_kinds_keep_every_row_beside_nulls(spark, folder):
+    import duckdb
+    from oracle import rows
+
+    null = lambda n, sql: f"if(id % {n} = 3, null, {sql})"
+    _some_events(
+        spark, folder, event_id=null(17, "id + 9007199254740993"), ts=null(97, "timestamp_micros(1704067200000000 + id * 7200000000)::timestamp_ntz"), user_id=null(13, "id * 7 % 5"),
+        event_type=null(19, "'k' || id % 3"), value="if(id < 40 or id % 5 = 0, null, id * 37 % 101 / 4d)",
+    )
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder.removeprefix('file://')}/events.parquet/*.parquet'")
+    columns = ["user_id", "event_id", "n", "previous", "kinds", "top", "total"]
+    text = [f"cast({c} as string) {c}" for c in columns]
+    want = con.execute(f"SELECT {', '.join(text)} FROM ({ORACLES['stream_state_kinds']})").df()
+    assert len(want) == 300
+    assert rows(QUERIES["stream_state_kinds"](spark, folder).selectExpr(*text).toPandas(), columns) == rows(want, columns)
+
+
+def test_state_kinds_do_not_pass_a_failure_for_a_result(spark, folder, monkeypatch):
+    from weirflow.plans import catalogue
+
+    _some_events(spark, f"{folder}/a")
+    inner = catalogue._kinds
+    monkeypatch.setattr(catalogue, "_kinds", lambda key, row, states: inner(key, row, states) if row["event_id"] % 100 else 1 // 0)
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        QUERIES["stream_state_kinds"](spark, f"{folder}/a").collect()
+    monkeypatch.undo()
+    _some_events(spark, f"{folder}/b", value="if(id = 77, double('nan'), 1d)")
+    with pytest.raises(Exception, match="no amount"):
+        QUERIES["stream_state_kinds"](spark, f"{folder}/b").collect()

@@ -237,6 +237,38 @@ def test_whole_number_keys_stay_whole_beside_null_ones(spark, folder):
     assert sorted(map(tuple, out.collect())) == [(str(2**60), "c"), (str(2**60 + 1), "a"), ("None", "b")]
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_a_row_that_raises_fails_a_strict_query(spark, folder, packed):
+    path = f"{folder}/in"
+    write(spark, path, 0, [("a", 1, 1), ("b", 2, -1), ("c", 3, 2)])
+    kinds, step, schema = _kinds_of_state()
+    with pytest.raises(Exception, match="ValueError"):
+        drain(processors.keyed_process(stream(spark, path), ["k"], ["ts"], step, schema, descriptors=kinds, packed=packed, strict=True), "strict", "update")
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_rows_that_are_left_out_leave_states_alone(spark, folder, packed):
+    """The function fails after it has changed every state, on the first rows of a key and later, and while it makes its rows."""
+    path = f"{folder}/in"
+    write(spark, path, 0, [("a", 1, -1), ("a", 2, 3), ("a", 3, -3), ("a", 4, 5), ("b", 1, -4)])
+    write(spark, path, 1, [("a", 5, -6), ("b", 6, 2), ("a", 7, -9), ("a", 8, 1), ("b", 9, -2)])
+    kinds, inner, schema = _kinds_of_state()
+
+    def step(key, row, states):
+        made, after = inner(key, {**row, "v": abs(row["v"])}, states)
+        if row["v"] < 0 and row["v"] % 3 == 0:
+            states["seen"].clear()
+            states["last"].append_value((7,))
+        return (made[0] if i == 0 else 1 // 0 for i in range(2 if row["v"] < 0 else 1)), after
+
+    failed = spark.sparkContext.accumulator(0)
+    out = drain(processors.keyed_process(stream(spark, path), ["k"], ["ts"], step, schema, descriptors=kinds, failed=failed, packed=packed), "undone", "update")
+    assert sorted(map(tuple, out.collect())) == [
+        ("a", 1, "[3]", "[((0,), (1,))]", 3, 3), ("a", 2, "[3, 5]", "[((0,), (1,)), ((2,), (2,))]", 5, 8), ("a", 3, "[5, 1]", "[((0,), (1,)), ((1,), (3,)), ((2,), (2,))]", 5, 9), ("b", 1, "[2]", "[((2,), (1,))]", 2, 2)
+    ]
+    assert failed.value == 6
+
+
 def test_rows_can_be_taken_as_they_come(spark, folder):
     """Without an order no key's micro-batch is held; what does not depend on order is the same."""
     path = f"{folder}/in"
